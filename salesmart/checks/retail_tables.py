@@ -6,18 +6,20 @@ is fixed in FIXTURES.md; every expression has a twin in ``oracle``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from datetime import date
 from functools import reduce
-from threading import Lock
+from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesmart.functions.columns import age_band
 from salesmart.model import RawTables, Star
-from salesmart.plans.etl import run_etl
+from salesmart.operators.quality import clean
+from salesmart.plans.etl import conform, keyed, run_etl
 from salesmart.sources.shared import settle, shared_folder
+from salesmart.sources.tables import read_raw
 
 AS_OF = date(2001, 11, 4)
 SALES_ORDER = ["product_id", "store_id", "sale_date", "revenue"]
@@ -117,8 +119,32 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_extracts: dict[tuple[str, str], str] = {}
+_stored: dict[tuple[str, str], Stored] = {}
+_lock = RLock()
+
+
+def _session_key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    return spark.sparkContext.applicationId, str(sf_dir)
+
+
 def raw_tables(spark: SparkSession, sf_dir: str) -> RawTables:
-    return RawTables(*(f(spark, sf_dir) for f in (stores, products, customers, sales)))
+    """The extract: the four files that the ETL starts from.
+
+    Written once in a session, so that the checks and the load all read plain files
+    and none repeats the join of lines to orders.
+    """
+    key, folder = _session_key(spark, sf_dir), shared_folder(spark)
+    mapped = {"stores": stores, "products": products, "customers": customers, "sales": sales}
+    if folder is None:
+        return RawTables(*(build(spark, sf_dir) for build in mapped.values()))
+    with _lock:
+        if key not in _extracts:
+            path = f"{folder}/extract-{len(_extracts)}"
+            for name, build in mapped.items():
+                build(spark, sf_dir).write.mode("overwrite").parquet(f"{path}/{name}")
+            _extracts[key] = path
+        return read_raw(spark, _extracts[key])
 
 
 def dirty_tables(spark: SparkSession, sf_dir: str) -> RawTables:
@@ -153,10 +179,6 @@ class Stored:
     central: DataFrame
 
 
-_stored: dict[tuple[str, str], Stored] = {}
-_lock = Lock()
-
-
 def inventory_levels(star: Star) -> DataFrame:
     """A stock row for each pair of store and product that sold 15 pieces or more."""
     return (
@@ -189,26 +211,23 @@ def stored(spark: SparkSession, sf_dir: str) -> Stored:
     cluster that names no shared folder nothing is stored and each report cleans
     and conforms anew.
     """
-    key = (spark.sparkContext.applicationId, str(sf_dir))
+    key = _session_key(spark, sf_dir)
     with _lock:
         if key not in _stored:
             folder = shared_folder(spark)
-            raw = raw_tables(spark, sf_dir)
             if folder is None:
-                star = lazy_star(raw)
+                star = conformed(spark, sf_dir)
             else:
-                star = run_etl(raw, f"{folder}/star-{len(_stored)}", SALES_ORDER)
+                star = run_etl(raw_tables(spark, sf_dir), f"{folder}/star-{len(_stored)}", SALES_ORDER)
             _stored[key] = Stored(
                 star, settle(inventory_levels(star), "inventory_levels"), central_inventory(star)
             )
         return _stored[key]
 
 
-def lazy_star(raw: RawTables) -> Star:
-    from salesmart.operators.quality import clean
-    from salesmart.plans.etl import conform
-
-    return conform(clean(raw, SALES_ORDER))
+def conformed(spark: SparkSession, sf_dir: str) -> Star:
+    """The star as the conform step returns it, not yet written by month."""
+    return conform(clean(raw_tables(spark, sf_dir), SALES_ORDER))
 
 
 def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,14 +274,6 @@ def users(dim_store: DataFrame) -> DataFrame:
     return managers.unionByName(admin)
 
 
-def dirty_star_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Star]:
-    """Clean-dated dirty sales with their date keys, before the reference check, and
-    the star whose dimensions they are checked against."""
-    from salesmart.operators.quality import clean
-    from salesmart.plans.etl import conform, dated, date_dimension, with_date_key
-
-    cleaned = clean(dirty_tables(spark, sf_dir), SALES_ORDER)
-    sales_rows = dated(cleaned.sales)
-    dim_date = date_dimension(sales_rows)
-    star = conform(replace(cleaned, sales=sales_rows))
-    return with_date_key(sales_rows, dim_date), star
+def dirty_star(spark: SparkSession, sf_dir: str) -> Star:
+    """A star from the faulty extract, before the reference check."""
+    return keyed(clean(dirty_tables(spark, sf_dir), SALES_ORDER))

@@ -8,16 +8,19 @@ from __future__ import annotations
 
 import numpy as np
 
+PASSES = 15
+
 
 def _lags(x: np.ndarray, count: int, start: int) -> np.ndarray:
     """Columns x[t-1] … x[t-count] for t from ``start`` on."""
-    return np.column_stack([x[start - i : len(x) - i] for i in range(1, count + 1)])
+    lags = [x[start - i : len(x) - i] for i in range(1, count + 1)]
+    return np.array(lags).T if lags else np.empty((len(x) - start, 0))
 
 
 def _tamed(coefficients: np.ndarray, limit: float) -> np.ndarray:
     """Shrink a recursion whose largest root is beyond ``limit``."""
-    if not len(coefficients):
-        return coefficients
+    if len(coefficients) < 2:
+        return np.clip(coefficients, -limit, limit)
     largest = max(abs(np.roots(np.r_[1.0, -coefficients])), default=0.0)
     if largest <= limit + 1e-9:
         return coefficients
@@ -25,11 +28,17 @@ def _tamed(coefficients: np.ndarray, limit: float) -> np.ndarray:
 
 
 def _residuals(x: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
-    start = max(len(ar), len(ma))
-    errors = np.zeros(len(x))
-    for t in range(start, len(x)):
-        errors[t] = x[t] - ar @ x[t - len(ar) : t][::-1] - ma @ errors[t - len(ma) : t][::-1]
-    return errors
+    """One-step errors. The recursion is scalar, so plain floats beat small arrays."""
+    values, phi, theta = x.tolist(), ar.tolist(), ma.tolist()
+    errors = [0.0] * max(len(phi), len(theta))
+    for t in range(len(errors), len(values)):
+        error = values[t]
+        for i, c in enumerate(phi, 1):
+            error -= c * values[t - i]
+        for i, c in enumerate(theta, 1):
+            error -= c * errors[t - i]
+        errors.append(error)
+    return np.array(errors)
 
 
 def fit_arma(x: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,13 +57,13 @@ def fit_arma(x: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.
         errors[long:] = x[long:] - design @ np.linalg.lstsq(design, x[long:], rcond=None)[0]
     ar, ma = np.zeros(p), np.zeros(q)
     start = max(p, q)
-    for _ in range(25 if q else int(p > 0)):
-        parts = [_lags(x, p, start)] * (p > 0) + [_lags(errors, q, start)] * (q > 0)
-        found = np.linalg.lstsq(np.hstack(parts), x[start:], rcond=None)[0]
+    for _ in range(PASSES if q else int(p > 0)):
+        design = np.hstack([_lags(x, p, start), _lags(errors, q, start)])
+        found = np.linalg.lstsq(design, x[start:], rcond=None)[0]
         previous = np.r_[ar, ma]
         ar, ma = _tamed(found[:p], 1.0), -_tamed(-found[p:], 0.99)
         errors = _residuals(x, ar, ma)
-        if np.allclose(previous, np.r_[ar, ma], rtol=1e-8, atol=1e-10):
+        if np.allclose(previous, np.r_[ar, ma], rtol=1e-6, atol=1e-8):
             break
     return ar, ma, errors
 

@@ -54,25 +54,26 @@ def with_date_key(sales: DataFrame, dim_date: DataFrame) -> DataFrame:
     return sales.join(F.broadcast(dim_date.select("date", "date_id", "year", "month")), "date")
 
 
-def conform(cleaned: RawTables) -> Star:
-    """Cleaned tables to a star, lazily. Dates come from all clean sales; only then
-    are sales with unknown keys removed."""
-    sales = cleaned.sales if "date" in cleaned.sales.columns else dated(cleaned.sales)
+def keyed(cleaned: RawTables) -> Star:
+    """Cleaned tables as a star whose fact still holds unknown references.
+
+    The date dimension covers all clean sales, so every date must be known before
+    the first sale can get its key. The clean sales are therefore stored once and
+    read twice, which costs far less than deduplicating twice.
+    """
+    sales = settle(dated(cleaned.sales), "clean_sales")
     dim_date = date_dimension(sales)
     fact = with_date_key(sales, dim_date).select(*FACT_COLUMNS, "date", "year", "month")
-    star = Star(fact, dim_date, cleaned.stores, cleaned.products, customer_dimension(cleaned.customers))
-    return replace(star, fact=keep_valid_references(fact, star))
+    return Star(fact, dim_date, cleaned.stores, cleaned.products, customer_dimension(cleaned.customers))
 
 
-def run_etl(raw: RawTables, folder: str, sales_order: Sequence[str] | None = None) -> Star:
-    """Clean, conform and store; return the stored star.
+def conform(cleaned: RawTables) -> Star:
+    """The star without the sales whose store, product, customer or date is unknown."""
+    star = keyed(cleaned)
+    return replace(star, fact=keep_valid_references(star.fact, star))
 
-    The clean sales are stored once in between, because the dates must all be known
-    before the first fact row can get its key: reading them back costs far less
-    than deduplicating twice.
-    """
-    spark = raw.sales.sparkSession
-    cleaned = clean(raw, sales_order)
-    sales = settle(dated(cleaned.sales), "clean_sales")
-    write_star(conform(replace(cleaned, sales=sales)), folder)
-    return open_star(spark, folder)
+
+def run_etl(raw: RawTables, folder: str, sales_order: Sequence[str] | None = None) -> Star:
+    """Clean, conform and store; return the stored star."""
+    write_star(conform(clean(raw, sales_order)), folder)
+    return open_star(raw.sales.sparkSession, folder)

@@ -139,7 +139,12 @@ def _forecast_by_fit(
     )
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in rows.columns)
-    groups = rows.groupBy(*by) if by else rows.groupBy(F.lit(0))
+    if by:
+        # a fixed number of tasks: the rows are few, but each series takes time to fit
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        groups = rows.repartition(tasks, *by).groupBy(*by)
+    else:
+        groups = rows.groupBy()
     return _labelled(groups.applyInPandas(one_series, schema), language)
 
 
@@ -198,3 +203,17 @@ def with_history(history: DataFrame, forecasted: DataFrame) -> DataFrame:
         .withColumn("is_forecast", F.coalesce("is_forecast", F.lit(False)))
         .withColumn("label", period_label(F.col("year"), F.col("month")))
     )
+
+
+def sales_forecast(
+    star: Star,
+    flt: SalesFilter,
+    scope: Scope,
+    ahead: int = 6,
+    model: str = "linear",
+    arima_order: str = "1,1,1",
+    language: str = "en",
+) -> DataFrame:
+    """The whole forecast report for one filter: history, then ``ahead`` months."""
+    history = history_or_fallback(star, flt, scope)
+    return with_history(history, forecast(history, model, ahead, arima_order, language=language))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -12,6 +15,7 @@ from salesmart.model import SalesFilter, Scope, Star
 from salesmart.operators.sales import select_sales, transactions
 from salesmart.sources.shared import settle
 
+SIDE_BY_SIDE = 5
 FEATURES = ["transactions", "total_revenue", "avg_order_value", "total_quantity"]
 
 
@@ -53,22 +57,26 @@ def segment_customers(
 ) -> DataFrame:
     """Features with a ``segment``; no rows when there are fewer customers than clusters.
 
-    The best of several seeded starts, as distributed k-means. Every iteration
-    reads the standardised features again, so they are stored first.
+    The best of several seeded starts of distributed k-means. Every iteration reads
+    the standardised features again, so they are stored first; a few starts run
+    side by side over the same cached vectors.
     """
-    scored = standardise(features)
-    vectors = VectorAssembler(inputCols=[f"{c}_z" for c in FEATURES], outputCol="_vector")
-    table = settle(scored, "customer_features")
-    prepared = vectors.transform(table)
+    table = settle(standardise(features), "customer_features")
     if table.limit(clusters).count() < clusters:
         return features.withColumn("segment", F.lit(None).cast("int")).where(F.lit(False))
-    best = None
-    for start in range(restarts):
-        model = KMeans(
-            k=clusters, seed=seed + start, maxIter=300, featuresCol="_vector", predictionCol="segment"
-        ).fit(prepared)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
+    vectors = VectorAssembler(inputCols=[f"{c}_z" for c in FEATURES], outputCol="_vector")
+    prepared = vectors.transform(table)
+    points = prepared.select("_vector").persist()
+
+    def start(offset: int):
+        return KMeans(
+            k=clusters, seed=seed + offset, maxIter=300, featuresCol="_vector", predictionCol="segment"
+        ).fit(points)
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        models = list(pool.map(inheritable_thread_target(points.sparkSession)(start), range(restarts)))
+    points.unpersist()
+    best = min(models, key=lambda model: model.summary.trainingCost)
     return best.transform(prepared).select(*features.columns, "segment")
 
 

@@ -7,7 +7,7 @@ STORES = "store_id bigint, store_name string, city string, region string, store_
 PRODUCTS = "product_id bigint, product_name string, category string, brand string, price decimal(12,2), cost decimal(12,2)"
 CUSTOMERS = "customer_id bigint, customer_name string, gender string, age int, age_group string, email string, city string"
 SALES = (
-    "sale_id bigint, sale_date timestamp, store_id bigint, product_id bigint, customer_id bigint, "
+    "sale_id bigint, sale_date timestamp_ntz, store_id bigint, product_id bigint, customer_id bigint, "
     "quantity int, revenue decimal(12,2), cost decimal(12,2), profit decimal(12,2)"
 )
 RAW = {"stores": STORES, "products": PRODUCTS, "customers": CUSTOMERS, "sales": SALES}

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesmart.functions.columns import money_text
 
+NOTIFICATION_COLUMNS = [
+    "notification_id", "user_id", "store_id", "type", "title", "message", "severity", "is_read", "created_at",
+]
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header and no index column. An empty result is an error."""
@@ -40,3 +44,14 @@ def write_report(export: DataFrame, path: str) -> None:
         raise ValueError("No data to export")
     lines = report_lines(export).orderBy(F.col("date").desc(), "sale_id")
     lines.select("line").coalesce(1).write.mode("overwrite").text(path)
+
+
+def append_alerts(alerts: DataFrame, existing: DataFrame | None, path: str, now: Column) -> None:
+    """Append alerts to the stored notifications, numbered after the existing ones."""
+    last = F.lit(0) if existing is None else F.coalesce(
+        existing.agg(F.max("notification_id")).scalar(), F.lit(0)
+    )
+    numbered = alerts.withColumn("notification_id", last + 1 + F.monotonically_increasing_id())
+    numbered.withColumn("created_at", now.cast("timestamp_ntz")).select(
+        *NOTIFICATION_COLUMNS
+    ).write.mode("append").parquet(path)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from salesmart.model import RawTables
 from salesmart.sources.schemas import RAW
@@ -22,7 +21,7 @@ def read_raw(spark: SparkSession, folder: str, fmt: str = "parquet", **options)
     def table(name: str) -> DataFrame:
         schema = RAW[name]
         if text and name == "sales":
-            schema = schema.replace("sale_date timestamp", "sale_date string")
+            schema = schema.replace("sale_date timestamp_ntz", "sale_date string")
         return spark.read.format(fmt).options(**options).schema(schema).load(f"{folder}/{name}")
 
     return RawTables(*(table(name) for name in RAW))
@@ -44,8 +43,3 @@ def column_exists(spark: SparkSession, table: str, column: str) -> bool:
 def optional_table(spark: SparkSession, table: str, column: str) -> DataFrame | None:
     """The table if it exists with that column, else None."""
     return spark.table(table) if column_exists(spark, table, column) else None
-
-
-def stock_column(df: DataFrame | None, column: str):
-    """``column`` of an optional joined table, zero where it is missing."""
-    return F.lit(0) if df is None else F.coalesce(F.col(column), F.lit(0))

@@ -19,6 +19,7 @@ def spark():
         .appName("salesmart-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.maxMetadataStringLength", "2000")  # plan tests read the pushed filters
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
