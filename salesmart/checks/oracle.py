@@ -195,7 +195,7 @@ FRAGMENTS = {
             {big("sum(quantity)")} AS total_quantity
         FROM facts JOIN customers_raw USING (customer_id) GROUP BY customer_id, age_group, gender""",
     "insights": f"""
-        SELECT age_group, gender, count(DISTINCT customer_id) AS customer_count, {dbl("sum(revenue)")} AS revenue,
+        SELECT age_group, gender, count(DISTINCT customer_id) AS customer_count, sum(revenue) AS revenue,
             {ratio("sum(revenue)", "count(*)")} AS avg_revenue
         FROM facts JOIN customers_raw USING (customer_id) GROUP BY age_group, gender""",
     "daily": f"""
@@ -206,8 +206,7 @@ FRAGMENTS = {
             {ratio("sum(profit)", "count(*)")} AS avg_profit, count(*) AS year_count
         FROM monthly GROUP BY month, month_name""",
     "by_category": f"""
-        SELECT category, {dbl("sum(revenue)")} AS revenue, {dbl("sum(profit)")} AS profit,
-            {big("sum(quantity)")} AS quantity
+        SELECT category, sum(revenue) AS revenue, sum(profit) AS profit, {big("sum(quantity)")} AS quantity
         FROM facts JOIN products_raw USING (product_id) GROUP BY category""",
     # feed
     "notes": """
@@ -414,13 +413,15 @@ ORACLE_BODIES = {
     "top_products": f"""SELECT product_name, {dbl("sum(revenue)")} AS revenue
         FROM facts JOIN products_raw USING (product_id) GROUP BY product_name, product_id
         ORDER BY sum(revenue) DESC, product_id LIMIT 10""",
-    "category_revenue": "SELECT * FROM by_category",
-    "customer_insights": """SELECT age_group, gender, customer_count, revenue,
+    "category_revenue": f"""SELECT category, {dbl("revenue")} AS revenue, {dbl("profit")} AS profit, quantity
+        FROM by_category""",
+    "customer_insights": f"""SELECT age_group, gender, customer_count, {dbl("revenue")} AS revenue,
         avg_revenue AS avg_revenue_per_customer FROM insights""",
     "insight_top_store": f"""SELECT store_name, {dbl("sum(revenue)")} AS revenue, {dbl("sum(profit)")} AS profit
         FROM facts JOIN stores_raw USING (store_id) GROUP BY store_id, store_name
         ORDER BY sum(revenue) DESC, store_id LIMIT 1""",
-    "insight_top_category": "SELECT category, revenue FROM by_category ORDER BY revenue DESC, category LIMIT 1",
+    "insight_top_category": f"""SELECT category, {dbl("revenue")} AS revenue FROM by_category
+        ORDER BY by_category.revenue DESC, category LIMIT 1""",
     "seasonal_quarterly": f"""SELECT year, quarter, {dbl("sum(revenue)")} AS revenue, {dbl("sum(profit)")} AS profit,
         count(DISTINCT sale_id) AS transactions, {_AVERAGE} AS avg_revenue, quarter_name
         FROM facts GROUP BY year, quarter, quarter_name""",
@@ -449,12 +450,13 @@ ORACLE_BODIES = {
             (SELECT 'peak_month' AS kind, * FROM pattern ORDER BY avg_revenue DESC, month LIMIT 1)
             UNION ALL (SELECT 'low_month' AS kind, * FROM pattern ORDER BY avg_revenue, month LIMIT 1)),
             (SELECT avg(avg_revenue) AS m FROM pattern)""",
-    "customer_grouping_sets": """SELECT age_group, gender, sum(revenue) AS revenue FROM insights
+    "customer_grouping_sets": f"""SELECT age_group, gender, {dbl("sum(revenue)")} AS revenue FROM insights
         GROUP BY GROUPING SETS ((age_group), (gender))""",
-    "category_share": """SELECT category, revenue, round(revenue / sum(revenue) OVER () * 100, 6) AS share_pct
-        FROM by_category""",
-    "gender_share": """SELECT gender, sum(revenue) AS revenue,
-        round(sum(revenue) / sum(sum(revenue)) OVER () * 100, 6) AS share_pct FROM insights GROUP BY gender""",
+    "category_share": f"""SELECT category, {dbl("revenue")} AS revenue,
+        round({dbl("revenue")} / {dbl("sum(revenue) OVER ()")} * 100, 6) AS share_pct FROM by_category""",
+    "gender_share": f"""SELECT gender, {dbl("sum(revenue)")} AS revenue,
+        round({dbl("sum(revenue)")} / {dbl("sum(sum(revenue)) OVER ()")} * 100, 6) AS share_pct
+        FROM insights GROUP BY gender""",
     "v_monthly_sales": f"""SELECT year, month, count(sale_id) AS total_transactions, {big("sum(quantity)")} AS total_quantity,
         {dbl("sum(revenue)")} AS total_revenue, {dbl("sum(cost)")} AS total_cost, {dbl("sum(profit)")} AS total_profit,
         {_AVERAGE} AS avg_revenue_per_transaction, {_MARGIN} AS profit_margin_pct, quarter, month_name

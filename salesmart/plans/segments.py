@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from math import sqrt
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
@@ -15,6 +16,10 @@ from salesmart.model import SalesFilter, Scope, Star
 from salesmart.operators.sales import select_sales, transactions
 from salesmart.sources.shared import settle
 
+# The stopping rule. The tolerance is for the squared movement of all
+# centres together; Spark's is for the distance each one moves.
+MOST_ITERATIONS = 300
+TOLERANCE = 1e-4
 SIDE_BY_SIDE = 5
 FEATURES = ["transactions", "total_revenue", "avg_order_value", "total_quantity"]
 
@@ -70,7 +75,12 @@ def segment_customers(
 
     def start(offset: int):
         return KMeans(
-            k=clusters, seed=seed + offset, maxIter=300, featuresCol="_vector", predictionCol="segment"
+            k=clusters,
+            seed=seed + offset,
+            maxIter=MOST_ITERATIONS,
+            tol=sqrt(TOLERANCE / clusters),
+            featuresCol="_vector",
+            predictionCol="segment",
         ).fit(points)
 
     with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:

@@ -67,6 +67,13 @@ def test_exact_quantiles_match_numpy_on_small_tables(spark, n):
     assert [row.q1, row.m, row.q3] == pytest.approx(list(expected))
 
 
+def test_quantiles_of_nothing_and_of_one_value(spark):
+    empty = spark.createDataFrame([(None,)], "v double")
+    assert exact_quantiles(empty, "v", {"q1": 0.25}).first().q1 is None
+    same = spark.createDataFrame([(7.5,)] * 9, "v double")
+    assert exact_quantiles(same, "v", {"q1": 0.25, "q3": 0.75}).first() == (7.5, 7.5)
+
+
 def test_exact_quantiles_on_many_skewed_values(spark):
     """A third of the rows share one value; the brackets hold a sliver of the rest."""
     df = spark.range(400_000).selectExpr(
