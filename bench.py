@@ -50,16 +50,18 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - begun
 
-    begun = time.perf_counter()
-    retail_tables.stored(spark, sf_dir)
-    times = {"etl_load_cold": round(time.perf_counter() - begun, 3)}
+    times = {}
+    for name, step in (("write_extract_cold", retail_tables.raw_tables), ("etl_load_cold", retail_tables.stored)):
+        begun = time.perf_counter()
+        step(spark, sf_dir)
+        times[name] = round(time.perf_counter() - begun, 3)
     for name in HEADLINE:
         run(name)
         times[name] = round(median(run(name) for _ in range(runs)), 3)
     print(
         json.dumps(
             {
-                "metric": "cold ETL load plus the sum of warm median query times",
+                "metric": "cold extract and ETL load plus the sum of warm median query times",
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
