@@ -304,7 +304,7 @@ report("daily_sales", reports.daily_sales)
 report("customer_features", segments.customer_features)
 report(
     "customer_features_scaled",
-    lambda *a: segments.standardise(segments.customer_features(*a)).select(
+    lambda *a: segments.standardise(settle(segments.customer_features(*a), "customer_features")).select(
         "customer_id", *(f"{f}_z" for f in segments.FEATURES)
     ),
     **{f"{f}_z": 6 for f in segments.FEATURES},

@@ -195,33 +195,33 @@ def clean(raw: RawTables, sales_order: Sequence[str] | None = None) -> RawTables
     )
 
 
-def _references(star: Star):
-    return (
-        ("store", star.dim_store, "store_id"),
-        ("product", star.dim_product, "product_id"),
-        ("customer", star.dim_customer, "customer_id"),
-        ("date", star.dim_date, "date_id"),
-    )
+REFERENCES = ("store", "product", "customer", "date")
 
 
-def keep_valid_references(fact: DataFrame, star: Star) -> DataFrame:
-    """Semi joins with every dimension; a null key has no match.
+def _keys(star: Star, name: str) -> tuple[DataFrame, str]:
+    """The keys of a dimension. Those of the dates are broadcast: the calendar bounds
+    them. For the others the planner broadcasts what it knows or measures to be small,
+    and otherwise sort-merges with skewed keys split."""
+    key = f"{name}_id"
+    keys = getattr(star, f"dim_{name}").select(key)
+    return (F.broadcast(keys) if name == "date" else keys), key
 
-    No broadcast hints: the planner broadcasts the keys of a dimension it knows or
-    measures to be small, and otherwise sort-merges with skewed keys split.
-    """
-    for _, dimension, key in _references(star):
-        fact = fact.join(dimension.select(key), key, "left_semi")
+
+def keep_valid_references(fact: DataFrame, star: Star, names: Sequence[str] = REFERENCES) -> DataFrame:
+    """Semi joins with the named dimensions; a null key has no match."""
+    for name in names:
+        keys, key = _keys(star, name)
+        fact = fact.join(keys, key, "left_semi")
     return fact
 
 
 def rejected_references(fact: DataFrame, star: Star) -> DataFrame:
     """Rows whose keys do not all exist, with the first dimension that lacks one."""
+    found = {name: f"_has_{name}" for name in REFERENCES}
     missing = F.lit(None).cast("string")
-    for name, dimension, key in _references(star):
-        found = f"_has_{name}"
-        fact = fact.join(dimension.select(key, F.lit(True).alias(found)), key, "left")
-    for name, _, _ in reversed(_references(star)):
-        missing = F.when(F.col(f"_has_{name}").isNull(), name).otherwise(missing)
-    flagged = fact.withColumn("missing", missing)
-    return flagged.where("missing is not null").drop(*(f"_has_{n}" for n, _, _ in _references(star)))
+    for name in reversed(REFERENCES):
+        missing = F.when(F.col(found[name]).isNull(), name).otherwise(missing)
+    for name in REFERENCES:
+        keys, key = _keys(star, name)
+        fact = fact.join(keys.withColumn(found[name], F.lit(True)), key, "left")
+    return fact.withColumn("missing", missing).where("missing is not null").drop(*found.values())

@@ -43,7 +43,8 @@ def customer_features(star: Star, flt: SalesFilter, scope: Scope) -> DataFrame:
 def standardise(features: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
     """Add z-scores (population deviation); a constant feature becomes 0.
 
-    Means and deviations are one aggregate row, read as a scalar subquery.
+    Means and deviations are one aggregate row, read as a scalar subquery. The
+    features are read twice, so hand in a stored table where they cost much.
     """
     moments = features.agg(
         *(F.avg(c).alias(f"{c}_mean") for c in columns),
@@ -62,15 +63,15 @@ def segment_customers(
 ) -> DataFrame:
     """Features with a ``segment``; no rows when there are fewer customers than clusters.
 
-    The best of several seeded starts of distributed k-means. Every iteration reads
-    the standardised features again, so they are stored first; a few starts run
-    side by side over the same cached vectors.
+    The best of several seeded starts of distributed k-means. The features are
+    stored first; a few starts run side by side over the same cached vectors, which
+    lost executors can rebuild from that table.
     """
-    table = settle(standardise(features), "customer_features")
+    table = settle(features, "customer_features")
     if table.limit(clusters).count() < clusters:
         return features.withColumn("segment", F.lit(None).cast("int")).where(F.lit(False))
     vectors = VectorAssembler(inputCols=[f"{c}_z" for c in FEATURES], outputCol="_vector")
-    prepared = vectors.transform(table)
+    prepared = vectors.transform(standardise(table))
     points = prepared.select("_vector").persist()
 
     def start(offset: int):
@@ -83,9 +84,11 @@ def segment_customers(
             predictionCol="segment",
         ).fit(points)
 
-    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
-        models = list(pool.map(inheritable_thread_target(points.sparkSession)(start), range(restarts)))
-    points.unpersist()
+    try:
+        with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+            models = list(pool.map(inheritable_thread_target(points.sparkSession)(start), range(restarts)))
+    finally:
+        points.unpersist()
     best = min(models, key=lambda model: model.summary.trainingCost)
     return best.transform(prepared).select(*features.columns, "segment")
 

@@ -154,3 +154,19 @@ def test_constant_feature_scales_to_zero(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 5.0)], "a int, b double")
     rows = segments.standardise(df, ["a", "b"]).orderBy("a").collect()
     assert [(r.a_z, r.b_z) for r in rows] == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+def test_separate_groups_are_found(spark):
+    """Three clouds of customers, far apart: every start's best must tell them apart."""
+    rng = np.random.default_rng(5)
+    rows = [
+        (g * 100 + i, *(float(v) for v in rng.normal(50 * (g + 1), 1, 4)), "a", "g")
+        for g in range(3)
+        for i in range(40)
+    ]
+    df = spark.createDataFrame(rows, ["customer_id", *segments.FEATURES, "age_group", "gender"])
+    found = {r.customer_id: r.segment for r in segments.segment_customers(df, 3).collect()}
+    groups = [{found[g * 100 + i] for i in range(40)} for g in range(3)]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
+    sizes = [r.customers_count for r in segments.segment_summary(segments.segment_customers(df, 3)).collect()]
+    assert sizes == [40, 40, 40]
