@@ -35,7 +35,7 @@ class Star:
     """The conformed tables.
 
     ``conform`` guarantees two things the reports build on: every foreign key of
-    the fact exists in its dimension, and ``sale_id`` is unique. For facts from
+    the fact exists in its dimension, and ``sale_id`` is unique and never null. For facts from
     elsewhere whose ids may repeat, set ``unique_sales=False`` and transactions
     are counted with an exact distinct count (one more shuffle of the ids).
     """
@@ -47,8 +47,6 @@ class Star:
     dim_customer: DataFrame
     unique_sales: bool = True
 
-    TABLES = ("dim_date", "dim_store", "dim_product", "dim_customer", "fact")
-
 
 @dataclass(frozen=True)
 class Scope:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +40,8 @@ def date_condition(flt: SalesFilter) -> Column | None:
     )
 
 
-def trailing_days(as_of, days: int) -> SalesFilter:
+def trailing_days(as_of: date, days: int) -> SalesFilter:
     """Everything from ``days`` days before ``as_of`` on, open at the end."""
-    from datetime import date, timedelta
-
     return SalesFilter(as_of - timedelta(days=days), date.max)
 
 
@@ -65,8 +65,9 @@ def select_sales(star: Star, flt: SalesFilter, scope: Scope) -> DataFrame:
 
 
 def transactions(star: Star) -> Column:
-    """Distinct sales; a plain count where the id is known to be unique."""
-    return F.count("sale_id") if star.unique_sales else F.count_distinct("sale_id")
+    """Distinct sales. Where the id is known to be unique, and never null, that is the
+    number of rows, and the id column need not be read at all."""
+    return F.count("*") if star.unique_sales else F.count_distinct("sale_id")
 
 
 DIMENSIONS = {

@@ -59,11 +59,12 @@ def keyed(cleaned: RawTables) -> Star:
 
     The date dimension covers all clean sales, so every date must be known before
     the first sale can get its key. The clean sales are therefore stored once and
-    read twice, which costs far less than deduplicating twice.
+    read twice, which costs far less than deduplicating twice. A sale without an id
+    has no primary key and cannot be a fact.
     """
     sales = settle(dated(cleaned.sales), "clean_sales")
     dim_date = date_dimension(sales)
-    fact = with_date_key(sales, dim_date).select(*FACT_COLUMNS, "date", "year", "month")
+    fact = with_date_key(sales.where("sale_id is not null"), dim_date).select(*FACT_COLUMNS, "date", "year", "month")
     return Star(fact, dim_date, cleaned.stores, cleaned.products, customer_dimension(cleaned.customers))
 
 

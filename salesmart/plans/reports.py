@@ -237,7 +237,7 @@ def monthly_summary(star: Star) -> DataFrame:
     return (
         star.fact.groupBy("year", "month")
         .agg(
-            F.count("sale_id").alias("total_transactions"),
+            F.count("*").alias("total_transactions"),
             F.sum("quantity").alias("total_quantity"),
             F.sum("revenue").alias("total_revenue"),
             F.sum("cost").alias("total_cost"),
@@ -253,7 +253,7 @@ def monthly_summary(star: Star) -> DataFrame:
 
 def store_summary(star: Star) -> DataFrame:
     by_store = star.fact.groupBy("store_id").agg(
-        F.count("sale_id").alias("total_transactions"),
+        F.count("*").alias("total_transactions"),
         F.sum("revenue").alias("total_revenue"),
         F.sum("profit").alias("total_profit"),
         _margin().alias("profit_margin_pct"),
@@ -265,7 +265,7 @@ def store_summary(star: Star) -> DataFrame:
 
 def product_summary(star: Star) -> DataFrame:
     by_product = star.fact.groupBy("product_id").agg(
-        F.count("sale_id").alias("total_sales"),
+        F.count("*").alias("total_sales"),
         F.sum("quantity").alias("total_quantity_sold"),
         F.sum("revenue").alias("total_revenue"),
         F.sum("profit").alias("total_profit"),

@@ -155,6 +155,7 @@ def sample(spark):
             sale(4, "1999-03-08", product=None),
             sale(5, "never"),
             sale(6, "1999-03-05", quantity=0),
+            sale(None, "1999-03-06"),
         ],
         SALE,
     )

@@ -65,7 +65,7 @@ def test_filters_reach_the_scan(star):
     plan = plan_of(reports.kpis(star, replace(PERIOD, stores="1,2"), ADMIN))
     assert "PartitionFilters: [isnotnull(year" in plan
     assert "GreaterThanOrEqual(date,1996-01-01)" in plan and "In(store_id, [1,2])" in plan
-    assert "customer_id" not in plan
+    assert "customer_id" not in plan and "sale_id" not in plan
 
 
 def test_reports_use_no_python(star):
