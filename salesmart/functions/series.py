@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 
-PASSES = 15
+PASSES = 30
+HALVINGS = 8
+NUDGE = 1e-6
 
 
 def _lags(x: np.ndarray, count: int, start: int) -> np.ndarray:
@@ -41,31 +43,58 @@ def _residuals(x: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
     return np.array(errors)
 
 
-def fit_arma(x: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """AR and MA coefficients and residuals by two-stage least squares.
-
-    First a long autoregression supplies estimates of the errors, then the series
-    is regressed on its own lags and those of the errors; the second stage repeats
-    with the residuals it leaves. Terms a short series cannot carry are dropped.
-    """
-    while p + q and len(x) - max(p, q) < p + q + 1:
-        p, q = (p, q - 1) if q else (p - 1, q)
+def _first_guess(x: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Regress the series on its own lags and on those of the errors that a longer
+    autoregression leaves."""
     errors = np.zeros(len(x))
     if q:
         long = max(1, min(p + q + 1, len(x) // 3))
         design = _lags(x, long, long)
         errors[long:] = x[long:] - design @ np.linalg.lstsq(design, x[long:], rcond=None)[0]
-    ar, ma = np.zeros(p), np.zeros(q)
     start = max(p, q)
-    for _ in range(PASSES if q else int(p > 0)):
-        design = np.hstack([_lags(x, p, start), _lags(errors, q, start)])
-        found = np.linalg.lstsq(design, x[start:], rcond=None)[0]
-        previous = np.r_[ar, ma]
-        ar, ma = _tamed(found[:p], 1.0), -_tamed(-found[p:], 0.99)
-        errors = _residuals(x, ar, ma)
-        if np.allclose(previous, np.r_[ar, ma], rtol=1e-6, atol=1e-8):
+    design = np.hstack([_lags(x, p, start), _lags(errors, q, start)])
+    return np.linalg.lstsq(design, x[start:], rcond=None)[0]
+
+
+def _admissible(found: np.ndarray, p: int) -> np.ndarray:
+    """The nearest coefficients that neither explode nor forget how to invert."""
+    return np.r_[_tamed(found[:p], 1.0), -_tamed(-found[p:], 0.99)]
+
+
+def fit_arma(x: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """AR and MA coefficients that minimise the sum of squared one-step errors, with
+    the errors before the first full set of lags taken as zero; and those errors.
+
+    Gauss-Newton from a regression guess, with shorter steps where a full one does
+    not help. Terms that a short series cannot carry are dropped.
+    """
+    while p + q and len(x) - max(p, q) < p + q + 1:
+        p, q = (p, q - 1) if q else (p - 1, q)
+    if p + q == 0:
+        return np.empty(0), np.empty(0), x.copy()
+
+    def errors_of(found: np.ndarray) -> np.ndarray:
+        return _residuals(x, found[:p], found[p:])
+
+    best = _admissible(_first_guess(x, p, q), p)
+    errors = errors_of(best)
+    for _ in range(PASSES):
+        shifts = np.eye(p + q) * NUDGE
+        slope = np.array([(errors_of(best + shift) - errors) / NUDGE for shift in shifts]).T
+        step = np.linalg.lstsq(slope, -errors, rcond=None)[0]
+        for _ in range(HALVINGS):
+            trial = _admissible(best + step, p)
+            trial_errors = errors_of(trial)
+            if trial_errors @ trial_errors < errors @ errors:
+                break
+            step = step / 2
+        else:
+            break
+        gain = 1 - (trial_errors @ trial_errors) / (errors @ errors)
+        best, errors = trial, trial_errors
+        if gain < 1e-10:
             break
-    return ar, ma, errors
+    return best[:p], best[p:], errors
 
 
 def arima_path(y: np.ndarray, order: tuple[int, int, int], steps: int) -> np.ndarray:

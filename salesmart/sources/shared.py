@@ -43,3 +43,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this session's intermediate tables; call it when their readers are done."""
+    folder = shared_folder(spark)
+    if folder is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

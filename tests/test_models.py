@@ -117,6 +117,26 @@ def test_arma_recovers_its_coefficients():
     assert ma[0] == pytest.approx(0.3, abs=0.07)
 
 
+def squared_errors(x, phi, theta):
+    """One-step errors of ARMA(1, 1) written out, the first taken as zero."""
+    total = previous = 0.0
+    for i in range(1, len(x)):
+        previous = x[i] - phi * x[i - 1] - theta * previous
+        total += previous**2
+    return total
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_arma_is_the_least_squares_fit(seed):
+    """No point of a fine grid over all admissible coefficients does better."""
+    x = np.random.default_rng(seed).normal(0, 10, 24).cumsum() / (1 + seed)
+    ar, ma, errors = fit_arma(x, 1, 1)
+    found = squared_errors(x, ar[0], ma[0])
+    assert errors @ errors == pytest.approx(found)
+    grid = np.linspace(-0.99, 0.99, 100)
+    assert found <= min(squared_errors(x, a, b) for a in grid for b in grid) * 1.01
+
+
 @pytest.mark.parametrize("order", [(1, 1, 1), (0, 1, 0), (2, 1, 0), (0, 0, 1), (3, 2, 2), (0, 0, 0)])
 @pytest.mark.parametrize("n", [3, 4, 6, 30])
 def test_arima_is_finite_for_any_length(order, n):

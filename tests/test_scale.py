@@ -106,3 +106,13 @@ def test_local_session_without_setting_gets_a_folder(spark, monkeypatch):
         sparkContext = spark.sparkContext
 
     assert "/salesmart-" in shared.shared_folder(Session())
+
+
+def test_release_deletes_only_what_was_settled(spark, monkeypatch, tmp_path):
+    mine, other = tmp_path / "app-1", tmp_path / "app-2"
+    other.mkdir()
+    monkeypatch.setattr(shared, "shared_folder", lambda _: str(mine))
+    stored = shared.settle(spark.range(5).toDF("n"), "numbers")
+    assert stored.count() == 5 and mine.exists() and "numbers-" in stored.inputFiles()[0]
+    shared.release(spark)
+    assert not mine.exists() and other.exists()
