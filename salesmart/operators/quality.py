@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesmart.functions.columns import percent
@@ -53,29 +53,30 @@ def duplicate_counts(raw: RawTables) -> DataFrame:
     )
 
 
-def outlier_summary(sales: DataFrame, column: str = "revenue", exact: bool = True) -> DataFrame:
-    """One row: quartiles, the 1.5 IQR fences, and how many rows lie outside."""
+def _fences(sales: DataFrame, column: str, exact: bool) -> Column:
+    """Quartiles and the limits 1.5 interquartile ranges beyond them, as one scalar."""
     quantiles = exact_quantiles if exact else approximate_quantiles
-    quartiles = quantiles(sales, column, {"q1": 0.25, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
-    fences = quartiles.select(
-        F.struct(
-            "q1",
-            "q3",
-            (F.col("q1") - 1.5 * iqr).alias("lower_bound"),
-            (F.col("q3") + 1.5 * iqr).alias("upper_bound"),
-        )
-    ).scalar()
+    limits = quantiles(sales, column, {"q1": 0.25, "q3": 0.75}).select(
+        "q1", "q3", (F.col("q1") - 1.5 * iqr).alias("lower_bound"), (F.col("q3") + 1.5 * iqr).alias("upper_bound")
+    )
+    return limits.select(F.struct(*limits.columns)).scalar()
+
+
+def _outlier_counts(column: str, fences: Column) -> list[Column]:
     value = F.col(column).cast("double")
     outside = (value < fences["lower_bound"]) | (value > fences["upper_bound"])
-    counts = sales.agg(F.count("*").alias("rows"), F.count_if(outside).alias("outliers"))
-    return counts.select(
-        fences["q1"].alias("q1"),
-        fences["q3"].alias("q3"),
-        fences["lower_bound"].alias("lower_bound"),
-        fences["upper_bound"].alias("upper_bound"),
+    share = F.coalesce(percent(F.count_if(outside), F.count("*")), F.lit(0.0))
+    return [F.count_if(outside).alias("outliers"), share.alias("outlier_pct")]
+
+
+def outlier_summary(sales: DataFrame, column: str = "revenue", exact: bool = True) -> DataFrame:
+    """One row: quartiles, the 1.5 IQR fences, and how many rows lie outside."""
+    fences = _fences(sales, column, exact)
+    return sales.agg(*_outlier_counts(column, fences)).select(
+        *(fences[name].alias(name) for name in ("q1", "q3", "lower_bound", "upper_bound")),
         "outliers",
-        F.coalesce(percent(F.col("outliers"), F.col("rows")), F.lit(0.0)).alias("outlier_pct"),
+        "outlier_pct",
     )
 
 
@@ -110,21 +111,38 @@ def apply_business_rules(sales: DataFrame) -> DataFrame:
     return with_reject_reason(sales).where("reject_reason is null").drop("reject_reason")
 
 
+def _rule_counts(among: Column) -> list[Column]:
+    reason = F.col("reject_reason")
+    return [
+        *(F.count_if(among & (reason == name)).alias(name) for name, _ in RULES),
+        F.count_if(among & reason.isNotNull()).alias("total_removed"),
+        F.count_if(among & reason.isNull()).alias("rows_kept"),
+    ]
+
+
 def rule_summary(sales: DataFrame) -> DataFrame:
     """One row: rows removed by each rule, each row charged to the first it breaks."""
-    judged = with_reject_reason(sales)
-    return judged.agg(
-        *(F.count_if(F.col("reject_reason") == name).alias(name) for name, _ in RULES),
-        F.count("reject_reason").alias("total_removed"),
-        F.count_if(F.col("reject_reason").isNull()).alias("rows_kept"),
-    )
+    return with_reject_reason(sales).agg(*_rule_counts(F.lit(True)))
 
 
-def _entries(summary: DataFrame, check: str, table: str, columns: Sequence[str]) -> DataFrame:
-    doubles = summary.select(*(F.col(c).cast("double").alias(c) for c in columns))
-    return doubles.unpivot([], list(columns), "item", "value").select(
-        F.lit(check).alias("check_name"), F.lit(table).alias("table_name"), "item", "value"
+def _sales_findings(sales: DataFrame, exact: bool) -> DataFrame:
+    """Outliers, dates and rules in one pass: (check_name, item, value). The rules count
+    rows with a valid date only, as they are applied after the dates."""
+    dated = F.col("sale_date").isNotNull()
+    found = with_reject_reason(with_parsed_date(sales)).agg(
+        *_outlier_counts("revenue", _fences(sales, "revenue", exact)),
+        F.count_if(~dated).alias("invalid_dates"),
+        *_rule_counts(dated),
     )
+    checks = {
+        "outliers": ["outliers", "outlier_pct"],
+        "data_types": ["invalid_dates"],
+        "business_rules": [name for name, _ in RULES] + ["total_removed"],
+    }
+    items = [item for group in checks.values() for item in group]
+    check = F.coalesce(*(F.when(F.col("item").isin(group), name) for name, group in checks.items()))
+    doubles = found.select(*(F.col(item).cast("double").alias(item) for item in items))
+    return doubles.unpivot([], items, "item", "value").withColumn("check_name", check)
 
 
 def quality_report(
@@ -133,7 +151,8 @@ def quality_report(
     """Every check in one long table (check_name, table_name, item, value).
 
     Nulls and duplicates are counted on the raw tables; outliers, dates and rules
-    on the deduplicated sales, which three checks read and are therefore stored once.
+    on the deduplicated sales, which the quantiles read several times and which are
+    therefore stored once.
     """
     sales = settle(keep_first(raw.sales, "sale_id", sales_order), "deduplicated_sales")
     nulls = null_profiles(raw).where("nulls > 0").select(
@@ -148,17 +167,8 @@ def quality_report(
         F.col("key_column").alias("item"),
         F.col("duplicates").cast("double").alias("value"),
     )
-    rules = rule_summary(drop_invalid_dates(sales))
-    return reduce(
-        DataFrame.unionByName,
-        (
-            nulls,
-            duplicates,
-            _entries(outlier_summary(sales, exact=exact), "outliers", "sales", ["outliers", "outlier_pct"]),
-            _entries(date_summary(sales), "data_types", "sales", ["invalid_dates"]),
-            _entries(rules, "business_rules", "sales", [name for name, _ in RULES] + ["total_removed"]),
-        ),
-    )
+    findings = _sales_findings(sales, exact).withColumn("table_name", F.lit("sales"))
+    return nulls.unionByName(duplicates).unionByName(findings)
 
 
 def quality_score(report: DataFrame) -> DataFrame:
