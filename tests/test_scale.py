@@ -19,7 +19,7 @@ from salesmart.sources import shared
 
 @pytest.fixture(scope="module")
 def hot(spark, tmp_path_factory):
-    """30,000 sales; one sale id, store, product, customer and day hold a third."""
+    """30,000 sales; one store, product, customer and day hold a third, one sale id a sixth."""
     n = 30_000
     hot = "id % 3 = 0"
     sales = spark.range(n).selectExpr(
