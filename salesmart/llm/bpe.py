@@ -26,6 +26,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The pattern by which byte-level BPE splits text into words.
 WORDS = regex.compile(
@@ -380,7 +381,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
 def _through(docs: DataFrame, path: str, text: str, ids: str, decoded: str | None) -> DataFrame:
     added = [ids] + ([decoded] if decoded else [])
     kept = [c for c in docs.columns if c not in added]
-    schema = docs.select(*kept).schema.add(ids, "array<int>")
+    schema = docs.select(*kept).schema.add(ids, T.ArrayType(T.IntegerType()))
     if decoded:
         schema = schema.add(decoded, "string")
     at = kept.index(text)
