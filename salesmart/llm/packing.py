@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from salesmart.llm.bpe import slices, vocabulary
 from salesmart.llm.stored import drop, settle
@@ -102,7 +103,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, length: str = "length") -> Dat
     kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     todo = settle(pieces.select(*kept), "pieces")
     at = kept.index(length)
-    schema = todo.schema.add("shard", "long").add("sequence", "long").add("offset", "long").add("gap", "long")
+    schema = T.StructType([*todo.schema.fields]).add("shard", "long").add("sequence", "long").add("offset", "long").add("gap", "long")
 
     def pack_shard(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([(length, "descending"), *((c, "ascending") for c in kept if c != length and not pa.types.is_nested(rows.schema.field(c).type))])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from salesmart.llm import bpe, packing
+from salesmart.llm import bpe, langid, minhash, packing
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -29,7 +29,19 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return packing.pack(packing.cut(docs, TOKENIZER))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    told = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return told.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_packing": op3_packing,
+    "op6_language": op6_language,
+    "op7_minhash": op7_minhash,
 }
