@@ -2,4 +2,70 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from salesmart.llm.licenses import TEMPLATES, THRESHOLD
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_NOTICES = ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in TEMPLATES)
+
+
+def _bigrams(words: str) -> str:
+    return f"list_distinct(list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]))"
+
+
+ORACLE: dict[str, str] = {
+    "op7_minhash": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5
+                THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+                WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle
+            FROM w
+        ), n AS (
+            SELECT d.doc_id, count(s.shingle) AS n FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+        ), common AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT x, y FROM common JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id WHERE 100 * c >= 75 * (p.n + q.n - c)
+        ), reach AS (
+            SELECT doc_id AS node, doc_id AS seen FROM documents
+            UNION
+            SELECT r.node, l.y FROM reach r JOIN links l ON r.seen = l.x
+        )
+        SELECT n.doc_id, n.n AS n_shingles, min(seen) AS component_id, n.doc_id = min(seen) AS kept
+        FROM n JOIN reach ON node = n.doc_id GROUP BY n.doc_id, n.n""",
+    "op8_licenses": f"""
+        WITH t AS (
+            SELECT license, string_split(trim(regexp_replace(lower(notice), '[^a-z0-9]+', ' ', 'g')), ' ') AS words
+            FROM (VALUES {_NOTICES}) v(license, notice)
+        ), l AS (
+            SELECT doc_id, row_number() OVER () AS id, unnest(string_split(text, chr(10))) AS found,
+                unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line
+            FROM documents
+        ), p AS (
+            SELECT *, string_split(trim(regexp_replace(lower(found), '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM l
+        ), b AS (
+            SELECT id, line, doc_id, found, {_bigrams('words')} AS pairs FROM p
+        ), d AS (
+            SELECT b.*, license, 2.0::DOUBLE * len(list_intersect(b.pairs, u.pairs)) / (len(b.pairs) + len(u.pairs)) AS dice
+            FROM b JOIN (SELECT license, {_bigrams('words')} AS pairs FROM t) u ON len(list_intersect(b.pairs, u.pairs)) > 0
+        )
+        SELECT doc_id, line::INTEGER AS line, license, dice, found FROM d WHERE dice >= {THRESHOLD}
+        QUALIFY row_number() OVER (PARTITION BY id, line ORDER BY dice DESC, license) = 1""",
+    "op10_topk": """
+        WITH e AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::BIGINT AS score
+            FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+        FROM s QUALIFY rank <= 5""",
+}
