@@ -58,6 +58,22 @@ ORACLE: dict[str, str] = {
         )
         SELECT doc_id, line::INTEGER AS line, license, dice, found FROM d WHERE dice >= {THRESHOLD}
         QUALIFY row_number() OVER (PARTITION BY id, line ORDER BY dice DESC, license) = 1""",
+    "op9_projections": """
+        WITH RECURSIVE e AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+        ), reach AS (
+            SELECT vec_id AS node, vec_id AS seen FROM embeddings
+            UNION
+            SELECT r.node, l.y FROM reach r JOIN links l ON r.seen = l.x
+        ), c AS (
+            SELECT node AS vec_id, min(seen) AS component_id FROM reach GROUP BY node
+        )
+        SELECT c.vec_id, (SELECT count(*) FROM links WHERE x = c.vec_id) AS n_links, component_id, c.vec_id = component_id AS kept FROM c""",
     "op10_topk": """
         WITH e AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from salesmart.llm import bpe, langid, licenses, minhash, packing, topk
+from salesmart.llm import bpe, langid, licenses, minhash, packing, projections, topk
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -43,6 +43,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -54,5 +58,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op7_minhash": op7_minhash,
     "op8_licenses": op8_licenses,
+    "op9_projections": op9_projections,
     "op10_topk": op10_topk,
 }
