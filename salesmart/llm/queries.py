@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from salesmart.llm import bpe, langid, licenses, minhash, packing, projections, topk
+from salesmart.llm import bpe, langid, licenses, minhash, packing, projections, substring, topk
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -29,6 +30,11 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return packing.pack(packing.cut(docs, TOKENIZER))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     told = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
@@ -55,6 +61,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_packing": op3_packing,
+    "op4_substring": op4_substring,
     "op6_language": op6_language,
     "op7_minhash": op7_minhash,
     "op8_licenses": op8_licenses,

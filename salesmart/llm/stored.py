@@ -19,11 +19,22 @@ def folder(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return the stored table: lineage ends here and survives lost executors."""
+    """Write ``df`` once and return the stored table: lineage ends here and survives lost executors.
+
+    The write's own shuffle files are deleted when it has ended.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
