@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesmart.llm import bpe, langid, licenses, minhash, packing, projections, substring, topk
+from salesmart.llm import bpe, langid, licenses, minhash, packing, pfp, projections, substring, topk
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -35,6 +35,11 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = pfp.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     told = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_packing": op3_packing,
     "op4_substring": op4_substring,
+    "op5_suffixes": op5_suffixes,
     "op6_language": op6_language,
     "op7_minhash": op7_minhash,
     "op8_licenses": op8_licenses,
