@@ -28,11 +28,7 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
-
-
-def pack_documents(docs: DataFrame) -> DataFrame:
-    return packing.pack(packing.cut(docs, TOKENIZER))
+    return packing.pack(packing.cut(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ length, and each interval of that depth tells in how early a document its words
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ from salesmart.llm.words import hash_runs, hash_words
 WINDOW = 50
 GRAM = 12
 SHARD = 1_000_000  # words of an index, about
+SPACED = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
 class Wavelet:
@@ -141,9 +143,11 @@ def _contents(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
 KIND = Kind(WINDOW, GRAM, False, SHARD, hash_words, hash_runs, lambda words: words, _contents)
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spaced: bool = False) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept``: the words no repeated window covers, joined by a space.
 
+    ``spaced`` keeps the white space after each word that stays, and texts that lose nothing as they are.
+
     A window of 50 words is repeated if it also starts in a document with a smaller number.
     Null and empty texts have no words and an empty ``kept``; rows of one number are taken
     as copies of one text, and rows without a number keep their words. Existing columns of
@@ -165,7 +169,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 words = (value or "").encode().split()
                 gone = covered(runs, len(words), WINDOW) if runs else None
                 left = words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]
-                rows.append((len(words), len(words) - len(left), b" ".join(left).decode()))
+                if spaced and len(left) == len(words):
+                    kept = value or ""
+                elif spaced:
+                    kept = b"".join(w for w, g in zip(SPACED.findall(value.encode()), gone.tolist()) if not g).decode()
+                else:
+                    kept = b" ".join(left).decode()
+                rows.append((len(words), len(words) - len(left), kept))
             yield pa.RecordBatch.from_arrays([*some.columns[: len(names)], *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string())))], [*names, *added])
 
     return joined.mapInArrow(run, schema)
