@@ -79,7 +79,7 @@ class Model:
     languages: list[str]
     grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # hashes, log-probabilities; order 1 first
     contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # hashes, log of what is left for lower orders
-    unseen: float = 0.0
+    unseen: np.ndarray | None = None  # log-probability of a symbol that no language has
     limits: np.ndarray | None = None  # per language: mean, deviation and slack for short texts
 
     def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +123,6 @@ def learn(counts: pd.DataFrame) -> Model:
         symbols, lang, number = grouped[[*range(order - 1)]].to_numpy("u4"), grouped["lang"].to_numpy(), grouped["n"].to_numpy("f8")
     lower = np.zeros((0, len(languages)))
     known = len(np.unique(by_order[-1][0]))
-    model.unseen = float(-np.log(known + 1))
     for order, (symbols, lang, number) in enumerate(reversed(by_order), start=1):
         n = len(languages)
         keys, first, gram = np.unique(_hash([*symbols.T]), return_index=True, return_inverse=True)
@@ -143,6 +142,8 @@ def learn(counts: pd.DataFrame) -> Model:
         twos = np.array([(number[lang == k] == 2).sum() for k in range(n)])
         discount = np.minimum(ones / (ones + 2 * twos), 0.95)
         left = np.where(total > 0, discount * types / np.maximum(total, 1), 1.0)
+        if order == 1:
+            model.unseen = (np.log(left[0]) - np.log(known + 1)).astype("f4")
         lower = np.maximum(count - discount, 0) / np.maximum(total, 1)[owner] + left[owner] * below
         model.grams.append((keys, np.log(lower).astype("f4")))
         model.contexts.append((context_keys, np.log(left).astype("f4")))

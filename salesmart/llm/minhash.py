@@ -1,11 +1,12 @@
 """Near-duplicate documents by b-bit MinHash, confirmed on their full sets of shingles.
 
-Of each hash function's minimum only four bits are kept for estimates; bands of full
+Of each hash function's minimum only a few bits are kept for estimates; bands of full
 minima only make bucket numbers. Documents with equal sets are one representative from the
 start. In each bucket all members are first compared with its smallest; members of
-different components that remain are compared with each other in blocks. A pair whose
-estimate, corrected for chance collisions of the bits, is within reach of the threshold is
-confirmed or refuted on the whole sets.
+different components that remain are compared with each other in blocks, by longer
+signatures that are made for them alone. A pair whose estimate, corrected for chance
+collisions of the bits, is within reach of the threshold is confirmed or refuted on the
+whole sets.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ PERCENT = 75
 BANDS, ROWS, BITS = 32, 4, 4
 HASHES = BANDS * ROWS
 LONGS = HASHES * BITS // 64
+FINE, FINE_BITS = 1024, 2  # hash functions and bits kept where members of a bucket meet each other
 DEVIATIONS = 4.5  # by which an estimate may fall short of the threshold
 BLOCK = 2048  # members of a bucket compared with each other in one go
 
 _MULTIPLY = np.random.default_rng(7).integers(0, 2**63, HASHES, dtype="u8") * np.uint64(2) + np.uint64(1)
+_FINE = np.random.default_rng(8).integers(0, 2**63, FINE, dtype="u8") * np.uint64(2) + np.uint64(1)
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -41,17 +44,23 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return np.unique(hash_runs(words, min(WORDS, len(words))))
 
 
-def minima(found: np.ndarray) -> np.ndarray:
+def minima(found: np.ndarray, functions: np.ndarray = _MULTIPLY) -> np.ndarray:
     """The smallest value of each hash function over a set, as 32-bit numbers."""
-    out = np.full(HASHES, 2**32 - 1, "u8")
+    out = np.full(len(functions), 2**32 - 1, "u8")
     for at in range(0, len(found), 4096):
         some = found[at : at + 4096]
-        for k in range(0, HASHES, 16):
-            least = (some[None, :] * _MULTIPLY[k : k + 16, None]).min(axis=1) >> np.uint64(32)
+        for k in range(0, len(functions), 16):
+            least = (some[None, :] * functions[k : k + 16, None]).min(axis=1) >> np.uint64(32)
             np.minimum(out[k : k + 16], least, out=out[k : k + 16])
     return out
 
 
+def pack_bits(least: np.ndarray, bits: int) -> np.ndarray:
+    """The lowest bits of the minima, side by side in 64-bit numbers."""
+    low = (least & np.uint64(2**bits - 1)).reshape(len(least) * bits // 64, -1)
+    return (low << (np.arange(low.shape[1], dtype="u8") * np.uint64(bits))).sum(axis=1, dtype="u8")
+
+
 def _sets(texts: list[str | None]) -> Iterator[np.ndarray]:
     words, counts = hash_words([(t or "").encode().translate(LOWER) for t in texts])
     ends = np.cumsum(counts)
@@ -76,8 +85,7 @@ def sign(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 for k in range(ROWS):
                     band = mix(band * np.uint64(0x100000001B3) + least[k::ROWS])
                 buckets.append(band if len(found) else band[:0])
-                low = (least & np.uint64(2**BITS - 1)).reshape(LONGS, -1)
-                bits.append((low << (np.arange(low.shape[1], dtype="u8") * np.uint64(BITS))).sum(axis=1, dtype="u8"))
+                bits.append(pack_bits(least, BITS))
             ends = np.cumsum([0, *map(len, buckets)]).astype("i4")
             d0, d1 = np.array(digests, "u8").view("i8").T
             yield pa.RecordBatch.from_arrays(
@@ -89,17 +97,19 @@ def sign(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-CHANCE = 2.0**-BITS  # that the bits of different minima agree
-
+def least_matches(percent: int, hashes: int = HASHES, bits: int = BITS) -> int:
+    """Matching hash functions below which a pair at the threshold is next to impossible.
 
-def least_matches(percent: int) -> int:
-    """Matching hash functions below which a pair at the threshold is next to impossible."""
-    agree = CHANCE + (1 - CHANCE) * percent / 100
-    return int(HASHES * agree - DEVIATIONS * (HASHES * agree * (1 - agree)) ** 0.5)
+    The bits of different minima agree by chance once in ``2**bits``, so the share of
+    matches is ``chance + (1 - chance) * similarity``.
+    """
+    chance = 2.0**-bits
+    agree = chance + (1 - chance) * percent / 100
+    return int(hashes * agree - DEVIATIONS * (hashes * agree * (1 - agree)) ** 0.5)
 
 
 def matches(left: list[Column], right: list[Column]) -> Column:
-    """In how many hash functions the kept bits agree; ``(m / HASHES - CHANCE) / (1 - CHANCE)`` estimates the similarity."""
+    """In how many hash functions the kept bits agree."""
     nibbles = F.lit(0x1111111111111111)
     differ = []
     for a, b in zip(left, right):
@@ -145,41 +155,50 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("common") * 100 >= either * percent).select("a", "b")
 
 
+def _fine(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """Longer signatures of the documents in ``ids``, from their stored sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(1)
+            flat = own.flatten().to_numpy().view("u8")
+            ends = np.cumsum([0, *np.diff(own.offsets.to_numpy())])
+            fine = [pack_bits(minima(flat[i:j], _FINE), FINE_BITS).tobytes() for i, j in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.binary())], ["doc_id", "fine"])
+
+    return settle(sets.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, fine binary"), "fine")
+
+
 def _across(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket and different components within reach of the threshold.
 
-    ``members``: bucket, component, doc_id, n_shingles, bits, and the bucket's ``size``. A
-    large bucket is cut into blocks; each pair of blocks is compared on its own.
+    ``members``: bucket, component, doc_id, n_shingles, ``fine`` bits, and the bucket's
+    ``size``. A large bucket is cut into blocks; each pair of blocks is compared on its own.
     """
-    least = least_matches(percent)
+    most = FINE - least_matches(percent, FINE, FINE_BITS)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
-        "doc_id", "component", "n_shingles", *(f"s{i}" for i in range(LONGS)),
-    )
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n_shingles", "fine")
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id")
+    low = np.uint64(0x5555555555555555)
 
     def compare(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        bits = np.stack([rows[f"s{i}"] for i in range(LONGS)], axis=1).view("u8")
-        first = rows["own"] == rows["i"]
-        second = rows["own"] == rows["j"]
-        left, right = np.flatnonzero(first), np.flatnonzero(second)
-        found_a, found_b = [], []
-        for at in range(0, len(left), 64):
-            some = left[at : at + 64]
-            x = bits[some][:, None, :] ^ bits[right][None, :, :]
-            x |= x >> np.uint64(1)
-            x |= x >> np.uint64(2)
-            differ = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=2, dtype="i4")
-            n, m = rows["n_shingles"][some][:, None], rows["n_shingles"][right][None, :]
-            near = (differ <= HASHES - least) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
-            near &= rows["component"][some][:, None] != rows["component"][right][None, :]
-            a, b = np.nonzero(near)
-            found_a.append(rows["doc_id"][some][a])
-            found_b.append(rows["doc_id"][right][b])
-        return np.concatenate(found_a or [np.zeros(0, "i8")]), np.concatenate(found_b or [np.zeros(0, "i8")])
+        component, n, ids = rows["component"], rows["n_shingles"], rows["doc_id"]
+        left, right = np.flatnonzero(rows["own"] == rows["i"]), np.flatnonzero(rows["own"] == rows["j"])
+        found_a, found_b = [ids[:0]], [ids[:0]]
+        if len(left) and len(right) and (component != component[0]).any():
+            bits = np.frombuffer(b"".join(rows["fine"]), "u8").reshape(len(ids), -1)
+            against = bits[right].T.copy()
+            for one in left:
+                near = np.flatnonzero((component[right] != component[one]) & (np.minimum(n[right], n[one]) * 100 >= np.maximum(n[right], n[one]) * percent))
+                if len(near):
+                    x = against[:, near] ^ bits[one][:, None]
+                    x = (x | (x >> np.uint64(1))) & low
+                    near = near[np.bitwise_count(x).sum(axis=0, dtype="i4") <= most]
+                    found_a.append(np.full(len(near), ids[one]))
+                    found_b.append(ids[right[near]])
+        return np.concatenate(found_a), np.concatenate(found_b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches, ["bucket", "i", "j"]):
@@ -237,10 +256,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     links = settle(_confirmed(pairs, sets, percent), "links")
     tied = components(links).withColumnRenamed("node", "doc_id")
     labelled = same.join(tied, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = labelled.select("component", F.explode("buckets").alias("bucket"), "doc_id", "n_shingles", *(f"s{i}" for i in range(LONGS)))
+    placed = labelled.select("component", F.explode("buckets").alias("bucket"), "doc_id", "n_shingles")
     mixed = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = settle(mixed.where("lo <> hi").select("bucket", "size"), "mixed")
-    rest = settle(_across(placed.join(mixed, "bucket"), percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    members = settle(placed.join(mixed, "bucket"), "members")
+    fine = _fine(sets, members.select("doc_id").distinct())
+    rest = settle(_across(members.join(fine, "doc_id"), percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
     more = settle(_confirmed(rest, sets, percent), "links")
     tied = components(links.unionAll(more)).withColumnRenamed("node", "doc_id")
     label = same.select("d0", "d1", "n_shingles", "doc_id").join(tied, "doc_id", "left")
