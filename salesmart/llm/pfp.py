@@ -39,13 +39,14 @@ def refine(rank: np.ndarray, reach: int, left: np.ndarray) -> np.ndarray:
 
     ``rank`` counts the smaller suffixes and ``left`` the symbols to the string's end; the
     end sorts before every symbol. Only suffixes that are still alike and long enough are
-    looked at again, over twice the reach each time.
+    looked at again, over twice the reach each time; those that end just there come first.
     """
     n = len(rank)
     rank = rank.astype("i8")
-    live = np.flatnonzero((np.bincount(rank, minlength=n)[rank] > 1) & (left > reach))
+    live = np.flatnonzero((np.bincount(rank, minlength=n)[rank] > 1) & (left >= reach))
     while len(live):
-        key = rank[live] * (n + 1) + rank[live + reach] + 1
+        follow = np.where(left[live] > reach, rank[np.minimum(live + reach, n - 1)] + 1, 0)
+        key = rank[live] * (n + 1) + follow
         order = np.argsort(key, kind="stable")
         live, key = live[order], key[order]
         own = rank[live]
@@ -54,7 +55,7 @@ def refine(rank: np.ndarray, reach: int, left: np.ndarray) -> np.ndarray:
         rank[live] = own + equal - group
         reach *= 2
         size = np.bincount(equal, minlength=len(live))[equal]
-        live = live[(size > 1) & (left[live] > reach)]
+        live = live[(size > 1) & (left[live] >= reach)]
     return rank
 
 
