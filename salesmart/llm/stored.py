@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only a local session without it gets a folder of its own, once."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``; only a local session without a checkpoint folder gets one of its own, once."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="salesmart-llm-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="salesmart-llm-"))
+        named = context.getCheckpointDir()
     return f"{named.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
 
 

@@ -15,7 +15,7 @@ from salesmart.llm import langid
 from salesmart.llm.components import components
 from salesmart.llm.oracle import ORACLE
 from salesmart.llm.queries import QUERIES
-from salesmart.llm.stored import drop, settle
+from salesmart.llm.stored import drop, folder, settle
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,7 +39,7 @@ def test_components(spark):
 def test_stored_tables(spark):
     stored = settle(spark.range(5).withColumnRenamed("id", "n"), "numbers")
     assert sorted(r.n for r in stored.collect()) == [0, 1, 2, 3, 4]
-    assert spark.conf.get("spark.checkpoint.dir") in stored.inputFiles()[0]
+    assert folder(spark) in stored.inputFiles()[0]
     drop(stored)
     with pytest.raises(Exception, match="(?i)not exist|not found"):
         spark.read.parquet(stored.inputFiles()[0]).count()
