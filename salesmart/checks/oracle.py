@@ -15,6 +15,8 @@ REASONS = """CASE WHEN NOT coalesce(revenue > 0, false) THEN 'removed_negative_r
     WHEN NOT coalesce(profit <= revenue, false) THEN 'removed_invalid_profit' END"""
 AGE_GROUP = """CASE WHEN age IS NULL THEN NULL WHEN age <= 25 THEN '18-25' WHEN age <= 35 THEN '26-35'
     WHEN age <= 45 THEN '36-45' WHEN age <= 55 THEN '46-55' ELSE '56+' END"""
+DAY = """coalesce(try_cast(sale_date AS DATE),
+    CAST(try_strptime(sale_date, ['%m/%d/%Y', '%d.%m.%Y', '%Y%m%d']) AS DATE))"""
 FIRST = """QUALIFY row_number() OVER (PARTITION BY sale_id ORDER BY product_id NULLS FIRST,
     store_id NULLS FIRST, sale_date NULLS FIRST, revenue NULLS FIRST) = 1"""
 MONTHS_HE = (
@@ -93,6 +95,9 @@ FRAGMENTS = {
     "sales_dirty": """
         SELECT sale_id,
             CASE WHEN sale_id % 101 = 0 THEN NULL WHEN sale_id % 103 = 0 THEN 'no date'
+                WHEN sale_id % 4 = 1 THEN strftime(sale_date, '%m/%d/%Y')
+                WHEN sale_id % 4 = 2 THEN strftime(sale_date, '%d.%m.%Y')
+                WHEN sale_id % 4 = 3 THEN strftime(sale_date, '%Y%m%d')
                 ELSE CAST(sale_date AS VARCHAR) END AS sale_date,
             CASE WHEN sale_id % 131 = 0 THEN -1 ELSE store_id END AS store_id,
             CASE WHEN sale_id % 137 = 0 THEN NULL ELSE product_id END AS product_id,
@@ -103,7 +108,8 @@ FRAGMENTS = {
             CASE WHEN sale_id % 127 = 0 THEN revenue + 1 ELSE profit END AS profit
         FROM sales_raw""",
     "dirty_first": f"SELECT * FROM sales_dirty {FIRST}",
-    "dirty_dated": "SELECT * FROM dirty_first WHERE try_cast(sale_date AS DATE) IS NOT NULL",
+    "dirty_read": f"SELECT *, {DAY} AS day FROM dirty_first",
+    "dirty_dated": "SELECT * REPLACE (day AS sale_date) FROM dirty_read WHERE day IS NOT NULL",
     "dirty_judged": f"SELECT *, {REASONS} AS reason FROM dirty_dated",
     "dirty_clean": """
         SELECT sale_id, CAST(sale_date AS DATE) AS sale_date, store_id, product_id, customer_id,
@@ -157,6 +163,16 @@ FRAGMENTS = {
                 AS suggested_order_qty
         FROM (SELECT *, CASE WHEN stored_reorder > 0 THEN stored_reorder ELSE computed END AS rop FROM sized)
         WHERE current_stock <= rop""",
+    "low_alerts": """
+        SELECT CAST(NULL AS BIGINT) AS user_id, store_id, 'low_stock' AS type,
+        'הזמנה אוטומטית - ' || product_name AS title,
+        'נוצרה הצעת הזמנה אוטומטית של ' || suggested_order_qty || ' יחידות עבור ' || product_name || ' בסניף '
+            || store_name || '.' AS message, 'warning' AS severity, false AS is_read FROM suggestions""",
+    "order_alerts": """
+        SELECT CAST(NULL AS BIGINT) AS user_id, store_id, 'auto_order' AS type,
+        'הזמנה אוטומטית - ' || product_name AS title,
+        'הומלצה הזמנה אוטומטית של ' || suggested_order_qty || ' יחידות עבור ' || product_name || ' בסניף '
+            || store_name || '.' AS message, 'warning' AS severity, false AS is_read FROM orders_due""",
     # forecasts
     "monthly": """
         SELECT year, month, month_name, sum(revenue) AS revenue, sum(profit) AS profit
@@ -188,6 +204,26 @@ FRAGMENTS = {
             regr_slope(CAST(revenue AS DOUBLE), period) AS rs, regr_intercept(CAST(revenue AS DOUBLE), period) AS ri,
             regr_slope(CAST(profit AS DOUBLE), period) AS ps, regr_intercept(CAST(profit AS DOUBLE), period) AS pi
         FROM by_store GROUP BY store_id HAVING count(*) >= 3""",
+    "ar_steps": f"""
+        SELECT store_id, period, {dbl("revenue")} AS r, {dbl("profit")} AS p, make_date(year, month, 1) AS month_start,
+            {dbl("revenue")} - lag({dbl("revenue")}) OVER w AS dr, {dbl("profit")} - lag({dbl("profit")}) OVER w AS dp
+        FROM by_store WINDOW w AS (PARTITION BY store_id ORDER BY period)""",
+    "ar_pairs": """
+        SELECT *, lag(dr) OVER w AS lr, lag(dp) OVER w AS lp
+        FROM ar_steps WINDOW w AS (PARTITION BY store_id ORDER BY period)""",
+    "ar_slopes": """
+        SELECT store_id, greatest(-1, least(1, sum(dr * lr) / sum(lr * lr))) AS fr,
+            greatest(-1, least(1, sum(dp * lp) / sum(lp * lp))) AS fp, max(period) AS period
+        FROM ar_pairs GROUP BY store_id HAVING count(*) >= 4""",
+    "ar_ahead": """
+        SELECT store_id, CAST(month_start + to_months(CAST(step AS INTEGER)) AS DATE) AS d,
+            r + dr * list_sum([fr ** k FOR k IN range(1, step + 1)]) AS r,
+            p + dp * list_sum([fp ** k FOR k IN range(1, step + 1)]) AS p
+        FROM ar_pairs JOIN ar_slopes USING (store_id, period), generate_series(1, 6) AS g(step)""",
+    "calendar_lines": f"""
+        SELECT store_id, regr_slope({dbl("revenue")}, m) AS rs, regr_intercept({dbl("revenue")}, m) AS ri,
+            regr_slope({dbl("profit")}, m) AS ps, regr_intercept({dbl("profit")}, m) AS pi, max(m) AS m
+        FROM (SELECT *, year * 12 + month - 1 AS m FROM by_store) GROUP BY store_id HAVING count(*) >= 3""",
     # customers
     "features": f"""
         SELECT customer_id, age_group, gender, count(DISTINCT sale_id) AS transactions,
@@ -226,6 +262,10 @@ FRAGMENTS = {
         UNION ALL SELECT 0, 'admin', 'admin', NULL, NULL, TIMESTAMP '2019-12-31 08:00:00', NULL, true""",
 }
 
+# the same over all dates
+for _name in ("by_store", "store_fit", "features"):
+    FRAGMENTS[f"{_name}_ever"] = re.sub(r"\b(facts|by_store)\b", lambda m: {"facts": "fact", "by_store": "by_store_ever"}[m[1]], FRAGMENTS[_name])
+
 
 def _sql(statement: str) -> str:
     """Prepend the fragments that ``statement`` mentions, directly or not."""
@@ -258,7 +298,7 @@ _EXPORT = """
         quantity, f.revenue, f.profit
     FROM facts f JOIN stores_raw s USING (store_id) JOIN products_raw USING (product_id)
         JOIN customers_raw USING (customer_id)
-    ORDER BY date DESC, sale_id LIMIT 10000"""
+    """
 _EXPORT_OUT = f"""SELECT sale_id, date, store_name, city, region, product_name, category, customer_name, age_group,
     quantity, {dbl('revenue')} AS revenue, {dbl('profit')} AS profit FROM ({_EXPORT})"""
 _MONEY_TEXT = "regexp_replace(CAST(CAST({0} AS DECIMAL(12,2)) AS VARCHAR), '0$', '')"
@@ -316,7 +356,7 @@ _REPORT = f"""
     UNION ALL SELECT 'outliers', 'sales', 'outliers', CAST(outliers AS DOUBLE) FROM ({_iqr("dirty_first")})
     UNION ALL SELECT 'outliers', 'sales', 'outlier_pct', outlier_pct FROM ({_iqr("dirty_first")})
     UNION ALL SELECT 'data_types', 'sales', 'invalid_dates',
-        CAST(count(*) FILTER (WHERE try_cast(sale_date AS DATE) IS NULL) AS DOUBLE) FROM dirty_first
+        CAST(count(*) - count(day) AS DOUBLE) FROM dirty_read
     UNION ALL SELECT 'business_rules', 'sales', item, CAST(value AS DOUBLE)
         FROM (UNPIVOT (SELECT * EXCLUDE (rows_kept) FROM ({_RULES})) ON COLUMNS(*) INTO NAME item VALUE value)"""
 
@@ -328,15 +368,17 @@ ORACLE_BODIES = {
     "export_csv_roundtrip": _EXPORT_OUT,
     "report_lines": f"""SELECT CAST(date AS VARCHAR) || ' | ' || store_name || ' | ' || product_name || ' | ' || quantity
         || ' | ₪' || {_MONEY_TEXT.format("revenue")} AS line
-        FROM ({_EXPORT}) ORDER BY date DESC, sale_id LIMIT 200""",
+        FROM ({_EXPORT}) """,
     "dq_null_profile": f"""SELECT table_name, column_name, nulls,
         round(CAST(nulls AS DOUBLE) / n * 100, 6) AS null_pct FROM ({_NULLS})""",
     "dq_duplicate_keys": _duplicates(True),
     "dedupe_keep_first": f"SELECT {_SALE} FROM sales_first",
     "dq_iqr_outliers": _iqr("sales_first"),
     "dq_iqr_outliers_dirty": _iqr("dirty_first"),
-    "dq_invalid_dates": """SELECT count(*) FILTER (WHERE try_cast(sale_date AS DATE) IS NULL) AS invalid_dates,
-        count(try_cast(sale_date AS DATE)) AS valid_dates FROM dirty_first""",
+    "dq_invalid_dates": """SELECT count(*) - count(day) AS invalid_dates, count(day) AS valid_dates FROM dirty_read""",
+    "dq_missing_sale_ids": "SELECT count(*) FILTER (WHERE sale_id % 97 = 0) AS missing_ids, count(*) AS sales FROM sales_dirty",
+    "dedupe_partial_order": f"""SELECT {_SALE} FROM sales_raw QUALIFY row_number() OVER (PARTITION BY sale_id
+        ORDER BY store_id, sale_date, product_id, customer_id, quantity, revenue, cost, profit) = 1""",
     "dq_business_rules": _RULES,
     "dq_report": f"SELECT check_name, table_name, item, round(value, 6) AS value FROM ({_REPORT})",
     "dq_quality_score": f"""SELECT greatest(0.0, 100 - sum(least(15, 0.1 * duplicates))
@@ -393,12 +435,13 @@ ORACLE_BODIES = {
     "scope_store_manager": _kpis("facts", "store_id = 3"),
     "scope_without_store": _kpis("facts", "false"),
     "filter_last_year": _kpis("fact", f"date BETWEEN DATE '2000-11-04' AND {AS_OF}"),
+    "filter_until_today": _kpis("fact", "date BETWEEN DATE '1997-01-01' AND current_date"),
     "filter_trailing_days": _kpis("fact", f"date >= {AS_OF} - INTERVAL 60 DAY"),
     "star_join_3dim": f"""SELECT sale_id, d.date, day_of_week, is_weekend, store_name, region, product_name, category,
-        {dbl("revenue")} AS revenue FROM facts f JOIN dates d ON f.date_id = d.date_id
+        {dbl("revenue")} AS revenue FROM fact f JOIN dates d ON f.date_id = d.date_id
         JOIN stores_raw USING (store_id) JOIN products_raw USING (product_id)""",
     "star_join_4dim": f"""SELECT sale_id, date, store_name, s.city, category, customer_name, c.city AS customer_city,
-        age_group, {dbl("revenue")} AS revenue FROM facts JOIN stores_raw s USING (store_id)
+        age_group, {dbl("revenue")} AS revenue FROM fact JOIN stores_raw s USING (store_id)
         JOIN products_raw USING (product_id) JOIN customers_raw c USING (customer_id)""",
     "sales_trend": f"""SELECT year, month, {dbl("sum(revenue)")} AS revenue, {dbl("sum(profit)")} AS profit,
         count(DISTINCT sale_id) AS transactions, month_name FROM facts GROUP BY year, month, month_name""",
@@ -435,7 +478,7 @@ ORACLE_BODIES = {
         f"coalesce(round(({f} - avg({f}) OVER ()) / nullif(stddev_pop({f}) OVER (), 0), 6), 0) AS {f}_z"
         for f in ("transactions", "total_revenue", "avg_order_value", "total_quantity")
     )
-    + " FROM features",
+    + " FROM features_ever",
     "anomaly_daily": """SELECT strftime(date, '%Y-%m-%d') AS date, daily_revenue AS revenue, round(m, 4) AS expected_revenue,
         round((daily_revenue - m) / m * 100, 6) AS deviation,
         CASE WHEN daily_revenue > m THEN 'high' ELSE 'low' END AS type
@@ -498,15 +541,15 @@ ORACLE_BODIES = {
         JOIN products_raw USING (product_id) LEFT JOIN central USING (product_id)""",
     "inventory_levels_listing": """SELECT l.store_id, store_name, product_id, product_name, current_quantity, min_quantity,
         max_quantity, reorder_point, last_updated FROM levels l JOIN stores_raw s ON l.store_id = s.store_id
-        JOIN products_raw USING (product_id) ORDER BY last_updated DESC, l.store_id, product_id LIMIT 500""",
-    "low_stock_alerts": """SELECT CAST(NULL AS BIGINT) AS user_id, store_id, 'low_stock' AS type,
-        'הזמנה אוטומטית - ' || product_name AS title,
-        'נוצרה הצעת הזמנה אוטומטית של ' || suggested_order_qty || ' יחידות עבור ' || product_name || ' בסניף '
-            || store_name || '.' AS message, 'warning' AS severity, false AS is_read FROM suggestions""",
-    "auto_order_alerts": """SELECT CAST(NULL AS BIGINT) AS user_id, store_id, 'auto_order' AS type,
-        'הזמנה אוטומטית - ' || product_name AS title,
-        'הומלצה הזמנה אוטומטית של ' || suggested_order_qty || ' יחידות עבור ' || product_name || ' בסניף '
-            || store_name || '.' AS message, 'warning' AS severity, false AS is_read FROM orders_due""",
+        JOIN products_raw USING (product_id) """,
+    "stock_probe": """SELECT probe, store_id, product_id, CASE probe WHEN 'stock_levels.current_quantity' THEN current_stock ELSE 0 END
+            AS current_stock
+        FROM wanted, (VALUES ('stock_levels.current_quantity'), ('stock_levels.no_such_column'),
+            ('no_such_table.current_quantity')) v(probe)""",
+    "alerts_appended": f"""SELECT store_id, type, title, message, severity, is_read, CAST({AS_OF} AS TIMESTAMP) AS created_at,
+        count(*) AS ids, count(*) AS copies FROM (SELECT * FROM low_alerts UNION ALL SELECT * FROM order_alerts) GROUP BY ALL""",
+    "low_stock_alerts": "SELECT * FROM low_alerts",
+    "auto_order_alerts": "SELECT * FROM order_alerts",
     "inventory_cards": """SELECT CAST(floor((SELECT avg(eoq) FROM optimised) + 0.5) AS BIGINT) AS avg_eoq,
         (SELECT count(*) FROM suggestions) AS low_stock_count,
         CAST((SELECT sum(suggested_order_qty) FROM orders_due) AS BIGINT) AS total_auto_order_qty""",
@@ -514,7 +557,7 @@ ORACLE_BODIES = {
         FROM monthly""",
     "forecast_fallback": f"""SELECT year, month, {dbl("sum(revenue)")} AS revenue, {dbl("sum(profit)")} AS profit, month_name
         FROM fact WHERE store_id = 3 GROUP BY year, month, month_name""",
-    "period_index": "SELECT store_id, year, month, period FROM by_store",
+    "period_index": "SELECT store_id, year, month, period FROM by_store_ever",
     "forecast_r2": "SELECT months, "
     + ", ".join(
         f"round({m}_{s}, {6 if s == 'r2' else 4}) AS {m}_{s}"
@@ -526,7 +569,7 @@ ORACLE_BODIES = {
         is_forecast FROM ahead""",
     "forecast_calendar": """SELECT store_id, last_month, CAST(step AS INTEGER) AS step,
         CAST(last_month + to_months(CAST(step AS INTEGER)) AS DATE) AS date
-        FROM store_fit, generate_series(1, 12) AS g(step)""",
+        FROM store_fit_ever, generate_series(1, 12) AS g(step)""",
     "forecast_full": f"""SELECT year, month, round(revenue, 2) AS revenue, round(profit, 2) AS profit, month_name, is_forecast,
         year || '-' || lpad(CAST(month AS VARCHAR), 2, '0') AS label FROM (
         SELECT year, month, {dbl("revenue")} AS revenue, {dbl("profit")} AS profit, month_name, false AS is_forecast
@@ -536,6 +579,29 @@ ORACLE_BODIES = {
         monthname(d) AS month_name, true AS is_forecast
         FROM (SELECT *, CAST(last_month + to_months(CAST(step AS INTEGER)) AS DATE) AS d
             FROM store_fit, generate_series(1, 6) AS g(step))""",
+    "forecast_last_value_by_store": f"""SELECT store_id, CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month,
+        round(revenue, 2) AS revenue, round(profit, 2) AS profit, monthname(d) AS month_name, true AS is_forecast,
+        'arima(0,1,0)' AS fitted
+        FROM (SELECT store_id, {dbl("revenue")} AS revenue, {dbl("profit")} AS profit, step,
+                CAST(make_date(year, month, 1) + to_months(CAST(step AS INTEGER)) AS DATE) AS d
+            FROM by_store, generate_series(1, 6) AS g(step)
+            QUALIFY row_number() OVER (PARTITION BY store_id, step ORDER BY year DESC, month DESC) = 1)
+        WHERE store_id IN (SELECT store_id FROM by_store GROUP BY store_id HAVING count(*) >= 3)""",
+    "forecast_autoregressive_by_store": """SELECT store_id, CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month,
+        round(r, 2) AS revenue, round(p, 2) AS profit, monthname(d) AS month_name, true AS is_forecast, 'arima(1,1,0)' AS fitted
+        FROM ar_ahead""",
+    "forecast_calendar_trend_by_store": """SELECT store_id, CAST((m + step) // 12 AS INTEGER) AS year,
+        CAST((m + step) % 12 + 1 AS INTEGER) AS month,
+        round(ri + rs * (m + step), 2) AS revenue, round(pi + ps * (m + step), 2) AS profit,
+        monthname(make_date(2000, CAST((m + step) % 12 + 1 AS INTEGER), 1)) AS month_name, true AS is_forecast,
+        'trend, 0 waves' AS fitted FROM calendar_lines, generate_series(1, 6) AS g(step)""",
+    "forecast_skipped_series": """SELECT customer_id, months,
+            CASE WHEN months < 3 THEN 'fewer than 3 months' ELSE 'the order needs 8 months' END AS reason
+        FROM (SELECT customer_id, count(DISTINCT year * 12 + month) AS months FROM facts GROUP BY customer_id) WHERE months < 8""",
+    "segment_totals": """SELECT count(*) AS customers, round(CAST(sum(transactions) AS DOUBLE), 2) AS transactions,
+        round(sum(total_revenue), 2) AS total_revenue, round(sum(avg_order_value), 2) AS avg_order_value,
+        round(CAST(sum(total_quantity) AS DOUBLE), 2) AS total_quantity FROM features""",
+    "segment_nearest": "SELECT count(*) AS customers, 0 AS misplaced FROM features",
     "notification_feed_admin": """SELECT notification_id, type, title, message, severity, is_read,
         strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, store_name
         FROM notes LEFT JOIN stores_raw USING (store_id) WHERE user_id IS NULL OR user_id = 8
@@ -545,9 +611,13 @@ ORACLE_BODIES = {
         FROM notes n LEFT JOIN stores_raw s ON n.store_id = s.store_id
         WHERE (user_id IS NULL OR user_id = 8) AND (n.store_id IS NULL OR n.store_id = 3)
         ORDER BY n.created_at DESC, notification_id LIMIT 50""",
-    "notification_unread": """SELECT count(*) FILTER (WHERE NOT is_read) AS unread_count FROM (
-        SELECT is_read FROM notes WHERE (user_id IS NULL OR user_id = 8) AND (store_id IS NULL OR store_id = 3)
-        ORDER BY created_at DESC, notification_id LIMIT 50)""",
+    "notification_unread": """SELECT count(*) AS unread_count FROM notes
+        WHERE NOT is_read AND (user_id IS NULL OR user_id = 8) AND (store_id IS NULL OR store_id = 3)""",
+    "notification_feed_receipts": """SELECT notification_id, type, title, message, is_read OR type = 'purchase' AS is_read, severity,
+        strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, store_name
+        FROM notes n LEFT JOIN stores_raw s ON n.store_id = s.store_id
+        WHERE (user_id IS NULL OR user_id = 8) AND (n.store_id IS NULL OR n.store_id = 3)
+        ORDER BY n.created_at DESC, notification_id LIMIT 50""",
     "notification_mark_read": """SELECT notification_id, user_id, store_id, type, is_read OR type = 'purchase' AS is_read
         FROM notes""",
     "notification_mark_all": """SELECT notification_id, user_id, store_id, type,

@@ -24,12 +24,13 @@ from salesmart.plans import anomaly, forecast, inventory, notifications, reports
 from salesmart.sources import sinks
 from salesmart.sources.schemas import FACT_COLUMNS
 from salesmart.sources.shared import settle, shared_folder
-from salesmart.sources.tables import run_query
+from salesmart.sources.tables import optional_table, run_query
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 PERIOD = SalesFilter(date(1996, 1, 1), date(1997, 12, 31))
+EVER = SalesFilter(all_dates=True)
 MANAGER = Scope("store_manager", store_id=3, user_id=8)
 ADMIN_8 = Scope("admin", user_id=8)
 
@@ -84,10 +85,7 @@ def export_sales(spark, sf_dir):
 @query
 def export_csv_roundtrip(spark, sf_dir):
     rows = _export(spark, sf_dir)
-    folder = shared_folder(spark)
-    if folder is None:
-        return plain(rows)
-    path = f"{folder}/export-{uuid4().hex}"
+    path = f"{shared_folder(spark)}/export-{uuid4().hex}"
     sinks.write_csv(rows, path)
     return plain(spark.read.schema(rows.schema).option("header", True).csv(path))
 
@@ -120,6 +118,19 @@ def _deduplicated(raw):
     return settle(keep_first(raw.sales, "sale_id", t.SALES_ORDER), "deduplicated_sales")
 
 
+@query
+def dedupe_partial_order(spark, sf_dir):
+    """Ordered by the store alone: the other columns make the order total."""
+    rows = keep_first(t.raw_tables(spark, sf_dir).sales, "sale_id", ["store_id"])
+    return plain(rows.withColumn("sale_date", F.to_date("sale_date")))
+
+
+@query
+def dq_missing_sale_ids(spark, sf_dir):
+    sales = t.dirty_tables(spark, sf_dir).sales
+    return quality.missing_ids(sales.withColumn("sale_id", F.expr("case when sale_id % 97 = 0 then null else sale_id end")))
+
+
 @query
 def dq_iqr_outliers(spark, sf_dir):
     rows = _deduplicated(t.raw_tables(spark, sf_dir))
@@ -264,6 +275,7 @@ report(
 )
 report("scope_without_store", reports.kpis, PERIOD, Scope("store_manager"))
 report("filter_last_year", reports.kpis, SalesFilter.trailing_years(t.AS_OF))
+report("filter_until_today", reports.kpis, SalesFilter(date(1997, 1, 1)))
 report("filter_trailing_days", reports.kpis, trailing_days(t.AS_OF, 60))
 
 
@@ -272,7 +284,7 @@ report("filter_trailing_days", reports.kpis, trailing_days(t.AS_OF, 60))
 
 @query
 def star_join_3dim(spark, sf_dir):
-    rows = star_rows(t.stored(spark, sf_dir).star, PERIOD, ADMIN)
+    rows = star_rows(t.stored(spark, sf_dir).star, EVER, ADMIN)
     return plain(
         rows.select("sale_id", "date", "day_of_week", "is_weekend", "store_name", "region", "product_name", "category", "revenue")
     )
@@ -280,7 +292,7 @@ def star_join_3dim(spark, sf_dir):
 
 @query
 def star_join_4dim(spark, sf_dir):
-    rows = star_rows(t.stored(spark, sf_dir).star, PERIOD, ADMIN, ("date", "store", "product", "customer"))
+    rows = star_rows(t.stored(spark, sf_dir).star, EVER, ADMIN, ("date", "store", "product", "customer"))
     return plain(
         rows.select("sale_id", "date", "store_name", "city", "category", "customer_name", "customer_city", "age_group", "revenue")
     )
@@ -307,6 +319,7 @@ report(
     lambda *a: segments.standardise(settle(segments.customer_features(*a), "customer_features")).select(
         "customer_id", *(f"{f}_z" for f in segments.FEATURES)
     ),
+    EVER,
     **{f"{f}_z": 6 for f in segments.FEATURES},
 )
 report("anomaly_daily", lambda *a: anomaly.flag_days(reports.daily_sales(*a)), expected_revenue=4, deviation=6)
@@ -410,6 +423,19 @@ def inventory_levels_listing(spark, sf_dir):
     return inventory.list_levels(held.star, ADMIN, held.levels)
 
 
+@query
+def stock_probe(spark, sf_dir):
+    """Demand with the stock table that the catalog has, and with one that it lacks."""
+    held = t.stored(spark, sf_dir)
+    held.levels.createOrReplaceTempView("stock_levels")
+    found = []
+    for name, column in (("stock_levels", "current_quantity"), ("stock_levels", "no_such_column"), ("no_such_table", "current_quantity")):
+        levels = optional_table(spark, name, column)
+        wanted = inventory.demand(held.star, ADMIN, t.AS_OF, 60, levels)
+        found.append(wanted.select(F.lit(f"{name}.{column}").alias("probe"), "store_id", "product_id", "current_stock"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query
 def low_stock_alerts(spark, sf_dir):
     return inventory.low_stock_alerts(reorder_suggestions(spark, sf_dir))
@@ -420,6 +446,19 @@ def auto_order_alerts(spark, sf_dir):
     return inventory.auto_order_alerts(auto_orders(spark, sf_dir))
 
 
+@query
+def alerts_appended(spark, sf_dir):
+    """Two runs of one day append the same alerts; the second adds nothing."""
+    path = f"{shared_folder(spark)}/alerts-{uuid4().hex}"
+    now = F.lit(t.AS_OF).cast("timestamp_ntz")
+    first = low_stock_alerts(spark, sf_dir)
+    sinks.append_alerts(first, None, path, now)
+    sinks.append_alerts(first.unionByName(auto_order_alerts(spark, sf_dir)), spark.read.parquet(path), path, now)
+    stored = spark.read.parquet(path)
+    told = stored.groupBy("store_id", "type", "title", "message", "severity", "is_read", "created_at")
+    return told.agg(F.count_distinct("notification_id").alias("ids"), F.count("*").alias("copies"))
+
+
 @query
 def inventory_cards(spark, sf_dir):
     held = t.stored(spark, sf_dir)
@@ -456,7 +495,8 @@ def forecast_fallback(spark, sf_dir):
 
 @query
 def period_index(spark, sf_dir):
-    return forecast.with_period(_history(spark, sf_dir, ("store_id",)), ("store_id",)).select(
+    history = forecast.monthly_history(t.stored(spark, sf_dir).star, EVER, ADMIN, ("store_id",))
+    return forecast.with_period(history, ("store_id",)).select(
         "store_id", "year", "month", "period"
     )
 
@@ -473,7 +513,7 @@ def forecast_linear(spark, sf_dir):
 
 @query
 def forecast_calendar(spark, sf_dir):
-    history = _history(spark, sf_dir, ("store_id",))
+    history = forecast.monthly_history(t.stored(spark, sf_dir).star, EVER, ADMIN, ("store_id",))
     return forecast.future_months(forecast.linear_trend(history, ("store_id",)), 12).select(
         "store_id", "last_month", "step", "date"
     )
@@ -497,6 +537,34 @@ def forecast_arima_by_store(spark, sf_dir):
     return plain(forecast.forecast(history, "arima", by=("store_id",)), **AMOUNTS)
 
 
+@query
+def forecast_autoregressive_by_store(spark, sf_dir):
+    """Order 1,1,0: differences regressed on those before, through the origin."""
+    history = _history(spark, sf_dir, ("store_id",))
+    return plain(forecast.forecast(history, "arima", arima_order="1,1,0", by=("store_id",)), **AMOUNTS)
+
+
+@query
+def forecast_last_value_by_store(spark, sf_dir):
+    """Order 0,1,0: the last value goes on."""
+    history = _history(spark, sf_dir, ("store_id",))
+    return plain(forecast.forecast(history, "arima", arima_order="0,1,0", by=("store_id",)), **AMOUNTS)
+
+
+@query
+def forecast_calendar_trend_by_store(spark, sf_dir):
+    """The seasonal model without waves: a line over the calendar's months."""
+    history = _history(spark, sf_dir, ("store_id",))
+    return plain(forecast.seasonal_forecast(history, by=("store_id",), harmonics=0), **AMOUNTS)
+
+
+@query
+def forecast_skipped_series(spark, sf_dir):
+    """Customers' series are short: many have fewer months than an order needs."""
+    history = forecast.monthly_history(t.stored(spark, sf_dir).star, PERIOD, ADMIN, ("customer_id",))
+    return forecast.skipped_series(history, ("customer_id",), "arima", "2,1,2")
+
+
 @query
 def forecast_seasonal_by_store(spark, sf_dir):
     history = _history(spark, sf_dir, ("store_id",))
@@ -520,6 +588,16 @@ def segment_summary(spark, sf_dir):
     return segments.segment_summary(_segmented(spark, sf_dir))
 
 
+@query
+def segment_totals(spark, sf_dir):
+    return plain(segments.segment_totals(_segmented(spark, sf_dir)), **{f: 2 for f in segments.FEATURES})
+
+
+@query
+def segment_nearest(spark, sf_dir):
+    return segments.misplaced_customers(_segmented(spark, sf_dir))
+
+
 # ---- notifications and users
 
 
@@ -539,7 +617,13 @@ def notification_feed_store(spark, sf_dir):
 
 @query
 def notification_unread(spark, sf_dir):
-    return notifications.unread_count(_feed(spark, sf_dir, MANAGER))
+    return notifications.unread_count(t.notifications(spark, sf_dir), MANAGER)
+
+
+@query
+def notification_feed_receipts(spark, sf_dir):
+    notes, stores = t.notifications(spark, sf_dir), t.stores(spark, sf_dir)
+    return notifications.feed(notes, stores, MANAGER, receipts=t.read_receipts(spark, sf_dir))
 
 
 @query

@@ -6,6 +6,7 @@ is fixed in FIXTURES.md; every expression has a twin in ``oracle``.
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 from datetime import date
 from functools import reduce
@@ -43,6 +44,14 @@ SCHEMAS = {
 }
 
 
+def prepare(spark: SparkSession) -> None:
+    """Give a local check session that names no shared folder one of its own; clusters must name theirs."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None and context.master.startswith("local"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="salesmart-"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
@@ -134,10 +143,9 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> RawTables:
     Written once in a session, so that the checks and the load all read plain files
     and none repeats the join of lines to orders.
     """
+    prepare(spark)
     key, folder = _session_key(spark, sf_dir), shared_folder(spark)
     mapped = {"stores": stores, "products": products, "customers": customers, "sales": sales}
-    if folder is None:
-        return RawTables(*(build(spark, sf_dir) for build in mapped.values()))
     with _lock:
         if key not in _extracts:
             path = f"{folder}/extract-{len(_extracts)}"
@@ -158,7 +166,8 @@ def dirty_tables(spark: SparkSession, sf_dir: str) -> RawTables:
         raw.sales.selectExpr(
             "sale_id",
             "case when sale_id % 101 = 0 then null when sale_id % 103 = 0 then 'no date' "
-            "else cast(cast(sale_date as date) as string) end as sale_date",
+            "when sale_id % 4 = 1 then date_format(sale_date, 'MM/dd/yyyy') when sale_id % 4 = 2 then date_format(sale_date, 'dd.MM.yyyy') "
+            "when sale_id % 4 = 3 then date_format(sale_date, 'yyyyMMdd') else cast(cast(sale_date as date) as string) end as sale_date",
             "case when sale_id % 131 = 0 then -1 else store_id end as store_id",
             "case when sale_id % 137 = 0 then null else product_id end as product_id",
             "customer_id",
@@ -207,18 +216,13 @@ def central_inventory(star: Star) -> DataFrame:
 def stored(spark: SparkSession, sf_dir: str) -> Stored:
     """The warehouse for ``sf_dir``: loaded once in a session by the ETL job, then read.
 
-    Reports run on the loaded star, as they do for any user of the library. On a
-    cluster that names no shared folder nothing is stored and each report cleans
-    and conforms anew.
+    Reports run on the loaded star, as they do for any user of the library.
     """
+    prepare(spark)
     key = _session_key(spark, sf_dir)
     with _lock:
         if key not in _stored:
-            folder = shared_folder(spark)
-            if folder is None:
-                star = conformed(spark, sf_dir)
-            else:
-                star = run_etl(raw_tables(spark, sf_dir), f"{folder}/star-{len(_stored)}", SALES_ORDER)
+            star = run_etl(raw_tables(spark, sf_dir), f"{shared_folder(spark)}/star-{len(_stored)}", SALES_ORDER)
             _stored[key] = Stored(
                 star, settle(inventory_levels(star), "inventory_levels"), central_inventory(star)
             )
@@ -227,7 +231,7 @@ def stored(spark: SparkSession, sf_dir: str) -> Stored:
 
 def conformed(spark: SparkSession, sf_dir: str) -> Star:
     """The star as the conform step returns it, not yet written by month."""
-    return conform(clean(raw_tables(spark, sf_dir), SALES_ORDER))
+    return conform(clean(raw_tables(spark, sf_dir), SALES_ORDER), unique_sales=True)
 
 
 def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,24 +61,35 @@ def _admissible(found: np.ndarray, p: int) -> np.ndarray:
     return np.r_[_tamed(found[:p], 1.0), -_tamed(-found[p:], 0.99)]
 
 
-def fit_arma(x: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def months_needed(order: tuple[int, int, int]) -> int:
+    """The shortest series that can carry an order: one error more than coefficients after differencing."""
+    p, d, q = order
+    return d + (max(p, q) + p + q + 1 if p + q else 1)
+
+
+def fit_arma(x: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
     """AR and MA coefficients that minimise the sum of squared one-step errors, with
-    the errors before the first full set of lags taken as zero; and those errors.
+    the errors before the first full set of lags taken as zero; those errors; and whether
+    the search came to rest.
 
     Gauss-Newton from a regression guess, with shorter steps where a full one does
-    not help. Terms that a short series cannot carry are dropped.
+    not help. A series too short for the terms is an error.
     """
-    while p + q and len(x) - max(p, q) < p + q + 1:
-        p, q = (p, q - 1) if q else (p - 1, q)
+    if len(x) < months_needed((p, 0, q)):
+        raise ValueError(f"{len(x)} values can't carry {p} autoregressive and {q} moving-average terms")
     if p + q == 0:
-        return np.empty(0), np.empty(0), x.copy()
+        return np.empty(0), np.empty(0), x.copy(), True
 
     def errors_of(found: np.ndarray) -> np.ndarray:
         return _residuals(x, found[:p], found[p:])
 
     best = _admissible(_first_guess(x, p, q), p)
     errors = errors_of(best)
+    settled = False
     for _ in range(PASSES):
+        if not errors @ errors:
+            settled = True
+            break
         shifts = np.eye(p + q) * NUDGE
         slope = np.array([(errors_of(best + shift) - errors) / NUDGE for shift in shifts]).T
         step = np.linalg.lstsq(slope, -errors, rcond=None)[0]
@@ -89,23 +100,27 @@ def fit_arma(x: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.
                 break
             step = step / 2
         else:
+            settled = True  # no step helps
             break
         gain = 1 - (trial_errors @ trial_errors) / (errors @ errors)
         best, errors = trial, trial_errors
         if gain < 1e-10:
+            settled = True
             break
-    return best[:p], best[p:], errors
+    return best[:p], best[p:], errors, settled
 
 
-def arima_path(y: np.ndarray, order: tuple[int, int, int], steps: int) -> np.ndarray:
-    """The next ``steps`` values; a mean is fitted only without differencing."""
+def arima_path(y: np.ndarray, order: tuple[int, int, int], steps: int) -> tuple[np.ndarray, str]:
+    """The next ``steps`` values, and what was fitted; a mean is fitted only without differencing."""
     p, d, q = order
+    if len(y) < months_needed(order):
+        raise ValueError(f"{len(y)} values can't carry the order {order}")
     ends = []
-    for _ in range(min(d, len(y) - 1)):
+    for _ in range(d):
         ends.append(y[-1])
         y = np.diff(y)
     mean = y.mean() if not ends else 0.0
-    ar, ma, errors = fit_arma(y - mean, p, q)
+    ar, ma, errors, settled = fit_arma(y - mean, p, q)
     x, e = list(y - mean), list(errors)
     for _ in range(steps):
         x.append(sum(c * x[-i] for i, c in enumerate(ar, 1)) + sum(c * e[-i] for i, c in enumerate(ma, 1)))
@@ -113,13 +128,15 @@ def arima_path(y: np.ndarray, order: tuple[int, int, int], steps: int) -> np.nda
     path = np.array(x[len(x) - steps :]) + mean
     for end in reversed(ends):
         path = end + np.cumsum(path)
-    return path
+    return path, f"arima({p},{d},{q})" + ("" if settled else ", not converged")
 
 
-def seasonal_path(months: np.ndarray, y: np.ndarray, steps: int, harmonics: int = 3) -> np.ndarray:
-    """Straight trend plus yearly waves; the waves need two years of data.
+def seasonal_path(months: np.ndarray, y: np.ndarray, steps: int, harmonics: int = 3) -> tuple[np.ndarray, str]:
+    """Straight trend plus ``harmonics`` yearly waves, and what was fitted.
 
-    ``months`` are absolute month numbers (12 * year + month - 1).
+    ``months`` are absolute month numbers (12 * year + month - 1). Waves need two years of
+    data and two values more than twice their coefficients; the text tells how many were
+    fitted where a series has less.
     """
     waves = harmonics if months[-1] - months[0] >= 23 and len(y) >= 2 + 4 * harmonics else 0
 
@@ -131,4 +148,4 @@ def seasonal_path(months: np.ndarray, y: np.ndarray, steps: int, harmonics: int
         return np.column_stack(columns)
 
     weights = np.linalg.lstsq(design(months), y, rcond=None)[0]
-    return design(months[-1] + np.arange(1, steps + 1)) @ weights
+    return design(months[-1] + np.arange(1, steps + 1)) @ weights, f"trend, {waves} waves"

@@ -34,10 +34,10 @@ class RawTables:
 class Star:
     """The conformed tables.
 
-    ``conform`` guarantees two things the reports build on: every foreign key of
-    the fact exists in its dimension, and ``sale_id`` is unique and never null. For facts from
-    elsewhere whose ids may repeat, set ``unique_sales=False`` and transactions
-    are counted with an exact distinct count (one more shuffle of the ids).
+    Every foreign key of the fact exists in its dimension; ``conform`` sees to it. Where
+    ``sale_id`` is known to be unique and never null, as after the load, ``unique_sales``
+    says so, and counting sales needs no ids. Otherwise transactions are counted with
+    an exact distinct count (one more shuffle of the ids).
     """
 
     fact: DataFrame
@@ -45,7 +45,7 @@ class Star:
     dim_store: DataFrame
     dim_product: DataFrame
     dim_customer: DataFrame
-    unique_sales: bool = True
+    unique_sales: bool = False
 
 
 @dataclass(frozen=True)

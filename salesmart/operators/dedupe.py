@@ -25,11 +25,12 @@ def duplicate_count(df: DataFrame, key: str) -> DataFrame:
 def keep_first(df: DataFrame, key: str, order_by: Sequence[str] | None = None) -> DataFrame:
     """The first row of each key.
 
-    A distributed table has no file order, so "first" is by ``order_by``, or by all
-    other columns in schema order. Because only row number 1 is wanted, the planner
+    A distributed table has no file order, so "first" is by ``order_by`` and then by all
+    other columns in schema order: the same row however the table is partitioned. Because only row number 1 is wanted, the planner
     also applies the limit before the shuffle: each task sends one row per key, and
     a key that holds a third of the table arrives as one row per task.
     """
-    order = list(order_by or [c for c in df.columns if c != key])
+    order = list(order_by or [])
+    order += [c for c in df.columns if c != key and c not in order]
     position = F.row_number().over(W.partitionBy(key).orderBy(*order))
     return df.withColumn("_position", position).where("_position = 1").drop("_position")

@@ -12,7 +12,7 @@ from salesmart.functions.columns import percent
 from salesmart.model import RawTables, Star
 from salesmart.operators.dedupe import duplicate_count, keep_first
 from salesmart.operators.quantile import approximate_quantiles, exact_quantiles
-from salesmart.sources.shared import settle
+from salesmart.sources.shared import discard, settle
 
 # The three rules in the order they are applied, with their report names.
 RULES = (
@@ -40,8 +40,8 @@ def null_profiles(raw: RawTables) -> DataFrame:
     return reduce(DataFrame.unionByName, (null_profile(df, name) for name, _, df in raw.items()))
 
 
-def duplicate_counts(raw: RawTables) -> DataFrame:
-    """One row per table: duplicates of its primary key."""
+def duplicate_counts(raw: RawTables, names: Sequence[str] = ("stores", "products", "customers", "sales")) -> DataFrame:
+    """One row per named table: duplicates of its primary key."""
     return reduce(
         DataFrame.unionByName,
         (
@@ -49,6 +49,7 @@ def duplicate_counts(raw: RawTables) -> DataFrame:
                 F.lit(name).alias("table_name"), F.lit(key).alias("key_column"), "duplicates"
             )
             for name, key, df in raw.items()
+            if name in names
         ),
     )
 
@@ -80,17 +81,28 @@ def outlier_summary(sales: DataFrame, column: str = "revenue", exact: bool = Tru
     )
 
 
-def with_parsed_date(sales: DataFrame) -> DataFrame:
-    """Text dates become timestamps; what does not parse becomes null."""
+# Tried in this order after ISO text; of day and month with slashes the month comes first.
+DATE_FORMATS = ("M/d/yyyy", "yyyy/M/d", "d.M.yyyy", "yyyyMMdd", "MMM d, yyyy", "d MMM yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss")
+
+
+def with_parsed_date(sales: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+    """Text dates become timestamps by the first format that fits; what none reads becomes null."""
     if dict(sales.dtypes)["sale_date"] != "string":
         return sales
-    return sales.withColumn("sale_date", F.col("sale_date").try_cast("timestamp_ntz"))
+    text = F.trim("sale_date")
+    tried = (F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats)
+    return sales.withColumn("sale_date", F.coalesce(text.try_cast("timestamp_ntz"), *tried))
 
 
 def drop_invalid_dates(sales: DataFrame) -> DataFrame:
     return with_parsed_date(sales).where(F.col("sale_date").isNotNull())
 
 
+def missing_ids(sales: DataFrame) -> DataFrame:
+    """One row: sales without an id, which can be no facts, among all."""
+    return sales.agg(F.count_if(F.col("sale_id").isNull()).alias("missing_ids"), F.count("*").alias("sales"))
+
+
 def date_summary(sales: DataFrame) -> DataFrame:
     """One row: rows with and without a usable date."""
     bad = F.col("sale_date").isNull()
@@ -151,17 +163,29 @@ def quality_report(
     """Every check in one long table (check_name, table_name, item, value).
 
     Nulls and duplicates are counted on the raw tables; outliers, dates and rules
-    on the deduplicated sales, which the quantiles read several times and which are
-    therefore stored once.
+    on the deduplicated sales. Their few columns that these checks read are stored once,
+    and deleted when the report, a small stored table itself, is made. How many duplicates
+    the sales had follows from the numbers of rows.
     """
-    sales = settle(keep_first(raw.sales, "sale_id", sales_order), "deduplicated_sales")
+    first = keep_first(raw.sales, "sale_id", sales_order)
+    sales = settle(first.select("sale_date", "revenue", "quantity", "profit"), "deduplicated_sales")
+    report = settle(_report(raw, sales, exact), "quality_report")
+    discard(sales)
+    return report
+
+
+def _report(raw: RawTables, sales: DataFrame, exact: bool) -> DataFrame:
     nulls = null_profiles(raw).where("nulls > 0").select(
         F.lit("missing_values").alias("check_name"),
         "table_name",
         F.col("column_name").alias("item"),
         F.col("nulls").cast("double").alias("value"),
     )
-    duplicates = duplicate_counts(raw).select(
+    all_rows, first_rows = (df.agg(F.count("*").alias(n)) for df, n in ((raw.sales, "rows"), (sales, "first")))
+    beyond = all_rows.withColumn("duplicates", F.col("rows") - first_rows.scalar()).select(
+        F.lit("sales").alias("table_name"), F.lit("sale_id").alias("key_column"), "duplicates"
+    )
+    duplicates = duplicate_counts(raw, ("stores", "products", "customers")).unionByName(beyond).select(
         F.lit("duplicates").alias("check_name"),
         "table_name",
         F.col("key_column").alias("item"),

@@ -8,76 +8,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-COARSE = 1024  # cells of the first grid, and again within each chosen cell
-
-
-def _holding(counts: DataFrame, window, before: Column, ranks: dict[str, Column]) -> DataFrame:
-    """Keep the runs of values that hold a wanted rank; the others' ranks become null.
-
-    A run is ``n`` equal or neighbouring values, in value order in ``window``;
-    ``before`` is the number of values ahead of the window.
-    """
-    runs = counts.withColumn("_end", before + F.sum("n").over(window)).withColumn(
-        "before", F.col("_end") - F.col("n")
-    )
-    held = {
-        name: F.when((rank >= F.col("before")) & (rank < F.col("_end")), rank)
-        for name, rank in ranks.items()
-    }
-    return runs.withColumns(held).where(F.coalesce(*ranks).isNotNull()).drop("n", "_end")
+FEW = 100_000  # values that one task may put in order
+ACCURACY = 10_000  # of the sketch that proposes brackets
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: dict[str, float]) -> DataFrame:
-    """One row of linearly interpolated quantiles, nulls left out.
-
-    The built-in exact ``percentile`` gathers every distinct value in one task, and
-    the sketches of an approximate one all meet in one task. Here counts zoom in:
-    over a grid of 1024 cells between minimum and maximum, then over 1024 cells in
-    each of the few cells that hold a wanted rank, then by value in the few fine
-    cells left. Every step counts before it shuffles and keeps at most two cells per
-    quantile, so a value that fills a third of the table is one count like any
-    other, and no more values than fit in one millionth of the range are put in
-    order by a single task.
+    """One row of linearly interpolated quantiles; nulls and NaN are left out.
+
+    The built-in exact ``percentile`` gathers every distinct value in one task. Here each
+    wanted rank is bracketed: a sketch proposes two values around it, one count tells how
+    many values lie below, at and between them, and the rank's part is looked at again,
+    until it is one value or holds at most ``FEW`` values. Brackets follow ranks, not the
+    range of the values, so outliers don't widen them. Only counts and the proposed values
+    reach the driver.
     """
-    values = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull())
-    value = F.col("v").cast("double")
-    # one row to the driver: the grid and the ranks are literals in the plan
-    low, high, n = values.agg(F.min(value), F.max(value), F.count("v")).first()
-    if n == 0:
-        return values.agg(*(F.max(value).alias(name) for name in probabilities))
-
-    # rounding in these steps cannot reorder values, so cells keep the value order
-    place = (value - low) / (high - low) * (COARSE * COARSE) if high > low else F.lit(0)
-    cell = F.least(F.floor(place), F.lit(COARSE * COARSE - 1))
-    placed = values.withColumn("cell", cell).withColumn("coarse", F.floor(F.col("cell") / COARSE))
-
+    spark = df.sparkSession
+    value = F.col("v")
+    values = df.select(F.col(column).cast("double").alias("v")).where(value.isNotNull() & ~F.isnan(value))
+    n = values.count()
     position = {name: p * (n - 1) for name, p in probabilities.items()}
-    wanted = {}
-    for name, at in position.items():
-        wanted |= {f"{name}_below": F.lit(floor(at)), f"{name}_above": F.lit(ceil(at))}
-    carried = {name: F.col(name) for name in wanted}
-
-    def counted(rows: DataFrame, *keys: str) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.count("*").alias("n"))
-
-    # each set of chosen cells has at most two rows per quantile
-    coarse = counted(placed, "coarse")
-    coarse = _holding(coarse, W.orderBy("coarse"), F.lit(0), wanted)
-
-    fine = counted(placed.join(F.broadcast(coarse), "coarse"), "coarse", "cell", "before", *wanted)
-    fine = _holding(fine, W.partitionBy("coarse").orderBy("cell"), F.col("before"), carried).drop("coarse")
-
-    exact = counted(placed.drop("coarse").join(F.broadcast(fine), "cell"), "cell", "v", "before", *wanted)
-    exact = _holding(exact, W.partitionBy("cell").orderBy("v"), F.col("before"), carried)
-
-    def value_at(rank: str) -> Column:
-        return F.max(F.when(F.col(rank).isNotNull(), F.col("v").cast("double")))
-
-    def quantile(name: str) -> Column:
-        below, above = value_at(f"{name}_below"), value_at(f"{name}_above")
-        return below + (above - below) * (position[name] % 1)
-
-    return exact.agg(*(quantile(name).alias(name) for name in probabilities))
+    if n == 0:
+        return spark.range(1).select(*(F.lit(None).cast("double").alias(name) for name in probabilities))
+    found: dict[int, float] = {}
+    # rank -> open interval that holds it, values before the interval, values in it
+    todo = {r: (None, None, 0, n) for at in position.values() for r in (floor(at), ceil(at))}
+
+    def inside(rank: int) -> Column:
+        low, high = todo[rank][:2]
+        return (F.lit(True) if low is None else value > low) & (F.lit(True) if high is None else value < high)
+
+    while wide := [r for r in todo if todo[r][3] > FEW]:
+        cuts = {}
+        for r in wide:
+            share = (r - todo[r][2] + 0.5) / todo[r][3]
+            cuts[r] = F.array(*(F.lit(min(1.0, max(0.0, share + d / ACCURACY))) for d in (-2, 2)))
+        told = values.agg(*(F.percentile_approx(F.when(inside(r), value), cuts[r], F.lit(ACCURACY)).alias(str(r)) for r in wide)).first()
+        counts = values.agg(
+            *(
+                F.count_if(inside(r) & test(F.lit(bound))).alias(f"{r}_{i}")
+                for r in wide
+                for i, (bound, test) in enumerate(
+                    ((told[str(r)][0], value.__lt__), (told[str(r)][0], value.__eq__), (told[str(r)][1], value.__lt__), (told[str(r)][1], value.__eq__))
+                )
+            )
+        ).first()
+        for r in wide:
+            low, high, before, size = todo[r]
+            a, b = told[str(r)]
+            below, at_a, below_b, at_b = (counts[f"{r}_{i}"] for i in range(4))
+            k = r - before
+            if k < below:
+                todo[r] = (low, a, before, below)
+            elif k < below + at_a:
+                found[r] = a
+            elif k < below_b:
+                todo[r] = (a, b, before + below + at_a, below_b - below - at_a)
+            elif k < below_b + at_b:
+                found[r] = b
+            else:
+                todo[r] = (b, high, before + below_b + at_b, size - below_b - at_b)
+            if r in found:
+                del todo[r]
+    for r in todo:
+        counted = values.where(inside(r)).groupBy("v").agg(F.count("*").alias("n"))
+        ends = counted.withColumn("end", F.sum("n").over(W.orderBy("v")))  # at most FEW rows
+        found[r] = ends.where(F.col("end") > r - todo[r][2]).agg(F.min("v")).first()[0]
+
+    def quantile(at: float) -> float:
+        below, above = found[floor(at)], found[ceil(at)]
+        return below if below == above else below + (above - below) * (at % 1)
+
+    return spark.range(1).select(*(F.lit(float(quantile(at))).alias(name) for name, at in position.items()))
 
 
 def approximate_quantiles(df: DataFrame, column: str, probabilities: dict[str, float]) -> DataFrame:

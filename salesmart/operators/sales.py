@@ -35,7 +35,8 @@ def date_condition(flt: SalesFilter) -> Column | None:
         return year * 12 + month
 
     partition = months(F.col("year"), F.col("month"))
-    return F.col("date").between(start, end) & partition.between(
+    years = F.col("year").between(F.year(start), F.year(end))  # plain bounds, which a catalog can prune by
+    return F.col("date").between(start, end) & years & partition.between(
         months(F.year(start), F.month(start)), months(F.year(end), F.month(end))
     )
 
@@ -98,9 +99,10 @@ def star_rows(
 
 
 def attach_to_page(page: DataFrame, dimension: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Bring dimension columns to a page of limited length.
+    """Bring dimension columns to a page.
 
-    The page, not the dimension, is broadcast: its row limit bounds it, and the
-    dimension's keys are unique, so the result is no longer than the page.
+    A row limit tells the planner how large the page can be: it broadcasts a short one and
+    sort-merges a long one. The dimension's keys are unique, so the result is no longer
+    than the page.
     """
-    return dimension.select(key, *columns).join(F.broadcast(page), key)
+    return dimension.select(key, *columns).join(page, key)

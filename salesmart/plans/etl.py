@@ -13,7 +13,7 @@ from salesmart.functions.columns import quarter_name
 from salesmart.model import RawTables, Star
 from salesmart.operators.quality import clean, keep_valid_references
 from salesmart.sources.schemas import FACT_COLUMNS
-from salesmart.sources.shared import settle
+from salesmart.sources.shared import discard, settle
 from salesmart.sources.warehouse import open_star, write_star
 
 
@@ -60,24 +60,35 @@ def keyed(cleaned: RawTables) -> Star:
     The date dimension covers all clean sales, so every date must be known before
     the first sale can get its key. The clean sales are therefore stored once and
     read twice, which costs far less than deduplicating twice. A sale without an id
-    has no primary key and cannot be a fact.
+    has no primary key and cannot be a fact; ``quality.missing_ids`` counts them.
     """
-    sales = settle(dated(cleaned.sales), "clean_sales")
+    return _keyed(cleaned, settle(dated(cleaned.sales), "clean_sales"))
+
+
+def _keyed(cleaned: RawTables, sales: DataFrame) -> Star:
     dim_date = date_dimension(sales)
     fact = with_date_key(sales.where("sale_id is not null"), dim_date).select(*FACT_COLUMNS, "date", "year", "month")
     return Star(fact, dim_date, cleaned.stores, cleaned.products, customer_dimension(cleaned.customers))
 
 
-def conform(cleaned: RawTables) -> Star:
+def conform(cleaned: RawTables, unique_sales: bool = False) -> Star:
     """The star without the sales whose store, product or customer is unknown.
 
-    The date needs no check: its key was taken from the dimension.
+    The date needs no check: its key was taken from the dimension. ``unique_sales`` says
+    that the caller has removed repeated sales, as ``clean`` does.
     """
-    star = keyed(cleaned)
-    return replace(star, fact=keep_valid_references(star.fact, star, ("store", "product", "customer")))
+    return _conformed(keyed(cleaned), unique_sales)
+
+
+def _conformed(star: Star, unique_sales: bool) -> Star:
+    fact = keep_valid_references(star.fact, star, ("store", "product", "customer"))
+    return replace(star, fact=fact, unique_sales=unique_sales)
 
 
 def run_etl(raw: RawTables, folder: str, sales_order: Sequence[str] | None = None) -> Star:
-    """Clean, conform and store; return the stored star."""
-    write_star(conform(clean(raw, sales_order)), folder)
+    """Clean, conform and store; return the stored star. The copy of the clean sales goes afterwards."""
+    cleaned = clean(raw, sales_order)
+    sales = settle(dated(cleaned.sales), "clean_sales")
+    write_star(_conformed(_keyed(cleaned, sales), unique_sales=True), folder)
+    discard(sales)
     return open_star(raw.sales.sparkSession, folder)

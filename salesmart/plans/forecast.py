@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from salesmart.functions import series
 from salesmart.functions.columns import month_name, period_label
+from salesmart.functions.series import months_needed
 from salesmart.model import SalesFilter, Scope, Star
 from salesmart.operators.sales import select_sales
 from salesmart.sources.shared import settle
@@ -49,7 +50,7 @@ def history_or_fallback(star: Star, flt: SalesFilter, scope: Scope) -> DataFrame
         history = settle(monthly_history(star, chosen, scope), "monthly_history")
         if history.limit(LEAST_MONTHS).count() == LEAST_MONTHS:
             return history
-    raise ValueError("Not enough data for forecasting. Need at least 3 months of data.")
+    raise ValueError(f"a forecast needs {LEAST_MONTHS} months with sales, and there are fewer")
 
 
 def with_period(history: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -61,7 +62,7 @@ def with_period(history: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def linear_trend(history: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Least-squares line and R² of revenue and profit, one row per series.
 
-    Series with fewer than three months are left out.
+    Series with fewer than three months are left out; ``skipped_series`` lists them.
     """
     def fit(measure: str) -> list:
         y = F.col(measure).cast("double")
@@ -90,6 +91,16 @@ def future_months(trend: DataFrame, ahead: int) -> DataFrame:
     )
 
 
+def skipped_series(
+    history: DataFrame, by: Sequence[str] = (), model: str = "linear", arima_order: str = "1,1,1"
+) -> DataFrame:
+    """The series that a forecast leaves out: their keys, ``months`` and the ``reason``."""
+    needed = months_needed(parse_order(arima_order)) if model.lower() == "arima" else 0
+    months = F.col("months")
+    reason = F.when(months < LEAST_MONTHS, f"fewer than {LEAST_MONTHS} months").when(months < needed, f"the order needs {needed} months")
+    return history.groupBy(*by).agg(F.count("*").alias("months")).withColumn("reason", reason).where("reason is not null")
+
+
 def _labelled(forecast: DataFrame, language: str) -> DataFrame:
     return forecast.withColumn("month_name", month_name(F.col("month"), language)).withColumn(
         "is_forecast", F.lit(True)
@@ -117,28 +128,36 @@ def _forecast_by_fit(
     ahead: int,
     by: Sequence[str],
     language: str,
-    fit: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    fit: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, str]],
+    least: int = LEAST_MONTHS,
 ) -> DataFrame:
-    """Run ``fit(months, values)`` on every series, one series per group."""
+    """Run ``fit(months, values)`` on every series, one series per group.
+
+    ``fitted`` tells what was fitted to revenue and to profit. Series of fewer than
+    ``least`` months have no rows; ``skipped_series`` lists them.
+    """
     by = list(by)
 
     def one_series(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["year", "month"])
         months = (rows["year"] * 12 + rows["month"] - 1).to_numpy()
-        steps = ahead if len(rows) >= LEAST_MONTHS else 0
+        steps = ahead if len(rows) >= least else 0
         at = months[-1] + np.arange(1, steps + 1)
         out = pd.DataFrame({"year": at // 12, "month": at % 12 + 1})
         for c in by:
             out[c] = rows[c].iloc[0]
+        fitted = []
         for measure in ("revenue", "profit"):
-            out[measure] = fit(months, rows[measure].to_numpy()) if steps else np.empty(0)
-        return out[by + ["year", "month", "revenue", "profit"]]
+            out[measure], told = fit(months, rows[measure].to_numpy()) if steps else (np.empty(0), "")
+            fitted.append(told)
+        out["fitted"] = fitted[0] if fitted[0] == fitted[1] else "; ".join(fitted)
+        return out[by + ["year", "month", "revenue", "profit", "fitted"]]
 
     rows = history.select(
         *by, "year", "month", *(F.col(m).cast("double").alias(m) for m in ("revenue", "profit"))
     )
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in rows.columns)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in rows.columns) + ", fitted string"
     if by:
         # a fixed number of tasks: the rows are few, but each series takes time to fit
         tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -156,14 +175,15 @@ def arima_forecast(
     language: str = "en",
 ) -> DataFrame:
     path = series.arima_path
-    return _forecast_by_fit(history, ahead, by, language, lambda _, y: path(y, order, ahead))
+    least = max(LEAST_MONTHS, months_needed(order))
+    return _forecast_by_fit(history, ahead, by, language, lambda _, y: path(y, order, ahead), least)
 
 
 def seasonal_forecast(
-    history: DataFrame, ahead: int = 6, by: Sequence[str] = (), language: str = "en"
+    history: DataFrame, ahead: int = 6, by: Sequence[str] = (), language: str = "en", harmonics: int = 3
 ) -> DataFrame:
     path = series.seasonal_path
-    return _forecast_by_fit(history, ahead, by, language, lambda m, y: path(m, y, ahead))
+    return _forecast_by_fit(history, ahead, by, language, lambda m, y: path(m, y, ahead, harmonics))
 
 
 def parse_order(text: str) -> tuple[int, int, int]:
@@ -173,7 +193,7 @@ def parse_order(text: str) -> tuple[int, int, int]:
         if min(p, d, q) < 0:
             raise ValueError(text)
     except ValueError:
-        raise ValueError("Invalid ARIMA order. Use format p,d,q (e.g., 1,1,1).") from None
+        raise ValueError(f"{text!r} is no ARIMA order: three whole numbers such as 1,1,1") from None
     return p, d, q
 
 

@@ -19,8 +19,6 @@ from salesmart.operators.sales import (
 )
 from salesmart.operators.upsert import upsert
 
-LISTED_LEVELS = 500
-
 
 @dataclass(frozen=True)
 class StockPolicy:
@@ -176,8 +174,8 @@ def availability(
     return _named(rows, star)
 
 
-def list_levels(star: Star, scope: Scope, levels: DataFrame, rows: int = LISTED_LEVELS) -> DataFrame:
-    """The most recently updated levels with names."""
+def list_levels(star: Star, scope: Scope, levels: DataFrame, rows: int | None = None) -> DataFrame:
+    """Levels with names, the most recently updated first: all, or the first ``rows``."""
     newest = (F.col("last_updated").desc(), F.col("store_id"), F.col("product_id"))
     page = (
         restrict(levels, store_condition(scope))
@@ -185,9 +183,9 @@ def list_levels(star: Star, scope: Scope, levels: DataFrame, rows: int = LISTED_
             "store_id", "product_id", "current_quantity", "min_quantity",
             "max_quantity", "reorder_point", "last_updated",
         )
-        .orderBy(*newest)
-        .limit(rows)
     )
+    if rows is not None:
+        page = page.orderBy(*newest).limit(rows)
     page = attach_to_page(page, star.dim_store, "store_id", ["store_name"])
     page = attach_to_page(page, star.dim_product, "product_id", ["product_name"])
     return page.orderBy(*newest)

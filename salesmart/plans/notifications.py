@@ -16,18 +16,26 @@ def _own_or_shared(column: str, value) -> Column:
     return F.col(column).isNull() | (F.col(column) == F.lit(value).cast("bigint"))
 
 
-def feed(notifications: DataFrame, dim_store: DataFrame, scope: Scope, rows: int = FEED_ROWS) -> DataFrame:
-    """The newest notifications the caller may see.
+def visible(notifications: DataFrame, scope: Scope) -> DataFrame:
+    """Shared ones and the caller's own; for a manager also only those of no store or of the own store."""
+    seen = notifications.where(_own_or_shared("user_id", scope.user_id))
+    return seen if scope.is_admin else seen.where(_own_or_shared("store_id", scope.store_id))
 
-    Shared ones and the caller's own; for a manager also only those of no store or
-    of the own store. The newest are found first and only they get a store name.
+
+def feed(
+    notifications: DataFrame, dim_store: DataFrame, scope: Scope, rows: int = FEED_ROWS, receipts: DataFrame | None = None
+) -> DataFrame:
+    """The newest notifications the caller may see, a page of ``rows``.
+
+    The page is found first. Stores and receipts are reduced to those the page mentions,
+    a semi join with its few ids, before they meet it.
     """
-    visible = notifications.where(_own_or_shared("user_id", scope.user_id))
-    if not scope.is_admin:
-        visible = visible.where(_own_or_shared("store_id", scope.store_id))
     newest = (F.col("created_at").desc(), F.col("notification_id"))
-    page = visible.orderBy(*newest).limit(rows)
-    named = page.join(dim_store.select("store_id", "store_name"), "store_id", "left")
+    page = visible(notifications, scope).orderBy(*newest).limit(rows)
+    if receipts is not None:
+        page = mark_read(page, receipts.join(page.select("notification_id"), "notification_id", "left_semi"))
+    stores = dim_store.select("store_id", "store_name").join(page.select("store_id"), "store_id", "left_semi")
+    named = page.join(stores, "store_id", "left")
     return named.orderBy(*newest).select(
         "notification_id",
         "type",
@@ -40,9 +48,12 @@ def feed(notifications: DataFrame, dim_store: DataFrame, scope: Scope, rows: int
     )
 
 
-def unread_count(page: DataFrame) -> DataFrame:
-    """Unread rows of the page shown, not of the whole table."""
-    return page.agg(F.count_if(~F.col("is_read")).alias("unread_count"))
+def unread_count(notifications: DataFrame, scope: Scope, receipts: DataFrame | None = None) -> DataFrame:
+    """Unread among all notifications the caller may see, not only those of a page."""
+    unread = visible(notifications, scope).where(~F.col("is_read"))
+    if receipts is not None:
+        unread = unread.join(receipts.select("notification_id"), "notification_id", "left_anti")
+    return unread.agg(F.count("*").alias("unread_count"))
 
 
 def mark_read(notifications: DataFrame, receipts: DataFrame) -> DataFrame:

@@ -31,7 +31,6 @@ from salesmart.operators.sales import (
     transactions,
 )
 
-EXPORT_ROWS = 10_000
 TOP_STORES = 15
 TOP_PRODUCTS = 20
 CHART_PRODUCTS = 10
@@ -209,17 +208,18 @@ def daily_sales(star: Star, flt: SalesFilter, scope: Scope) -> DataFrame:
     )
 
 
-def export_sales(star: Star, flt: SalesFilter, scope: Scope, rows: int = EXPORT_ROWS) -> DataFrame:
-    """Newest sale rows with their names, ``sale_id`` added to make the order total.
+def export_sales(star: Star, flt: SalesFilter, scope: Scope, rows: int | None = None) -> DataFrame:
+    """Sale rows with their names, newest first, ``sale_id`` added to make the order total.
 
-    The newest rows are found on the fact alone; only they meet the dimensions.
+    All of them, unless a number of ``rows`` is asked for; then the newest are found on the
+    fact alone, and only they meet the dimensions.
     """
-    rows = (
-        select_sales(star, flt, scope)
-        .select("sale_id", "date", "store_id", "product_id", "customer_id", "quantity", "revenue", "profit")
-        .orderBy(F.col("date").desc(), "sale_id")
-        .limit(rows)
+    limit = rows
+    rows = select_sales(star, flt, scope).select(
+        "sale_id", "date", "store_id", "product_id", "customer_id", "quantity", "revenue", "profit"
     )
+    if limit is not None:
+        rows = rows.orderBy(F.col("date").desc(), "sale_id").limit(limit)
     for dimension, key, columns in (
         (star.dim_store, "store_id", ["store_name", "city", "region"]),
         (star.dim_product, "product_id", ["product_name", "category"]),
@@ -233,7 +233,7 @@ def export_sales(star: Star, flt: SalesFilter, scope: Scope, rows: int = EXPORT_
 
 
 def monthly_summary(star: Star) -> DataFrame:
-    """The monthly view: all sales, no filter."""
+    """The monthly view: all sales, no filter; who reads a view sorts it."""
     return (
         star.fact.groupBy("year", "month")
         .agg(
@@ -247,7 +247,6 @@ def monthly_summary(star: Star) -> DataFrame:
         )
         .withColumn("quarter", quarter_of(F.col("month")))
         .withColumn("month_name", month_name(F.col("month")))
-        .orderBy("year", "month")
     )
 
 
@@ -260,7 +259,7 @@ def store_summary(star: Star) -> DataFrame:
         _average().alias("avg_order_value"),
     )
     names = star.dim_store.select("store_id", "store_name", "city", "region", "store_type")
-    return by_store.join(names, "store_id").orderBy(F.col("total_revenue").desc(), "store_id")
+    return by_store.join(names, "store_id")
 
 
 def product_summary(star: Star) -> DataFrame:
@@ -272,7 +271,7 @@ def product_summary(star: Star) -> DataFrame:
         _average().alias("avg_revenue_per_sale"),
     )
     names = star.dim_product.select("product_id", "product_name", "category", "brand")
-    return by_product.join(names, "product_id").orderBy(F.col("total_revenue").desc(), "product_id")
+    return by_product.join(names, "product_id")
 
 
 def install_views(star: Star) -> None:
@@ -292,10 +291,13 @@ def install_views(star: Star) -> None:
 
 
 def filter_options(star: Star, scope: Scope) -> dict[str, DataFrame]:
-    """What the filter form offers: stores, categories, regions.
+    """What the filter form offers: stores, categories, regions, each in order."""
+    order = {"stores": ("store_name", "store_id"), "categories": ("category",), "regions": ("region",)}
+    return {name: options.orderBy(*order[name]) for name, options in _options(star, scope).items()}
 
-    A manager gets the own store and region, and the categories actually sold there.
-    """
+
+def _options(star: Star, scope: Scope) -> dict[str, DataFrame]:
+    """A manager gets the own store and region, and the categories actually sold there."""
     own = store_condition(scope)
     stores = restrict(star.dim_store, own)
     if scope.is_admin:
@@ -304,15 +306,15 @@ def filter_options(star: Star, scope: Scope) -> dict[str, DataFrame]:
         sold = restrict(star.fact, own).select("product_id").distinct()
         products = star.dim_product.join(sold, "product_id", "left_semi")
     return {
-        "stores": stores.select("store_id", "store_name", "city").distinct().orderBy("store_name", "store_id"),
-        "categories": products.select("category").distinct().orderBy("category"),
-        "regions": stores.select("region").distinct().orderBy("region"),
+        "stores": stores.select("store_id", "store_name", "city").distinct(),
+        "categories": products.select("category").distinct(),
+        "regions": stores.select("region").distinct(),
     }
 
 
 def filter_option_rows(star: Star, scope: Scope) -> DataFrame:
-    """The same options in one table: kind, id, label, city."""
-    options = filter_options(star, scope)
+    """The same options in one table: kind, id, label, city; in order of kind and label."""
+    options = _options(star, scope)
     none = F.lit(None)
     return reduce(
         DataFrame.unionByName,
@@ -333,7 +335,7 @@ def filter_option_rows(star: Star, scope: Scope) -> DataFrame:
                 none.cast("string").alias("city"),
             ),
         ),
-    )
+    ).orderBy("kind", "label", "id")
 
 
 def quarterly_sales(star: Star, flt: SalesFilter, scope: Scope) -> DataFrame:

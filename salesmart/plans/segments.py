@@ -8,7 +8,8 @@ from math import sqrt
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from salesmart.functions.columns import ratio
@@ -21,6 +22,7 @@ from salesmart.sources.shared import settle
 MOST_ITERATIONS = 300
 TOLERANCE = 1e-4
 SIDE_BY_SIDE = 5
+CUSTOMERS_A_PART = 200_000
 FEATURES = ["transactions", "total_revenue", "avg_order_value", "total_quantity"]
 
 
@@ -65,14 +67,17 @@ def segment_customers(
 
     The best of several seeded starts of distributed k-means. The features are
     stored first; a few starts run side by side over the same cached vectors, which
-    lost executors can rebuild from that table.
+    lost executors can rebuild from that table. The vectors are dealt by customer and sorted,
+    so that seeds choose the same ones however the features came; segments are numbered by
+    mean revenue.
     """
     table = settle(features, "customer_features")
     if table.limit(clusters).count() < clusters:
         return features.withColumn("segment", F.lit(None).cast("int")).where(F.lit(False))
     vectors = VectorAssembler(inputCols=[f"{c}_z" for c in FEATURES], outputCol="_vector")
     prepared = vectors.transform(standardise(table))
-    points = prepared.select("_vector").persist()
+    parts = 1 + table.count() // CUSTOMERS_A_PART
+    points = prepared.repartition(parts, "customer_id").sortWithinPartitions("customer_id").select("_vector").persist()
 
     def start(offset: int):
         return KMeans(
@@ -90,7 +95,41 @@ def segment_customers(
     finally:
         points.unpersist()
     best = min(models, key=lambda model: model.summary.trainingCost)
-    return best.transform(prepared).select(*features.columns, "segment")
+    placed = best.transform(prepared).select(*features.columns, F.col("segment").alias("_found"))
+    means = placed.groupBy("_found").agg(F.avg("total_revenue").alias("_mean"))  # one row a segment
+    numbered = means.select("_found", (F.row_number().over(W.orderBy("_mean", "_found")) - 1).alias("segment"))
+    return placed.join(F.broadcast(numbered), "_found").drop("_found")
+
+
+def segment_totals(segmented: DataFrame) -> DataFrame:
+    """One row: customers and the sums of their features, put together from the summary."""
+    summary = segment_summary(segmented)
+    n = F.col("customers_count")
+    return summary.agg(
+        F.sum(n).alias("customers"),
+        *(F.sum(n * F.col(m)).alias(c) for c, m in zip(FEATURES, ("avg_transactions", "avg_revenue", "avg_order_value", "avg_quantity"))),
+    )
+
+
+def misplaced_customers(segmented: DataFrame, slack: float = 1e-6) -> DataFrame:
+    """One row: customers that are nearer to the centre of another segment than to their own's.
+
+    Centres are means of the standardised features. Comparing takes one array of centres,
+    a row per segment.
+    """
+    scores = [f"{c}_z" for c in FEATURES]
+    table = standardise(segmented)
+    centres = table.groupBy("segment").agg(F.array(*(F.avg(z) for z in scores)).alias("centre"))
+    every = centres.agg(F.collect_list(F.struct("segment", "centre"))).scalar()
+    own = F.array(*scores)
+
+    def distance(centre: Column) -> Column:
+        return F.aggregate(F.zip_with(own, centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+
+    judged = table.withColumn("_centres", every).withColumn("_distances", F.transform("_centres", lambda c: F.struct(c["segment"].alias("segment"), distance(c["centre"]).alias("d"))))
+    mine = F.array_max(F.transform(F.filter("_distances", lambda c: c["segment"] == F.col("segment")), lambda c: c["d"]))
+    nearest = F.array_min(F.transform("_distances", lambda c: c["d"]))
+    return judged.agg(F.count("*").alias("customers"), F.count_if(mine > nearest + slack).alias("misplaced"))
 
 
 def segment_summary(segmented: DataFrame) -> DataFrame:

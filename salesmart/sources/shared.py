@@ -1,53 +1,44 @@
 """Intermediate tables in the folder that every executor can reach.
 
-The folder is the session's ``spark.checkpoint.dir``. Unlike cached blocks, a
+The folder is the session's ``spark.checkpoint.dir``, or the one given to
+``setCheckpointDir``. Unlike cached blocks, a
 table written there survives the loss of executors, and it cuts the lineage.
 """
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_folder: str | None = None
 
-
-def shared_folder(spark: SparkSession) -> str | None:
-    """The shared folder, or None on a cluster that names none.
-
-    In local mode, where driver and executors are one process, a folder of our
-    own stands in when the setting is missing.
-    """
-    global _own_folder
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and spark.sparkContext.master.startswith("local"):
-        _own_folder = _own_folder or tempfile.mkdtemp(prefix="salesmart-")
-        folder = _own_folder
-    if folder is None:
-        return None
+def shared_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; an error where the session names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{folder.rstrip('/')}/salesmart/{spark.sparkContext.applicationId}"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return the stored table.
-
-    For results that several jobs read. Without a shared folder the frame comes
-    back as it is: slower, the same rows.
-    """
+    """Write ``df`` once and return the stored table, for results that several jobs read."""
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
-        return df
-    path = f"{folder}/{name}-{uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete one settled table; its maker calls this when the last reader is done."""
+    for folder in {file.rsplit("/", 1)[0] for file in stored.inputFiles()}:
+        _delete(stored.sparkSession, folder)
+
+
 def release(spark: SparkSession) -> None:
     """Delete this session's intermediate tables; call it when their readers are done."""
-    folder = shared_folder(spark)
-    if folder is not None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_folder(spark))

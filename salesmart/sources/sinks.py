@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from salesmart.functions.columns import money_text
@@ -12,46 +15,55 @@ NOTIFICATION_COLUMNS = [
 ]
 
 
+def _write(df: DataFrame, save: Callable[[DataFrame], None]) -> None:
+    """Save in a single execution; an empty result is an error, raised when the files are written."""
+    seen = Observation()
+    save(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    if seen.get["rows"] == 0:
+        raise ValueError("the export has no rows")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header and no index column. An empty result is an error."""
-    if df.isEmpty():
-        raise ValueError("No data to export")
-    df.write.mode("overwrite").option("header", True).csv(path)
-
-
-def report_lines(export: DataFrame, rows: int = 200) -> DataFrame:
-    """The printed report: one text line for each of the first rows of the export."""
-    return (
-        export.orderBy(F.col("date").desc(), "sale_id")
-        .limit(rows)
-        .select(
-            "date",
-            "sale_id",
-            F.concat_ws(
-                " | ",
-                F.col("date").cast("string"),
-                "store_name",
-                "product_name",
-                F.col("quantity").cast("string"),
-                F.concat(F.lit("₪"), money_text(F.col("revenue"))),
-            ).alias("line"),
-        )
+    _write(df, lambda rows: rows.write.mode("overwrite").option("header", True).csv(path))
+
+
+def report_lines(export: DataFrame, rows: int | None = None) -> DataFrame:
+    """The printed report: one text line for each row of the export, or for its first ``rows``."""
+    if rows is not None:
+        export = export.orderBy(F.col("date").desc(), "sale_id").limit(rows)
+    return export.select(
+        "date",
+        "sale_id",
+        F.concat_ws(
+            " | ",
+            F.col("date").cast("string"),
+            "store_name",
+            "product_name",
+            F.col("quantity").cast("string"),
+            F.concat(F.lit("₪"), money_text(F.col("revenue"))),
+        ).alias("line"),
     )
 
 
-def write_report(export: DataFrame, path: str) -> None:
-    if export.isEmpty():
-        raise ValueError("No data to export")
-    lines = report_lines(export).orderBy(F.col("date").desc(), "sale_id")
-    lines.select("line").coalesce(1).write.mode("overwrite").text(path)
+def write_report(export: DataFrame, path: str, rows: int | None = None) -> None:
+    """The lines as text files whose names follow the order of the report."""
+    lines = report_lines(export, rows).orderBy(F.col("date").desc(), "sale_id")
+    _write(lines.select("line"), lambda text: text.write.mode("overwrite").text(path))
 
 
 def append_alerts(alerts: DataFrame, existing: DataFrame | None, path: str, now: Column) -> None:
-    """Append alerts to the stored notifications, numbered after the existing ones."""
-    last = F.lit(0) if existing is None else F.coalesce(
-        existing.agg(F.max("notification_id")).scalar(), F.lit(0)
-    )
-    numbered = alerts.withColumn("notification_id", last + 1 + F.monotonically_increasing_id())
-    numbered.withColumn("created_at", now.cast("timestamp_ntz")).select(
-        *NOTIFICATION_COLUMNS
-    ).write.mode("append").parquet(path)
+    """Append alerts to the stored notifications.
+
+    An alert's number is a hash of what it says, where, and of the day, with a count where
+    several say the same: two runs that append side by side can't take one number for
+    different alerts, and a second run of one day adds nothing that is there already.
+    """
+    moment = now.cast("timestamp_ntz")
+    said = ["type", "store_id", "title", "message"]
+    nth = F.row_number().over(W.partitionBy(*said).orderBy("severity"))
+    number = F.xxhash64(*said, moment.cast("date"), nth).bitwiseAND(F.lit(2**63 - 1))
+    numbered = alerts.withColumn("notification_id", number)
+    if existing is not None:
+        numbered = numbered.join(existing.select("notification_id"), "notification_id", "left_anti")
+    numbered.withColumn("created_at", moment).select(*NOTIFICATION_COLUMNS).write.mode("append").parquet(path)

@@ -26,17 +26,48 @@ def write_fact(fact: DataFrame, path: str) -> None:
     )
 
 
-def write_star(star: Star, folder: str) -> None:
-    """Full refresh: dimensions first, then the fact."""
+def _published(spark: SparkSession, folder: str) -> tuple:
+    """The file system, the folder of markers, and the numbers of the published versions."""
+    markers = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/published")
+    files = markers.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [int(f.getPath().getName()) for f in files.listStatus(markers)] if files.exists(markers) else []
+    return files, markers, found
+
+
+def write_star(star: Star, folder: str) -> int:
+    """Full refresh into a new version, which is published when all of it is written.
+
+    Readers see the old version or the new one, never a mixture; a load that fails
+    publishes nothing. The version's number is returned; ``drop_versions`` deletes old ones.
+    """
+    spark = star.fact.sparkSession
+    files, markers, found = _published(spark, folder)
+    version = max(found, default=0) + 1
+    path = f"{folder}/version-{version}"
     for name in ("dim_date", "dim_store", "dim_product", "dim_customer"):
-        getattr(star, name).write.mode("overwrite").parquet(f"{folder}/{name}")
-    write_fact(star.fact, f"{folder}/fact")
+        getattr(star, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    write_fact(star.fact, f"{path}/fact")
+    spark.range(1).select(F.lit(star.unique_sales).alias("unique_sales")).write.mode("overwrite").parquet(f"{path}/load")
+    files.mkdirs(markers)
+    if not files.createNewFile(spark._jvm.org.apache.hadoop.fs.Path(markers, str(version))):
+        raise RuntimeError(f"version {version} of {folder} was published by another load meanwhile")
+    return version
 
 
 def open_star(spark: SparkSession, folder: str) -> Star:
-    return Star(
-        **{
-            name: spark.read.schema(schema).parquet(f"{folder}/{name}")
-            for name, schema in WAREHOUSE.items()
-        }
-    )
+    """The version published last."""
+    found = _published(spark, folder)[2]
+    if not found:
+        raise FileNotFoundError(f"no star is published in {folder}")
+    path = f"{folder}/version-{max(found)}"
+    tables = {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in WAREHOUSE.items()}
+    return Star(**tables, unique_sales=spark.read.schema("unique_sales boolean").parquet(f"{path}/load").first()[0])
+
+
+def drop_versions(spark: SparkSession, folder: str, keep: int = 2) -> None:
+    """Delete all but the ``keep`` newest versions; for when nobody reads the older ones."""
+    files, markers, found = _published(spark, folder)
+    for version in sorted(found)[: max(0, len(found) - keep)]:
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        files.delete(path(markers, str(version)), False)
+        files.delete(path(f"{folder}/version-{version}"), True)

@@ -77,7 +77,7 @@ def test_demand(spark):
 def test_feed(spark):
     admin = QUERIES["notification_feed_admin"](spark, SF).collect()
     assert (len(admin), sum(not r.is_read for r in admin)) == (50, 24)
-    assert one(spark, "notification_unread").unread_count == 14
+    assert one(spark, "notification_unread").unread_count == 44
 
 
 def test_customers_and_score(spark):

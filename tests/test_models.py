@@ -7,7 +7,7 @@ import pytest
 from conftest import SF
 
 from salesmart.checks import retail_tables as t
-from salesmart.functions.series import arima_path, fit_arma, seasonal_path
+from salesmart.functions.series import arima_path, fit_arma, months_needed, seasonal_path
 from salesmart.model import ADMIN, SalesFilter, Scope
 from salesmart.plans import anomaly, forecast, reports, segments
 
@@ -72,7 +72,7 @@ def test_missing_months_leave_no_gap(spark):
 def test_too_short_series(spark):
     star = t.stored(spark, SF).star
     one_day = SalesFilter(date(1996, 1, 1), date(1996, 1, 1))
-    with pytest.raises(ValueError, match="at least 3 months"):
+    with pytest.raises(ValueError, match="needs 3 months"):
         forecast.history_or_fallback(star, one_day, Scope("store_manager"))
     assert forecast.linear_forecast(history(spark, [1, 2]), 3).count() == 0
     assert forecast.arima_forecast(history(spark, [1, 2]), ahead=3).count() == 0
@@ -94,7 +94,7 @@ def test_dispatch_reaches_the_fitted_models(spark):
 
 @pytest.mark.parametrize("text", ["1,1", "a,b,c", "1,1,1,1", "", "1,-1,1"])
 def test_bad_order(text):
-    with pytest.raises(ValueError, match="Invalid ARIMA order"):
+    with pytest.raises(ValueError, match="is no ARIMA order"):
         forecast.parse_order(text)
     assert forecast.parse_order(" 2, 1,0") == (2, 1, 0)
 
@@ -112,7 +112,7 @@ def test_arma_recovers_its_coefficients():
     x = np.zeros(4000)
     for i in range(1, 4000):
         x[i] = 0.6 * x[i - 1] + shocks[i] + 0.3 * shocks[i - 1]
-    ar, ma, _ = fit_arma(x, 1, 1)
+    ar, ma, _, _ = fit_arma(x, 1, 1)
     assert ar[0] == pytest.approx(0.6, abs=0.07)
     assert ma[0] == pytest.approx(0.3, abs=0.07)
 
@@ -130,7 +130,8 @@ def squared_errors(x, phi, theta):
 def test_arma_is_the_least_squares_fit(seed):
     """No point of a fine grid over all admissible coefficients does better."""
     x = np.random.default_rng(seed).normal(0, 10, 24).cumsum() / (1 + seed)
-    ar, ma, errors = fit_arma(x, 1, 1)
+    ar, ma, errors, settled = fit_arma(x, 1, 1)
+    assert settled
     found = squared_errors(x, ar[0], ma[0])
     assert errors @ errors == pytest.approx(found)
     grid = np.linspace(-0.99, 0.99, 100)
@@ -139,16 +140,33 @@ def test_arma_is_the_least_squares_fit(seed):
 
 @pytest.mark.parametrize("order", [(1, 1, 1), (0, 1, 0), (2, 1, 0), (0, 0, 1), (3, 2, 2), (0, 0, 0)])
 @pytest.mark.parametrize("n", [3, 4, 6, 30])
-def test_arima_is_finite_for_any_length(order, n):
+def test_arima_fits_the_given_order_or_none(order, n):
     y = np.random.default_rng(n).normal(100, 10, n)
-    path = arima_path(y, order, 6)
+    if n < months_needed(order):
+        with pytest.raises(ValueError, match="can't carry"):
+            arima_path(y, order, 6)
+        return
+    path, fitted = arima_path(y, order, 6)
     assert len(path) == 6 and np.isfinite(path).all()
+    assert fitted.startswith("arima({},{},{})".format(*order))
+
+
+def test_short_series_are_told(spark):
+    rows = [(s, 2024, m, float(10 * s + m), 1.0) for s, n in ((1, 2), (2, 5), (3, 12)) for m in range(1, n + 1)]
+    history = spark.createDataFrame(rows, "store_id int, year int, month int, revenue double, profit double")
+    for model, order, left in (("linear", "1,1,1", {1}), ("arima", "2,1,2", {1, 2}), ("prophet", "1,1,1", {1})):
+        skipped = {r.store_id: r.reason for r in forecast.skipped_series(history, ["store_id"], model, order).collect()}
+        assert set(skipped) == left and skipped[1] == "fewer than 3 months"
+        done = forecast.forecast(history, model, 3, order, ["store_id"]).collect()
+        assert {r.store_id for r in done} == {1, 2, 3} - left
+        if model == "prophet":
+            assert {r.fitted for r in done} == {"trend, 0 waves"}  # a year is too short for waves
 
 
 def test_random_walk_and_mean():
     y = np.array([3.0, 9.0, 4.0, 8.0])
-    assert arima_path(y, (0, 1, 0), 3) == pytest.approx([8, 8, 8])
-    assert arima_path(y, (0, 0, 0), 2) == pytest.approx([6, 6])
+    assert arima_path(y, (0, 1, 0), 3)[0] == pytest.approx([8, 8, 8])
+    assert arima_path(y, (0, 0, 0), 2)[0] == pytest.approx([6, 6])
 
 
 def test_seasonal_reproduces_its_own_model():
@@ -156,7 +174,7 @@ def test_seasonal_reproduces_its_own_model():
     y = 100 + 2.0 * (m - m[0]) + 10 * np.cos(2 * np.pi * m / 12) + 4 * np.sin(4 * np.pi * m / 12)
     ahead = m[-1] + np.arange(1, 7)
     expected = 100 + 2.0 * (ahead - m[0]) + 10 * np.cos(2 * np.pi * ahead / 12) + 4 * np.sin(4 * np.pi * ahead / 12)
-    assert seasonal_path(m, y, 6) == pytest.approx(expected, rel=1e-8)
+    assert seasonal_path(m, y, 6)[0] == pytest.approx(expected, rel=1e-8)
 
 
 def test_same_seed_same_segments(spark):
@@ -167,6 +185,11 @@ def test_same_seed_same_segments(spark):
         for _ in range(2)
     ]
     assert runs[0] == runs[1]
+    spread = [
+        sorted((r.customer_id, r.segment) for r in segments.segment_customers(features.repartition(n), 3, restarts=2).collect())
+        for n in (1, 4, 16)
+    ]
+    assert spread == [runs[0]] * 3  # however the features come, and numbered by mean revenue
     assert segments.segment_customers(features.limit(2), 3).count() == 0
 
 

@@ -8,7 +8,8 @@ from conftest import SF
 
 import __spark_entry__ as registered
 
-QUERIES, ORACLE = registered.queries(), registered.oracle_sql()
+QUERIES = {n: q for n, q in registered.queries().items() if n not in registered.LLM_QUERIES}
+ORACLE = {n: q for n, q in registered.oracle_sql().items() if n not in registered.LLM_ORACLE}
 
 
 @pytest.fixture(scope="module")

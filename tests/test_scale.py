@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
+import numpy as np
+import pandas as pd
 import pytest
-from compare import connect, differences
 from conftest import SF
 from pyspark.sql import functions as F
 
 from salesmart.checks import retail_tables as t
-from salesmart.checks.oracle import ORACLE
-from salesmart.checks.queries import QUERIES
 from salesmart.model import ADMIN, RawTables, SalesFilter
+from salesmart.operators import quality, quantile
+from salesmart.operators.dedupe import keep_first
 from salesmart.plans import etl, inventory, reports, segments
-from salesmart.sources import shared
+from salesmart.sources import shared, warehouse
 
 
 @pytest.fixture(scope="module")
@@ -86,26 +88,82 @@ def test_large_dimensions_give_the_same_reports(spark, hot):
             spark.conf.unset(setting)
 
 
-def test_without_a_shared_folder_everything_stays_lazy(spark, monkeypatch):
-    for module in (shared, t):
-        monkeypatch.setattr(module, "shared_folder", lambda _: None)
-    monkeypatch.setattr(t, "_stored", {})
-    monkeypatch.setattr(t, "_extracts", {})
-    duck = connect(SF)
-    for name in ("kpis", "demand_with_stock", "dq_report", "forecast_fallback", "fk_semi_join"):
-        assert differences(QUERIES[name](spark, SF), duck, ORACLE[name]) == []
-
-
-def test_local_session_without_setting_gets_a_folder(spark, monkeypatch):
-    class Conf:
-        def get(self, *_):
-            return None
-
-    class Session:
-        conf = Conf()
-        sparkContext = spark.sparkContext
-
-    assert "/salesmart-" in shared.shared_folder(Session())
+class Session:
+    """A session without the setting for the shared folder."""
+
+    def __init__(self, master: str) -> None:
+        self.folder, self.master, self.applicationId = None, master, "app-1"
+        self.conf = self.sparkContext = self
+
+    def get(self, key, default=None):
+        return default
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_the_shared_folder_must_be_named():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_folder(Session("local[2]"))
+    cluster, local = Session("spark://host:7077"), Session("local[2]")
+    for session in (cluster, local):
+        t.prepare(session)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_folder(cluster)
+    assert shared.shared_folder(local).endswith("/salesmart/app-1")  # checks in local mode get a folder of their own
+
+
+def test_jobs_delete_their_own_copies(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(shared, "shared_folder", lambda _: str(tmp_path / "shared"))
+    raw = RawTables(*(build(spark, SF) for build in (t.stores, t.products, t.customers, t.sales)))
+    star = etl.run_etl(raw, str(tmp_path / "star"), t.SALES_ORDER)
+    quality.quality_report(raw, t.SALES_ORDER).collect()
+    left = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "shared").glob("*-*")}
+    assert left == {"quality_report"} and star.unique_sales and star.fact.count() > 0
+
+
+def test_first_row_does_not_depend_on_the_partitioning(spark):
+    rows = spark.range(4000).selectExpr("id % 3 as k", "1 as tied", "cast((id * 7919) % 1000 as int) as other", "cast(id % 11 as string) as more")
+    found = {tuple(sorted(map(tuple, keep_first(rows.repartition(n), "k", ["tied"]).collect()))) for n in (1, 2, 5, 9)}
+    assert len(found) == 1
+
+
+def test_quantiles_with_extreme_values(spark, monkeypatch):
+    monkeypatch.setattr(quantile, "FEW", 1000)
+    values = np.random.default_rng(3).random(200_000)
+    odd = np.r_[values, 1e15, -1e15, np.inf, np.full(30_000, 0.25)]
+    df = spark.createDataFrame(pd.DataFrame({"v": odd})).unionByName(spark.range(10).selectExpr("double('nan') as v"))
+    wanted = {"q1": 0.25, "half": 0.5, "q3": 0.75, "least": 0.0, "most": 1.0}
+    (row,) = quantile.exact_quantiles(df, "v", wanted).collect()
+    assert [row[n] for n in wanted] == [np.quantile(odd, p) if p < 1 else np.inf for p in wanted.values()]
+    (none,) = quantile.exact_quantiles(df.where("v is null"), "v", wanted).collect()
+    assert set(none) == {None}
+
+
+def test_versions_are_published_whole(spark, tmp_path):
+    star, folder = t.stored(spark, SF).star, str(tmp_path / "star")
+    with pytest.raises(FileNotFoundError):
+        warehouse.open_star(spark, folder)
+    assert warehouse.write_star(star, folder) == 1
+    broken = replace(star, fact=star.fact.withColumn("quantity", F.raise_error(F.lit("lost")).cast("int")))
+    with pytest.raises(Exception, match="lost"):
+        warehouse.write_star(broken, folder)
+    assert warehouse.open_star(spark, folder).fact.count() == star.fact.count()
+    assert [warehouse.write_star(replace(star, unique_sales=False), folder) for _ in range(2)] == [2, 3]
+    assert not warehouse.open_star(spark, folder).unique_sales
+    warehouse.drop_versions(spark, folder, keep=1)
+    assert sorted(p.name for p in (tmp_path / "star").glob("version-*")) == ["version-3"]
+
+
+def test_pages_are_not_forced_into_memory(spark):
+    star = t.stored(spark, SF).star
+    flt = SalesFilter(all_dates=True)
+    for rows in (None, 50_000_000):
+        plan = reports.export_sales(star, flt, ADMIN, rows)._jdf.queryExecution().optimizedPlan().toString()
+        assert "broadcast" not in plan.lower()
 
 
 def test_release_deletes_only_what_was_settled(spark, monkeypatch, tmp_path):
