@@ -24,7 +24,7 @@ from salesmart.llm.words import mix, powers, prefix_sums
 
 WINDOW = 100
 GRAM = 28
-SHARD = 4_000_000  # bytes of an index, about
+SHARD = 2_000_000  # bytes of an index, about; a task takes some 110 bytes of memory for each
 TRIGGER, ONE_IN = 6, 16  # bytes of a trigger, and how many places have one on average
 
 
