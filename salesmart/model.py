@@ -36,7 +36,9 @@ class Star:
 
     Every foreign key of the fact exists in its dimension; ``conform`` sees to it. Where
     ``sale_id`` is known to be unique and never null, as after the load, ``unique_sales``
-    says so, and counting sales needs no ids. Otherwise transactions are counted with
+    says so, and counting sales needs no ids. The load then also keeps two small tables:
+    ``daily`` has the sums of each date, store and product, which reports over those read
+    instead of the sales, and ``sold`` the categories that each store has sold. Otherwise transactions are counted with
     an exact distinct count (one more shuffle of the ids).
     """
 
@@ -46,6 +48,8 @@ class Star:
     dim_product: DataFrame
     dim_customer: DataFrame
     unique_sales: bool = False
+    daily: DataFrame | None = None
+    sold: DataFrame | None = None
 
 
 @dataclass(frozen=True)

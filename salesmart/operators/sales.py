@@ -46,15 +46,50 @@ def trailing_days(as_of: date, days: int) -> SalesFilter:
     return SalesFilter(as_of - timedelta(days=days), date.max)
 
 
+def daily_totals(fact: DataFrame) -> DataFrame:
+    """Sums per date, store and product; ``sales`` counts rows, ``priced`` those with a revenue."""
+    measures = [F.sum(m).alias(m) for m in ("quantity", "revenue", "cost", "profit")]
+    return fact.groupBy("date", "store_id", "product_id", "year", "month").agg(
+        *measures, F.count("*").alias("sales"), F.count("revenue").alias("priced")
+    )
+
+
+def sold_categories(daily: DataFrame, dim_product: DataFrame) -> DataFrame:
+    """The categories that each store has sold."""
+    pairs = daily.select("store_id", "product_id").distinct()
+    return pairs.join(dim_product.select("product_id", "category"), "product_id").select("store_id", "category").distinct()
+
+
+def select_totals(star: Star, flt: SalesFilter, scope: Scope) -> DataFrame:
+    """Rows to add up: the daily totals that pass the filter, or the sales where the star has no totals.
+
+    Sums over ``sales`` and ``priced`` take the place of row counts. Where ids may repeat, the
+    sales themselves are needed.
+    """
+    if star.daily is not None and star.unique_sales:
+        return _selected(star.daily, star, flt, scope)
+    return select_sales(star, flt, scope).withColumns({"sales": F.lit(1), "priced": F.col("revenue").isNotNull().cast("int")})
+
+
+def sale_count(star: Star) -> Column:
+    """Distinct sales among rows of ``select_totals``."""
+    return F.coalesce(F.sum("sales"), F.lit(0)) if star.unique_sales else F.count_distinct("sale_id")
+
+
 def select_sales(star: Star, flt: SalesFilter, scope: Scope) -> DataFrame:
-    """Fact rows that pass the filter.
+    """Fact rows that pass the filter."""
+    return _selected(star.fact, star, flt, scope)
+
+
+def _selected(rows: DataFrame, star: Star, flt: SalesFilter, scope: Scope) -> DataFrame:
+    """Rows that pass the filter.
 
     Dates and stores are conditions on the fact's own columns and reach the Parquet
     scan. Regions and categories are semi joins with the filtered dimension, and
     only those asked for: every key exists in its dimension, so a join that neither
     filters nor adds columns can be left out.
     """
-    sales = restrict(star.fact, date_condition(flt))
+    sales = restrict(rows, date_condition(flt))
     sales = restrict(sales, store_condition(scope, flt.stores))
     if flt.regions:
         keys = star.dim_store.where(F.col("region").isin(*flt.regions)).select("store_id")

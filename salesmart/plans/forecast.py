@@ -20,7 +20,7 @@ from salesmart.functions import series
 from salesmart.functions.columns import month_name, period_label
 from salesmart.functions.series import months_needed
 from salesmart.model import SalesFilter, Scope, Star
-from salesmart.operators.sales import select_sales
+from salesmart.operators.sales import select_sales, select_totals
 from salesmart.sources.shared import settle
 
 LEAST_MONTHS = 3
@@ -32,8 +32,9 @@ cloudpickle.register_pickle_by_value(series)
 def monthly_history(
     star: Star, flt: SalesFilter, scope: Scope, by: Sequence[str] = ()
 ) -> DataFrame:
+    select = select_totals if set(by) <= {"store_id", "product_id"} else select_sales
     return (
-        select_sales(star, flt, scope)
+        select(star, flt, scope)
         .groupBy(*by, "year", "month")
         .agg(F.sum("revenue").alias("revenue"), F.sum("profit").alias("profit"))
         .withColumn("month_name", month_name(F.col("month")))

@@ -22,13 +22,14 @@ from salesmart.functions.columns import (
     ratio,
     shekels,
 )
-from salesmart.model import SalesFilter, Scope, Star
+from salesmart.model import ADMIN, SalesFilter, Scope, Star
 from salesmart.operators.sales import (
     attach_to_page,
     restrict,
+    sale_count,
     select_sales,
+    select_totals,
     store_condition,
-    transactions,
 )
 
 TOP_STORES = 15
@@ -45,15 +46,15 @@ def _margin() -> Column:
 
 
 def _average() -> Column:
-    return ratio(F.sum("revenue"), F.count("revenue"))
+    return ratio(F.sum("revenue"), F.sum("priced"))
 
 
 def kpis(star: Star, flt: SalesFilter, scope: Scope) -> DataFrame:
     """One row of totals; no row when nothing was sold."""
     return (
-        select_sales(star, flt, scope)
+        select_totals(star, flt, scope)
         .agg(
-            transactions(star).alias("total_transactions"),
+            sale_count(star).alias("total_transactions"),
             F.sum("revenue").alias("total_revenue"),
             F.sum("profit").alias("total_profit"),
             _margin().alias("profit_margin"),
@@ -66,9 +67,9 @@ def kpis(star: Star, flt: SalesFilter, scope: Scope) -> DataFrame:
 
 def sales_trend(star: Star, flt: SalesFilter, scope: Scope) -> DataFrame:
     return (
-        select_sales(star, flt, scope)
+        select_totals(star, flt, scope)
         .groupBy("year", "month")
-        .agg(_total("revenue"), _total("profit"), transactions(star).alias("transactions"))
+        .agg(_total("revenue"), _total("profit"), sale_count(star).alias("transactions"))
         .withColumn("month_name", month_name(F.col("month")))
         .orderBy("year", "month")
     )
@@ -76,13 +77,13 @@ def sales_trend(star: Star, flt: SalesFilter, scope: Scope) -> DataFrame:
 
 def store_performance(star: Star, flt: SalesFilter, scope: Scope, top: int = TOP_STORES) -> DataFrame:
     page = (
-        select_sales(star, flt, scope)
+        select_totals(star, flt, scope)
         .groupBy("store_id")
         .agg(
             _total("revenue"),
             _total("profit"),
             _margin().alias("profit_margin"),
-            transactions(star).alias("transactions"),
+            sale_count(star).alias("transactions"),
         )
         .orderBy(F.col("revenue").desc(), "store_id")
         .limit(top)
@@ -95,13 +96,13 @@ def product_performance(
     star: Star, flt: SalesFilter, scope: Scope, top: int = TOP_PRODUCTS
 ) -> DataFrame:
     page = (
-        select_sales(star, flt, scope)
+        select_totals(star, flt, scope)
         .groupBy("product_id")
         .agg(
             F.sum("quantity").alias("total_quantity"),
             _total("revenue"),
             _total("profit"),
-            transactions(star).alias("sales_count"),
+            sale_count(star).alias("sales_count"),
         )
         .orderBy(F.col("revenue").desc(), "product_id")
         .limit(top)
@@ -117,7 +118,7 @@ def top_products(star: Star, flt: SalesFilter, scope: Scope) -> DataFrame:
 
 def category_revenue(star: Star, flt: SalesFilter, scope: Scope) -> DataFrame:
     by_product = (
-        select_sales(star, flt, scope)
+        select_totals(star, flt, scope)
         .groupBy("product_id")
         .agg(_total("revenue"), _total("profit"), _total("quantity"))
     )
@@ -197,12 +198,12 @@ def insight_cards(star: Star, flt: SalesFilter, scope: Scope) -> DataFrame:
 
 def daily_sales(star: Star, flt: SalesFilter, scope: Scope) -> DataFrame:
     return (
-        select_sales(star, flt, scope)
+        select_totals(star, flt, scope)
         .groupBy("date")
         .agg(
             F.sum("revenue").alias("daily_revenue"),
             F.sum("quantity").alias("daily_quantity"),
-            transactions(star).alias("daily_transactions"),
+            sale_count(star).alias("daily_transactions"),
         )
         .orderBy("date")
     )
@@ -232,12 +233,17 @@ def export_sales(star: Star, flt: SalesFilter, scope: Scope, rows: int | None =
     )
 
 
+def _everything(star: Star) -> DataFrame:
+    """What the views add up: all totals."""
+    return select_totals(star, SalesFilter(all_dates=True), ADMIN)
+
+
 def monthly_summary(star: Star) -> DataFrame:
     """The monthly view: all sales, no filter; who reads a view sorts it."""
     return (
-        star.fact.groupBy("year", "month")
+        _everything(star).groupBy("year", "month")
         .agg(
-            F.count("*").alias("total_transactions"),
+            F.sum("sales").alias("total_transactions"),
             F.sum("quantity").alias("total_quantity"),
             F.sum("revenue").alias("total_revenue"),
             F.sum("cost").alias("total_cost"),
@@ -251,8 +257,8 @@ def monthly_summary(star: Star) -> DataFrame:
 
 
 def store_summary(star: Star) -> DataFrame:
-    by_store = star.fact.groupBy("store_id").agg(
-        F.count("*").alias("total_transactions"),
+    by_store = _everything(star).groupBy("store_id").agg(
+        F.sum("sales").alias("total_transactions"),
         F.sum("revenue").alias("total_revenue"),
         F.sum("profit").alias("total_profit"),
         _margin().alias("profit_margin_pct"),
@@ -263,8 +269,8 @@ def store_summary(star: Star) -> DataFrame:
 
 
 def product_summary(star: Star) -> DataFrame:
-    by_product = star.fact.groupBy("product_id").agg(
-        F.count("*").alias("total_sales"),
+    by_product = _everything(star).groupBy("product_id").agg(
+        F.sum("sales").alias("total_sales"),
         F.sum("quantity").alias("total_quantity_sold"),
         F.sum("revenue").alias("total_revenue"),
         F.sum("profit").alias("total_profit"),
@@ -302,6 +308,8 @@ def _options(star: Star, scope: Scope) -> dict[str, DataFrame]:
     stores = restrict(star.dim_store, own)
     if scope.is_admin:
         products = star.dim_product
+    elif star.sold is not None:
+        products = restrict(star.sold, own)
     else:
         sold = restrict(star.fact, own).select("product_id").distinct()
         products = star.dim_product.join(sold, "product_id", "left_semi")
@@ -341,12 +349,12 @@ def filter_option_rows(star: Star, scope: Scope) -> DataFrame:
 def quarterly_sales(star: Star, flt: SalesFilter, scope: Scope) -> DataFrame:
     quarter = quarter_of(F.col("month"))
     return (
-        select_sales(star, flt, scope)
+        select_totals(star, flt, scope)
         .groupBy("year", quarter.alias("quarter"))
         .agg(
             _total("revenue"),
             _total("profit"),
-            transactions(star).alias("transactions"),
+            sale_count(star).alias("transactions"),
             _average().alias("avg_revenue"),
         )
         .withColumn("quarter_name", quarter_name(F.col("quarter")))
@@ -357,7 +365,7 @@ def quarterly_sales(star: Star, flt: SalesFilter, scope: Scope) -> DataFrame:
 def monthly_pattern(star: Star, flt: SalesFilter, scope: Scope) -> DataFrame:
     """Month-of-year averages of the monthly totals."""
     totals = (
-        select_sales(star, flt, scope).groupBy("year", "month").agg(_total("revenue"), _total("profit"))
+        select_totals(star, flt, scope).groupBy("year", "month").agg(_total("revenue"), _total("profit"))
     )
     return (
         totals.groupBy("month")

@@ -29,12 +29,19 @@ FACT = (
     "sale_id bigint, date_id int, store_id bigint, product_id bigint, customer_id bigint, quantity int, "
     "revenue decimal(12,2), cost decimal(12,2), profit decimal(12,2), date date, year int, month int"
 )
+DAILY = (
+    "date date, store_id bigint, product_id bigint, quantity bigint, revenue decimal(22,2), cost decimal(22,2), "
+    "profit decimal(22,2), sales bigint, priced bigint, year int, month int"
+)
+SOLD = "store_id bigint, category string"
 WAREHOUSE = {
     "dim_date": DIM_DATE,
     "dim_store": DIM_STORE,
     "dim_product": DIM_PRODUCT,
     "dim_customer": DIM_CUSTOMER,
     "fact": FACT,
+    "daily": DAILY,
+    "sold": SOLD,
 }
 
 INVENTORY_LEVELS = (

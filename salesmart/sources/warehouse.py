@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesmart.model import Star
+from salesmart.operators.sales import daily_totals, sold_categories
 from salesmart.sources.schemas import WAREHOUSE
 
 
@@ -37,6 +38,7 @@ def _published(spark: SparkSession, folder: str) -> tuple:
 def write_star(star: Star, folder: str) -> int:
     """Full refresh into a new version, which is published when all of it is written.
 
+    Beside the star it writes its daily totals and the categories sold, from the stored fact.
     Readers see the old version or the new one, never a mixture; a load that fails
     publishes nothing. The version's number is returned; ``drop_versions`` deletes old ones.
     """
@@ -47,6 +49,9 @@ def write_star(star: Star, folder: str) -> int:
     for name in ("dim_date", "dim_store", "dim_product", "dim_customer"):
         getattr(star, name).write.mode("overwrite").parquet(f"{path}/{name}")
     write_fact(star.fact, f"{path}/fact")
+    write_fact(daily_totals(spark.read.schema(WAREHOUSE["fact"]).parquet(f"{path}/fact")), f"{path}/daily")
+    daily = spark.read.schema(WAREHOUSE["daily"]).parquet(f"{path}/daily")
+    sold_categories(daily, star.dim_product).write.mode("overwrite").parquet(f"{path}/sold")
     spark.range(1).select(F.lit(star.unique_sales).alias("unique_sales")).write.mode("overwrite").parquet(f"{path}/load")
     files.mkdirs(markers)
     if not files.createNewFile(spark._jvm.org.apache.hadoop.fs.Path(markers, str(version))):

@@ -15,7 +15,7 @@ from salesmart.checks.queries import PERIOD
 from salesmart.model import ADMIN, SalesFilter, Scope
 from salesmart.operators.sales import select_sales
 from salesmart.operators.upsert import upsert
-from salesmart.plans import inventory, notifications, reports
+from salesmart.plans import forecast, inventory, notifications, reports
 from salesmart.sources import sinks
 from salesmart.sources.schemas import FACT_COLUMNS
 from salesmart.sources.tables import column_exists, optional_table, read_raw, table_exists
@@ -57,6 +57,23 @@ def test_repeated_ids_are_counted_once(star):
     assert twice.total_revenue == 2 * once.total_revenue
 
 
+def test_additive_reports_read_the_daily_totals(star):
+    builders = [
+        reports.kpis, reports.sales_trend, reports.store_performance, reports.product_performance, reports.category_revenue,
+        reports.daily_sales, reports.quarterly_sales, reports.monthly_pattern, forecast.monthly_history,
+    ]
+    for build in builders:
+        df = build(star, PERIOD, ADMIN)
+        without = build(replace(star, daily=None), PERIOD, ADMIN)
+        assert "/fact" not in plan_of(df) and "/daily" in plan_of(df) and "/fact" in plan_of(without)
+        assert df.collect() == without.collect() or sorted(df.collect()) == sorted(without.collect())
+    for view in (reports.monthly_summary, reports.store_summary, reports.product_summary):
+        assert "/fact" not in plan_of(view(star)) and sorted(view(star).collect()) == sorted(view(replace(star, daily=None)).collect())
+    manager = Scope("store_manager", 3)
+    assert "/fact" not in plan_of(reports.filter_option_rows(star, manager))
+    assert reports.filter_option_rows(star, manager).collect() == reports.filter_option_rows(replace(star, sold=None), manager).collect()
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
