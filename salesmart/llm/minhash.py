@@ -31,7 +31,7 @@ HASHES = BANDS * ROWS
 LONGS = HASHES * BITS // 64
 FINE, FINE_BITS = 1024, 2  # hash functions and bits kept where members of a bucket meet each other
 DEVIATIONS = 4.5  # by which an estimate may fall short of the threshold
-BLOCK = 2048  # members of a bucket compared with each other in one go
+BLOCK = 1024  # members of a bucket compared with each other in one go
 
 _MULTIPLY = np.random.default_rng(7).integers(0, 2**63, HASHES, dtype="u8") * np.uint64(2) + np.uint64(1)
 _FINE = np.random.default_rng(8).integers(0, 2**63, FINE, dtype="u8") * np.uint64(2) + np.uint64(1)
@@ -128,7 +128,8 @@ def _estimated(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs ``a``, ``b`` whose sizes and kept bits are within reach of the threshold."""
     names = ["n_shingles", *(f"s{i}" for i in range(LONGS))]
     for side in ("a", "b"):
-        pairs = pairs.join(signed.select(F.col("doc_id").alias(side), *(F.col(n).alias(f"{side}_{n}") for n in names)), side)
+        told = signed.select(F.col("doc_id").alias(side), *(F.col(n).alias(f"{side}_{n}") for n in names))
+        pairs = pairs.join(told.hint("merge"), side)
     bits = [[F.col(f"{side}_s{i}") for i in range(LONGS)] for side in ("a", "b")]
     near = _similar_sizes(F.col("a_n_shingles"), F.col("b_n_shingles"), percent) & (matches(*bits) >= least_matches(percent))
     return pairs.where(near).select("a", "b")
@@ -143,20 +144,23 @@ def _whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             ends = np.cumsum([0, *map(len, found)]).astype("i4")
             yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(ends, np.concatenate(found).view("i8"))], ["doc_id", "own"])
 
-    return settle(docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, own array<bigint>"), "sets")
+    return settle(docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, own array<bigint>"), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``a``, ``b`` whose full sets are similar enough."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("b_own")), "b")
-    both = both.join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("a_own")), "a")
+    """Those of the pairs ``a``, ``b`` whose full sets are similar enough.
+
+    Both sides grow with the documents, so the joins here and above are merge joins at every size.
+    """
+    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("b_own")).hint("merge"), "b")
+    both = both.join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("a_own")).hint("merge"), "a")
     both = both.withColumn("common", F.size(F.array_intersect("a_own", "b_own")))
     either = F.size("a_own") + F.size("b_own") - F.col("common")
     return both.where(F.col("common") * 100 >= either * percent).select("a", "b")
 
 
 def _fine(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """Longer signatures of the documents in ``ids``, from their stored sets."""
+    """The documents in ``ids`` with longer signatures, made from their stored sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,47 +168,65 @@ def _fine(sets: DataFrame, ids: DataFrame) -> DataFrame:
             flat = own.flatten().to_numpy().view("u8")
             ends = np.cumsum([0, *np.diff(own.offsets.to_numpy())])
             fine = [pack_bits(minima(flat[i:j], _FINE), FINE_BITS).tobytes() for i, j in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.binary())], ["doc_id", "fine"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fine, pa.binary())], ["doc_id", "set", "fine"])
+
+    wanted = sets.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", F.col("own").alias("set"))
+    return wanted.mapInArrow(run, "doc_id bigint, set array<bigint>, fine binary")
+
 
-    return settle(sets.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, fine binary"), "fine")
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many numbers two sorted sets share."""
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    return int((a[at] == b).sum())
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket and different components within reach of the threshold.
+    """Links between members of one bucket that are in different components.
 
-    ``members``: bucket, component, doc_id, n_shingles, ``fine`` bits, and the bucket's
-    ``size``. A large bucket is cut into blocks; each pair of blocks is compared on its own.
+    ``members``: bucket, component, doc_id, n_shingles, ``fine`` bits, the ``set``, and the
+    bucket's ``size``. A large bucket is cut into blocks; each pair of blocks is compared on
+    its own, and pairs within reach by their bits are confirmed on their sets at once, so that
+    only links leave a task.
     """
     most = FINE - least_matches(percent, FINE, FINE_BITS)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n_shingles", "fine")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "fine", "set")
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id")
     low = np.uint64(0x5555555555555555)
 
-    def compare(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        component, n, ids = rows["component"], rows["n_shingles"], rows["doc_id"]
+    def compare(rows: dict[str, np.ndarray]) -> tuple[list[int], list[int]]:
+        component, ids = rows["component"], rows["doc_id"]
         left, right = np.flatnonzero(rows["own"] == rows["i"]), np.flatnonzero(rows["own"] == rows["j"])
-        found_a, found_b = [ids[:0]], [ids[:0]]
-        if len(left) and len(right) and (component != component[0]).any():
-            bits = np.frombuffer(b"".join(rows["fine"]), "u8").reshape(len(ids), -1)
-            against = bits[right].T.copy()
-            for one in left:
-                near = np.flatnonzero((component[right] != component[one]) & (np.minimum(n[right], n[one]) * 100 >= np.maximum(n[right], n[one]) * percent))
-                if len(near):
-                    x = against[:, near] ^ bits[one][:, None]
-                    x = (x | (x >> np.uint64(1))) & low
-                    near = near[np.bitwise_count(x).sum(axis=0, dtype="i4") <= most]
-                    found_a.append(np.full(len(near), ids[one]))
-                    found_b.append(ids[right[near]])
-        return np.concatenate(found_a), np.concatenate(found_b)
+        found_a: list[int] = []
+        found_b: list[int] = []
+        if not len(left) or not len(right) or (component == component[0]).all():
+            return found_a, found_b
+        sets = [x.view("u8") for x in rows["set"]]
+        n = np.array([len(x) for x in sets])
+        bits = np.frombuffer(b"".join(rows["fine"]), "u8").reshape(len(ids), -1)
+        against = bits[right].T.copy()
+        for one in left:
+            sizes = np.minimum(n[right], n[one]) * 100 >= np.maximum(n[right], n[one]) * percent
+            near = np.flatnonzero((component[right] != component[one]) & sizes)
+            if not len(near):
+                continue
+            x = against[:, near] ^ bits[one][:, None]
+            x = (x | (x >> np.uint64(1))) & low
+            for other in right[near[np.bitwise_count(x).sum(axis=0, dtype="i4") <= most]]:
+                common = _common(sets[one], sets[other])
+                if common * 100 >= (n[one] + n[other] - common) * percent:
+                    found_a.append(int(min(ids[one], ids[other])))
+                    found_b.append(int(max(ids[one], ids[other])))
+        return found_a, found_b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches, ["bucket", "i", "j"]):
             a, b = compare(rows)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -261,8 +283,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     mixed = settle(mixed.where("lo <> hi").select("bucket", "size"), "mixed")
     members = settle(placed.join(mixed, "bucket"), "members")
     fine = _fine(sets, members.select("doc_id").distinct())
-    rest = settle(_across(members.join(fine, "doc_id"), percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = settle(_confirmed(rest, sets, percent), "links")
+    more = settle(_across(members.join(fine.hint("merge"), "doc_id"), percent), "links")
     tied = components(links.unionAll(more)).withColumnRenamed("node", "doc_id")
     label = same.select("d0", "d1", "n_shingles", "doc_id").join(tied, "doc_id", "left")
     label = label.select("d0", "d1", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
