@@ -28,9 +28,9 @@ SHARD = 2_000_000  # bytes of an index, about; a task takes some 110 bytes of me
 TRIGGER, ONE_IN = 6, 16  # bytes of a trigger, and how many places have one on average
 
 
-def _rolling(data: np.ndarray, size: int) -> np.ndarray:
+def _rolling(data: np.ndarray, size: int, sums: np.ndarray | None = None) -> np.ndarray:
     n = max(0, len(data) - size + 1)
-    sums = prefix_sums(data)
+    sums = prefix_sums(data) if sums is None else sums
     return mix((sums[size : size + n] - sums[:n]) * powers(len(data) + 1)[1][:n])
 
 
@@ -71,14 +71,14 @@ def _first_ranks(key: np.ndarray) -> np.ndarray:
 def corpus_order(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, places: np.ndarray) -> np.ndarray:
     """``places`` in the order of the suffixes of their texts, by prefix-free parsing of all texts."""
     owner = np.repeat(np.arange(len(begins)), ends - begins)
-    hit = np.flatnonzero(_rolling(data, TRIGGER) % np.uint64(ONE_IN) == 0)
+    sums = prefix_sums(data)
+    hit = np.flatnonzero(_rolling(data, TRIGGER, sums) % np.uint64(ONE_IN) == 0)
     hit = hit[(hit + TRIGGER <= ends[owner[hit]]) & (hit > begins[owner[hit]])]
     start = np.sort(np.r_[begins, hit])  # of phrases
     text = owner[start]
     last = np.r_[text[1:] != text[:-1], True]
     stop = np.where(last, ends[text], np.r_[start[1:], 0] + TRIGGER)
     # The dictionary: one place of each different phrase; a text's last phrase ends differently from others.
-    sums = prefix_sums(data)
     name = mix((sums[stop] - sums[start]) * powers(len(data) + 1)[1][start] + (stop - start).astype("u8") * np.uint64(2) + last.astype("u8"))
     _, example, phrase = np.unique(name, return_index=True, return_inverse=True)
     size = (stop - start)[example]

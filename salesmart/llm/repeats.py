@@ -64,15 +64,31 @@ def _goes(symbols: np.ndarray, counts: np.ndarray, window: int) -> Iterator[tupl
         i = j
 
 
+def _keys(docs: DataFrame, kind: Kind) -> DataFrame:
+    """Every segment of every text, as far as counting needs: ``key``, ``doc_id``, ``times``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in slices(batches, 1, LIMIT):
+            ids = some.column(0).to_numpy()
+            symbols, counts = kind.symbols([(t or "").encode() for t in some.column(1).to_pylist()])
+            for go, lengths, owner, _ in _goes(symbols, counts, kind.window):
+                place, _, key, times = segments(kind.grams(go, kind.gram), lengths, kind.window, kind.gram)
+                if len(place):
+                    text = np.searchsorted(np.cumsum(lengths), place, side="right")
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view("i8")), pa.array(ids[owner[text]]), pa.array(times.astype("i4"))], ["key", "doc_id", "times"])
+
+    return docs.mapInArrow(run, "key bigint, doc_id bigint, times int")
+
+
 def _occurrences(docs: DataFrame, kind: Kind) -> DataFrame:
-    """Every segment of every text: ``key``, ``digest`` of its content, ``doc_id``, ``start``, ``n`` windows, ``times``."""
+    """Every segment of every text: ``key``, ``digest`` of its content, ``doc_id``, ``start``, ``n`` windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in slices(batches, 1, LIMIT):
             ids = some.column(0).to_numpy()
             symbols, counts = kind.symbols([(t or "").encode() for t in some.column(1).to_pylist()])
             for go, lengths, owner, offset in _goes(symbols, counts, kind.window):
-                place, n, key, times = segments(kind.grams(go, kind.gram), lengths, kind.window, kind.gram)
+                place, n, key, _ = segments(kind.grams(go, kind.gram), lengths, kind.window, kind.gram)
                 if not len(place):
                     continue
                 hashes = kind.hashes(go)
@@ -83,11 +99,11 @@ def _occurrences(docs: DataFrame, kind: Kind) -> DataFrame:
                 text = np.searchsorted(np.cumsum(lengths), place, side="right")
                 start = place - (np.cumsum(lengths) - lengths)[text] + offset[text]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view("i8")), pa.array(digest.view("i8")), pa.array(ids[owner[text]]), pa.array(start), pa.array(n.astype("i4")), pa.array(times.astype("i4"))],
-                    ["key", "digest", "doc_id", "start", "n", "times"],
+                    [pa.array(key.view("i8")), pa.array(digest.view("i8")), pa.array(ids[owner[text]]), pa.array(start), pa.array(n.astype("i4"))],
+                    ["key", "digest", "doc_id", "start", "n"],
                 )
 
-    return docs.mapInArrow(run, "key bigint, digest bigint, doc_id bigint, start bigint, n int, times int")
+    return docs.mapInArrow(run, "key bigint, digest bigint, doc_id bigint, start bigint, n int")
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, kind: Kind, single: bool) -> DataFrame:
@@ -121,10 +137,9 @@ def repeated(docs: DataFrame, kind: Kind, search: Search) -> DataFrame:
     texts shorter than a window have none.
     """
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    found = _occurrences(docs, kind)
     several = F.sum("times") > 1 if kind.within else F.min("doc_id") < F.max("doc_id")
-    keys = settle(found.groupBy("key").agg(several.alias("several")).where("several").select("key"), "keys")
-    held = settle(found.join(keys, "key").drop("times"), "occurrences")
+    keys = settle(_keys(docs, kind).groupBy("key").agg(several.alias("several")).where("several").select("key"), "keys")
+    held = settle(_occurrences(docs, kind).join(keys, "key"), "occurrences")
     drop(keys)
     earliest = F.min(F.struct("doc_id", "start")) if kind.within else F.min(F.struct("doc_id"))
     distinct = settle(held.groupBy("key", "digest").agg(earliest.alias("e")).select("key", "digest", "e.*"), "distinct")
