@@ -68,6 +68,33 @@ def test_recall_on_the_whole_table(spark):
     assert (n <= near.sum(axis=1)).all() and n.sum() >= 0.99 * near.sum()
 
 
+@pytest.mark.parametrize("cheaper", [16, 0.01])
+def test_recall_off_centre_with_a_hot_cluster(spark, monkeypatch, cheaper):
+    monkeypatch.setattr(projections, "CHEAPER", cheaper)
+    rng = np.random.default_rng(8)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    def at(centres, cosine):  # vectors at this cosine to their centres
+        noise = rng.standard_normal(centres.shape)
+        noise = unit(noise - (noise * centres).sum(axis=1, keepdims=True) * centres)
+        return cosine * centres + math.sqrt(1 - cosine * cosine) * noise
+
+    direction = unit(rng.standard_normal((1, 64)))
+    rows = at(np.repeat(direction, 4000, axis=0), math.sqrt(0.7))
+    hot = at(np.repeat(rows[:1], 2000, axis=0), math.sqrt(0.85))
+    planted = at(np.concatenate([rows[1:301], hot[:300]]), 0.955)
+    units = np.concatenate([rows, hot, planted])[rng.permutation(6600)].astype("f4")
+    checked = units.astype("f8") / np.linalg.norm(units.astype("f8"), axis=1)[:, None]
+    near = checked @ checked.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert near.sum() >= 1200
+    got = {r.vec_id: r.n_links for r in projections.near_duplicates(table(spark, [(i, v.tolist()) for i, v in enumerate(units)])).collect()}
+    n = np.array([got[i] for i in range(len(units))])
+    assert (n <= near.sum(axis=1)).all() and n.sum() >= 0.99 * near.sum()
+
+
 def test_passes_grow_with_the_table():
     few, many = projections.passes_for(1000), projections.passes_for(10**9)
     assert 4 <= projections.passes_for(1) <= few < many < 200
