@@ -4,7 +4,8 @@ A document goes into the open sequence that leaves the smallest sum, over all ga
 the squared number of open sequences with that gap; ties go to the smallest gap. Documents
 come in falling length, and a new sequence is opened only where no open one has room.
 Each shard packs a bounded number of pieces on its own; sequences that stay too empty are
-dissolved and packed again together with those of other shards, until one shard is left.
+dissolved and packed again, in as many shards as their pieces need, until one shard is
+left or the pieces take no fewer sequences than before.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from salesmart.llm.stored import drop, settle
 
 END = 0  # the token after each document
 SHARD = 50_000  # pieces that one task packs, about
-TOGETHER = 64  # shards whose leftovers are packed together
+TOGETHER = 64  # most shards whose leftovers are packed together
+ROUNDS = 64  # most rounds
 EMPTY = 1 / 32  # share of a sequence that may stay empty before its pieces are packed again
 BIN_BITS, ROUND_BIT = 28, 56
 
@@ -112,20 +114,27 @@ def pack(pieces: DataFrame, capacity: int = 2048, length: str = "length") -> Dat
 
     shards = max(1, -(-todo.count() // SHARD))
     done: list[DataFrame] = []
-    for turn in range(64):
+    before, held = None, None  # sequences that are packed again, and their pieces as they were placed
+    for turn in range(ROUNDS):
         dealt = todo.withColumn("shard", F.pmod(F.xxhash64(F.lit(turn), *kept), F.lit(shards)))
         packed = settle(dealt.groupBy("shard").applyInArrow(pack_shard, schema), "packed")
         sequence_id = (
             F.lit(turn << ROUND_BIT).bitwiseOR(F.shiftleft("shard", BIN_BITS)).bitwiseOR(F.col("sequence")).alias("sequence_id")
         )
-        last = shards == 1
-        closed = packed if last else packed.where(F.col("gap") <= int(capacity * EMPTY))
-        done.append(closed.select(*kept, sequence_id, "offset"))
         drop(todo) if turn == 0 else None
-        if last:
+        if before is not None and packed.where("offset = 0").count() >= before:
+            done.append(held)
             break
-        todo = packed.where(F.col("gap") > int(capacity * EMPTY)).select(*kept)
-        shards = -(-shards // TOGETHER)
+        if shards == 1 or turn == ROUNDS - 1:
+            done.append(packed.select(*kept, sequence_id, "offset"))
+            break
+        poor = F.col("gap") > int(capacity * EMPTY)
+        done.append(packed.where(~poor).select(*kept, sequence_id, "offset"))
+        held, todo = packed.where(poor).select(*kept, sequence_id, "offset"), packed.where(poor).select(*kept)
+        left, before = packed.where(poor).agg(F.count("*"), F.count(F.when(F.col("offset") == 0, 1))).first()
+        if not left:
+            break
+        shards = max(-(-left // SHARD), -(-shards // TOGETHER))
     out = done[0]
     for more in done[1:]:
         out = out.unionAll(more)

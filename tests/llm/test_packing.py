@@ -94,3 +94,18 @@ def test_edge_rows(spark):
     assert packing.pack(packing.cut(documents(spark, rows).where("false"), PATH)).count() == 0
     with pytest.raises(Exception, match="length outside"):
         packing.pack(spark.createDataFrame([(1, 0)], "id bigint, length bigint")).count()
+
+
+def test_pieces_that_pair_with_nothing_stay_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 50)
+    lengths = np.random.default_rng(4).integers(1030, 1980, 1000).tolist() + [900, 100, 3]
+    pieces = spark.createDataFrame([*enumerate(lengths)], "id bigint, length bigint")
+    stored, real = [], packing.settle
+    monkeypatch.setattr(packing, "settle", lambda df, name: stored.append((name, real(df, name))) or stored[-1][1])
+    rows = packing.pack(pieces).collect()
+    assert sorted((r.id, r.length) for r in rows) == [*enumerate(lengths)]
+    assert check_packed(rows, 2048) <= 1001
+    rounds = [df for name, df in stored if name == "packed"]
+    assert len(rounds) <= 8
+    for df in rounds:
+        assert max(r["count"] for r in df.groupBy("shard").count().collect()) <= 100
