@@ -20,8 +20,14 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without letters or unlike all learned languages go."""
-    told = langid.identify(docs, langid.fit(docs))
+    """Documents in a learned language; those without letters or unlike all learned languages go.
+
+    Where nothing could be learned, all documents stay.
+    """
+    model = langid.fit(docs)
+    if model is None:
+        return docs
+    told = langid.identify(docs, model)
     return told.where(~F.col("rejected")).select(*docs.columns)
 
 

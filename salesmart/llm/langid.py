@@ -25,10 +25,13 @@ from pyspark.sql import types as T
 from salesmart.llm.bpe import slices
 
 ORDER = 4
-SAMPLE = 400  # labelled documents per language that a model is learned from, and as many to calibrate it
+SAMPLE = 400  # labelled documents per language that a model is learned from
 LANGUAGES = 500  # most languages that can be learned at once
 START, SPACE = 1, 32
-SIGMAS, SLACK = 10.0, 2.0  # of the calibrated limit
+SPREADS, LEAST = 8.0, 0.5  # of the calibrated limit: times from the median to the 90 % quantile, and nats at least
+CLASSES = 40  # of lengths, each twice as long as the one before
+ENOUGH = 20  # labelled texts from which on a class of lengths has a limit of its own
+STEP = 0.01  # nats, of the calibration's histograms
 UNKNOWN = "und"
 
 
@@ -80,7 +83,7 @@ class Model:
     grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # hashes, log-probabilities; order 1 first
     contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # hashes, log of what is left for lower orders
     unseen: np.ndarray | None = None  # log-probability of a symbol that no language has
-    limits: np.ndarray | None = None  # per language: mean, deviation and slack for short texts
+    limits: np.ndarray | None = None  # per language and class of lengths: most nats per symbol
 
     def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per symbol, a row per text and a column per language; and the number of symbols."""
@@ -170,8 +173,9 @@ def _sample(docs: DataFrame, key: str, salt: int, size: int) -> DataFrame:
 def fit(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> Model | None:
     """Learn from the labelled documents that are not held out; None where there are none.
 
-    Model and calibration use up to ``sample`` documents per language each, whole texts;
-    the driver gets their gram counts and two figures a document, bounded by the sample.
+    The model uses up to ``sample`` documents per language, whole texts, whose gram counts the
+    driver gets; the limits follow from quantiles over all of them, from histograms that
+    add up, so that some wrongly labelled texts move no limit.
     """
     if docs.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages are labelled")
@@ -196,22 +200,47 @@ def fit(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> Model | N
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in slices(batches, 1):
             entropy, n = shared.value.cross_entropy([x or "" for x in some.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(entropy.min(axis=1)), pa.array(n)], ["lang", "h", "n"])
+            told = pd.DataFrame({"lang": some.column(0).to_pylist(), "class": length_class(n), "bin": (entropy.min(axis=1) / STEP).astype("i8"), "n": n})
+            told = told[told["n"] > 0].groupby(["lang", "class", "bin"]).size().reset_index(name="n")
+            yield pa.RecordBatch.from_arrays([pa.array(told["lang"], pa.string()), *(pa.array(told[c].astype("i8")) for c in ("class", "bin", "n"))], ["lang", "class", "bin", "n"])
 
-    seen = _sample(docs, key, 2, sample).mapInArrow(measure, "lang string, h double, n bigint").where("n > 0").toPandas()
+    labelled = docs.where(~held_out(key) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    seen = labelled.mapInArrow(measure, "lang string, class bigint, bin bigint, n bigint").groupBy("lang", "class", "bin").agg(F.sum("n").alias("n")).toPandas()
     shared.unpersist()
-    model.limits = np.zeros((len(model.languages), 3))
-    for k, lang in enumerate(model.languages):
-        own = seen[seen["lang"] == lang]
-        own = seen if own.empty else own
-        h, n = own["h"].to_numpy(), own["n"].to_numpy()
-        long = h[n >= np.median(n)]
-        mean, deviation = long.mean(), max(long.std(), 0.05)
-        slack = max(0.0, ((h - mean - SIGMAS * deviation) * np.sqrt(n)).max())
-        model.limits[k] = mean, deviation, SLACK * max(slack, deviation)
+    model.limits = np.stack([_limits(own if len(own := seen[seen["lang"] == lang]) else seen) for lang in model.languages])
     return model
 
 
+def length_class(n: np.ndarray) -> np.ndarray:
+    return np.minimum(CLASSES - 1, np.log2(np.maximum(n, 1)).astype("i8"))
+
+
+def _limits(seen: pd.DataFrame) -> np.ndarray:
+    """The limit of each class of lengths from rows of class, bin of the histogram, count.
+
+    A class of too few texts has the limit of the nearest shorter one, and if there is none
+    that of the nearest longer one, with the distance from the median growing as the root
+    of the lengths' ratio; without any class of enough texts all lengths are one.
+    """
+
+    def quantiles(rows: pd.DataFrame) -> tuple[float, float]:
+        rows = rows.groupby("bin")["n"].sum().sort_index()
+        reached = rows.cumsum().to_numpy() / rows.sum()
+        middle, high = (STEP * (rows.index[np.searchsorted(reached, q - 1e-12)] + 1) for q in (0.5, 0.9))
+        return middle, max(SPREADS * (high - middle), LEAST)
+
+    if seen.empty:
+        return np.full(CLASSES, np.inf)
+    enough = {int(c): quantiles(rows) for c, rows in seen.groupby("class") if rows["n"].sum() >= ENOUGH}
+    enough = enough or {int(np.average(seen["class"], weights=seen["n"])): quantiles(seen)}
+    out = np.zeros(CLASSES)
+    for c in range(CLASSES):
+        near = max((k for k in enough if k <= c), default=min(enough))
+        middle, more = enough[near]
+        out[c] = middle + more * 2 ** (max(0, near - c) / 2)
+    return out
+
+
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``rejected``, from nothing but the whole text.
 
@@ -237,8 +266,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
             best = entropy.argmin(axis=1)
             lowest = entropy.min(axis=1)
             score = 1 / np.exp(-n[:, None] * (entropy - lowest[:, None])).sum(axis=1)
-            mean, deviation, slack = shared.value.limits[best].T
-            rejected = (n == 0) | (lowest > mean + SIGMAS * deviation + slack / np.sqrt(np.maximum(n, 1)))
+            rejected = (n == 0) | (lowest > shared.value.limits[best, length_class(n)])
             lang = np.where(n > 0, names[best], UNKNOWN)
             yield pa.RecordBatch.from_arrays([*some.columns, pa.array(lang, pa.string()), pa.array(np.where(n > 0, score, 0.0)), pa.array(rejected)], [*kept, *added])
 
