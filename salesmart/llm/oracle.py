@@ -16,6 +16,45 @@ def _bigrams(words: str) -> str:
     return f"list_distinct(list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]))"
 
 
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of a text of ASCII signs, bit by bit."""
+    bits = "list_reduce([xor(c, b)] || [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, 3988292384::UBIGINT * (x & 1::UBIGINT)))"
+    signs = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::UBIGINT)"
+    return f"xor(list_reduce([4294967295::UBIGINT] || {signs}, lambda c, b: {bits}), 4294967295::UBIGINT)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BEFORE, _AFTER = "array_to_string(k.kids[1:c.place % 16], '')", "array_to_string(k.kids[c.place % 16 + 2:], '')"
+
+
+def _climb(name: str, start: str, kids: str) -> str:
+    """Leaves that climb a tree of levels until one node is left."""
+    return f"""{name}(doc_id, leaf, tree, l, place, n, folded, proof) AS (
+            {start}
+            UNION ALL
+            SELECT c.doc_id, c.leaf, c.tree, c.l + 1, c.place // 16, (c.n + 15) // 16, sha256({_BEFORE} || c.folded || {_AFTER}), c.proof || {_BEFORE} || {_AFTER}
+            FROM {name} c JOIN {kids} k ON c.tree = k.tree AND c.l = k.l AND c.place // 16 = k.block WHERE c.n > 1
+        )"""
+
+
+def _levels(name: str, start: str) -> str:
+    return f"""{name}(tree, l, rank, n, digest) AS (
+            {start}
+            UNION ALL
+            SELECT tree, l + 1, rank // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY rank)) FROM {name} WHERE n > 1 GROUP BY tree, l, rank // 16, n
+        ), {name}_kids AS (
+            SELECT tree, l, rank // 16 AS block, list(digest ORDER BY rank) AS kids FROM {name} WHERE n > 1 GROUP BY ALL
+        )"""
+
+
 ORACLE: dict[str, str] = {
     "op7_minhash": """
         WITH RECURSIVE w AS (
@@ -84,4 +123,59 @@ ORACLE: dict[str, str] = {
         )
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
         FROM s QUALIFY rank <= 5""",
+    "op11_manifest": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, {_leaf('text')} AS leaf, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+                CASE WHEN {_crc32('doc_id::VARCHAR')} % 5 = 0 THEN {_leaf(_LOWER.format('text'))} END AS claim
+            FROM documents
+        ), p AS (
+            SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, count(*) OVER (PARTITION BY tree) AS n FROM d
+        ), {_levels('low', 'SELECT tree, 0, rank, n, leaf FROM p')}, s AS (
+            SELECT tree, digest AS subroot, count(*) OVER () AS n FROM low WHERE n = 1
+        ), {_levels('high', 'SELECT 0::BIGINT, 0, tree, n, subroot FROM s')}, {_climb('c1', "SELECT doc_id, leaf, tree, 0, rank, n, coalesce(claim, leaf), '' FROM p", 'low_kids')}, {_climb(
+            'c2', "SELECT doc_id, leaf, 0::BIGINT, 0, tree, s.n, folded, proof FROM c1 JOIN s USING (tree) WHERE c1.n = 1", 'high_kids')}
+        SELECT c2.doc_id, c2.leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = digest AS verified
+        FROM c2 JOIN (SELECT digest FROM high WHERE n = 1) ON c2.n = 1 JOIN p ON p.doc_id = c2.doc_id AND p.leaf = c2.leaf JOIN s ON s.tree = p.tree""",
+    "op12_trie": f"""
+        WITH t AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS turn
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), c AS (
+            SELECT conv_id, ({_crc32('conv_id::VARCHAR')} % 4)::BIGINT AS h FROM (SELECT DISTINCT conv_id FROM t)
+        ), r AS (
+            SELECT c.conv_id, 0 AS part, t.pos, turn FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.pos < h
+            UNION ALL
+            SELECT c.conv_id, 1, t.pos, turn FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos >= h
+        ), q AS (
+            SELECT conv_id, coalesce(list(turn ORDER BY part, pos) FILTER (WHERE turn IS NOT NULL), []) AS turns FROM c LEFT JOIN r USING (conv_id) GROUP BY conv_id
+        ), p AS (
+            SELECT conv_id, d, len(turns) = d AS ends, CASE WHEN d > 0 THEN turns[d].text END AS said, min(conv_id) OVER (PARTITION BY d, turns[1:d]) AS name
+            FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM q)
+        ), own AS (
+            SELECT d, name, count(*) AS n, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ended,
+                CASE WHEN d > 0 THEN (count(*) - 1) * max(len(regexp_extract_all(said, '[^\\x20\\x09-\\x0D]+'))) ELSE 0 END AS saved
+            FROM p GROUP BY d, name
+        ), node AS (
+            SELECT own.*, up.name AS parent, (SELECT count(*) FROM p k JOIN p o ON o.conv_id = k.conv_id AND o.d = own.d WHERE k.conv_id = k.name AND k.d = own.d + 1 AND o.name = own.name) AS kids
+            FROM own LEFT JOIN p up ON up.conv_id = own.name AND up.d = own.d - 1
+        ), total AS (
+            SELECT p.d, p.name, count(*) FILTER (WHERE kids = 0) AS leaves, sum(saved) AS saved FROM node JOIN p ON p.conv_id = node.name AND p.d <= node.d GROUP BY p.d, p.name
+        )
+        SELECT node.name AS conv_id, node.d AS depth, parent AS parent_conv_id, n AS n_convs, kids AS n_children, leaves::BIGINT AS n_leaves,
+            total.saved::BIGINT AS saved_tokens, sha256(ended) AS ends_sha256
+        FROM node JOIN total ON node.d = total.d AND node.name = total.name""",
+    "op13_lines": f"""
+        WITH l AS (
+            SELECT doc_id, id, unnest(range(1, len(lines) + 1)) AS line, unnest(lines) AS found
+            FROM (SELECT doc_id, row_number() OVER () AS id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
+        ), k AS (
+            SELECT *, {_LOWER.format("trim(found, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l
+        ), f AS (
+            SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1
+        ), m AS (
+            SELECT k.*, first IS NOT NULL AND doc_id <> first AS gone FROM k LEFT JOIN f USING (key)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+            sha256(coalesce(string_agg(found, chr(10) ORDER BY line) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY id, doc_id""",
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesmart.llm import bpe, html, langid, licenses, minhash, packing, pfp, projections, substring, topk
+from salesmart.llm import bpe, html, langid, licenses, lines, manifest, minhash, packing, pfp, projections, substring, topk, trie
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -64,6 +64,21 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return manifest.audit(table(spark, sf_dir, "documents"), {"text": lowered}, tampered)
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*trie.rebuilt(trie.tokens(table(spark, sf_dir, "conversations"))))
+
+
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_html": op2_html,
@@ -75,4 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_projections": op9_projections,
     "op10_topk": op10_topk,
+    "op11_manifest": op11_manifest,
+    "op12_trie": op12_trie,
+    "op13_lines": op13_lines,
 }

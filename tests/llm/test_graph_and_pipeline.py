@@ -52,7 +52,7 @@ def test_matches_sql(spark, name):
 
 def test_registered():
     assert set(QUERIES) | {"pipeline"} <= set(registered.queries()) and set(ORACLE) <= set(registered.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 11)]
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 14)]
 
 
 def test_stages(spark):
