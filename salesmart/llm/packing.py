@@ -76,12 +76,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     used = full
     for i in range(full, n):
         size = int(lengths[i])
-        # The sum changes by 2 (count[gap - size] - count[gap]) + 2; a filled sequence is open no more.
-        change = count[: capacity + 1 - size] - count[size:]
-        change[0] = -count[size] - 1
-        change[count[size:] == 0] = n + 1
+        # How the sum changes; a filled sequence is open no more.
+        change = 2 * (count[: capacity + 1 - size] - count[size:]) + 2
+        change[0] = 1 - 2 * count[size]
+        change[count[size:] == 0] = 2 * n + 3  # more than any change
         at = int(change.argmin())
-        if change[at] > n:
+        if change[at] > 2 * n + 2:
             at, chosen = capacity - size, used
             used += 1
         else:
