@@ -92,15 +92,15 @@ def build(leaves: DataFrame) -> Manifest:
 
 
 # Leaves of one run share all siblings above it, so a row climbs with up to 16 leaves: each is
-# folded on its own, what is shared is carried once.
+# folded on its own, what is shared is carried once. Digests travel as bytes and are hashed as hex.
 _CLIMB = """
-WITH RECURSIVE climb (tree, leaves, folded, node, above) AS (
-    SELECT tree, leaves, folded, node, '' FROM {anchor}
+WITH RECURSIVE climb (run, folded, node, above) AS (
+    SELECT node, folded, node, X'' FROM {anchor}
     UNION ALL
-    SELECT c.tree, c.leaves, transform(c.folded, f -> sha2(concat(n.before, f, n.after), 256)), n.parent, concat(c.above, n.before, n.after)
+    SELECT c.run, transform(c.folded, f -> unhex(sha2(concat(n.before, lower(hex(f)), n.after), 256))), n.parent, concat(c.above, unhex(concat(n.before, n.after)))
     FROM climb c JOIN {nodes} n ON c.node = n.node
 )
-SELECT tree, leaves, folded, above FROM climb WHERE node = {root}
+SELECT run, folded, above FROM climb WHERE node = {root}
 """
 
 
@@ -118,24 +118,25 @@ def verify(manifest: Manifest) -> DataFrame:
         return spark.createDataFrame([], schema.format(manifest.runs.schema["leaves"].dataType.elementType["key"].dataType.simpleString()))
     others = "concat(array_join(slice(leaves.leaf, 1, i), ''), array_join(slice(leaves.leaf, i + 2, size(leaves)), ''))"
     first = "concat(array_join(slice(leaves.leaf, 1, i), ''), l.claim, array_join(slice(leaves.leaf, i + 2, size(leaves)), ''))"
-    anchor = manifest.runs.select("tree", "node", "leaves", F.expr(f"transform(leaves, (l, i) -> if(of = 1, l.claim, sha2({first}, 256)))").alias("folded"))
+    anchor = manifest.runs.select("node", F.expr(f"transform(leaves, (l, i) -> unhex(if(of = 1, l.claim, sha2({first}, 256))))").alias("folded"))
     before = spark.conf.get(ROW_LIMIT)
     spark.conf.set(ROW_LIMIT, "-1")
     try:
         climbed = settle(spark.sql(_CLIMB, anchor=anchor, nodes=manifest.nodes.select("node", "parent", "before", "after"), root=manifest.root_node), "climbed")
     finally:
         spark.conf.set(ROW_LIMIT, before)
-    proof = F.expr(f"transform(leaves, (l, i) -> sha2(concat({others}, above), 256))")
-    each = climbed.select("tree", F.explode(F.arrays_zip("leaves", "folded", proof.alias("proof"))).alias("l"))
-    root = F.lit(manifest.root)
+    proof = F.expr(f"transform(leaves, (l, i) -> sha2(concat({others}, lower(hex(above))), 256))")
+    back = climbed.join(manifest.runs.select(F.col("node").alias("run"), "tree", "leaves"), "run")
+    each = back.select("tree", F.explode(F.arrays_zip("leaves", "folded", proof.alias("proof"))).alias("l"))
+    root, folded = F.lit(manifest.root), F.lower(F.hex("l.folded"))
     return each.join(manifest.subroots, "tree").select(
         F.col("l.leaves.key").alias("key"),
         F.col("l.leaves.leaf").alias("leaf"),
         "subroot",
         root.alias("root"),
         F.col("l.proof").alias("proof_sha256"),
-        F.col("l.folded").alias("folded_root"),
-        (F.col("l.folded") == root).alias("verified"),
+        folded.alias("folded_root"),
+        (folded == root).alias("verified"),
     )
 
 
