@@ -33,6 +33,8 @@ CLASSES = 40  # of lengths, each twice as long as the one before
 ENOUGH = 20  # labelled texts from which on a class of lengths has a limit of its own
 STEP = 0.01  # nats, of the calibration's histograms
 UNKNOWN = "und"
+SLICE = 1 << 20  # bytes of text that are looked up together, one text at least
+CELLS = 1 << 20  # symbols times languages that are scored at once, also within a text
 
 
 @lru_cache(maxsize=1)
@@ -90,13 +92,25 @@ class Model:
         symbols, text = _symbols(texts)
         scored = np.flatnonzero(symbols != START)
         count = np.bincount(text[scored], minlength=len(texts))
+        sums = np.zeros((len(texts), len(self.languages)))
+        step = max(1, CELLS // len(self.languages))
+        for start in range(0, len(scored), step):
+            some = scored[start : start + step]
+            first, last = text[some[0]], text[some[-1]]
+            scores, own = self._log_probabilities(symbols, some), text[some] - first
+            for k in range(len(self.languages)):
+                sums[first : last + 1, k] += np.bincount(own, scores[:, k], minlength=last - first + 1)
+        return -sums / np.maximum(count, 1)[:, None], count
+
+    def _log_probabilities(self, symbols: np.ndarray, scored: np.ndarray) -> np.ndarray:
+        """A row per place in ``scored``, a column per language."""
         total = np.zeros((len(scored), len(self.languages)), "f4")
-        todo, rest = np.arange(len(scored)), total
+        todo = np.arange(len(scored))
         for order in range(ORDER, 0, -1):
             columns = [symbols[scored[todo] - back] for back in range(order - 1, -1, -1)]
             keys, values = self.grams[order - 1]
             at, hit = _find(keys, _hash(columns))
-            rest[todo[hit]] += values[at[hit]]
+            total[todo[hit]] += values[at[hit]]
             missed = ~hit
             todo = todo[missed]
             if not len(todo):
@@ -104,10 +118,9 @@ class Model:
             if order > 1:
                 keys, values = self.contexts[order - 1]
                 at, known = _find(keys, _hash([c[missed] for c in columns[:-1]]))
-                rest[todo[known]] += values[at[known]]
-        rest[todo] += self.unseen
-        sums = np.stack([np.bincount(text[scored], total[:, k], minlength=len(texts)) for k in range(len(self.languages))], axis=1)
-        return -sums / np.maximum(count, 1)[:, None], count
+                total[todo[known]] += values[at[known]]
+        total[todo] += self.unseen
+        return total
 
 
 def learn(counts: pd.DataFrame) -> Model:
@@ -198,7 +211,7 @@ def fit(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> Model | N
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in slices(batches, 1):
+        for some in slices(batches, 1, SLICE):
             entropy, n = shared.value.cross_entropy([x or "" for x in some.column(1).to_pylist()])
             told = pd.DataFrame({"lang": some.column(0).to_pylist(), "class": length_class(n), "bin": (entropy.min(axis=1) / STEP).astype("i8"), "n": n})
             told = told[told["n"] > 0].groupby(["lang", "class", "bin"]).size().reset_index(name="n")
@@ -261,7 +274,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(shared.value.languages, object)
-        for some in slices(batches, at, 1 << 20):
+        for some in slices(batches, at, SLICE):
             entropy, n = shared.value.cross_entropy([x or "" for x in some.column(at).to_pylist()])
             best = entropy.argmin(axis=1)
             lowest = entropy.min(axis=1)

@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
 import pandas as pd
+import pytest
 from llm_helpers import prose
 from pyspark.sql import functions as F
 
@@ -54,6 +58,61 @@ def test_probabilities_add_up_to_one():
         assert abs(total - 1) < 1e-5, context
 
 
+def by_definition(texts_by_language, text):
+    """Nats per symbol of ``text`` for each language, by the recursion of interpolated Kneser-Ney over dictionaries."""
+    order = langid.ORDER
+
+    def symbols(t):
+        codes, _ = langid._symbols([t])
+        return codes.tolist()
+
+    def grams(codes, n):
+        return [tuple(codes[i : i + n]) for i in range(len(codes) - n + 1)]
+
+    counted = {lang: Counter(g for t in texts for g in grams(symbols(t), order)) for lang, texts in texts_by_language.items()}
+    known = len({g[-1] for own in counted.values() for g in own})
+    out = []
+    for lang in sorted(counted):
+        by_order = {order: counted[lang]}
+        for n in range(order - 1, 0, -1):  # in how many contexts a gram stands
+            by_order[n] = Counter(g[1:] for g in by_order[n + 1])
+        discounts = {}
+        for n, own in by_order.items():
+            ones, twos = max(1, sum(c == 1 for c in own.values())), sum(c == 2 for c in own.values())
+            discounts[n] = min(ones / (ones + 2 * twos), 0.95)
+
+        def probability(gram, n, by_order=by_order, discounts=discounts):
+            below = 1 / (known + 1) if n == 1 else probability(gram[1:], n - 1)
+            followers = [c for g, c in by_order[n].items() if g[:-1] == gram[:-1]]
+            if not followers:
+                return below
+            return (max(by_order[n][gram] - discounts[n], 0) + discounts[n] * len(followers) * below) / sum(followers)
+
+        codes = symbols(text)
+        scored = [tuple(codes[i - order + 1 : i + 1]) for i in range(len(codes)) if codes[i] != langid.START]
+        out.append(-sum(math.log(probability(g, order)) for g in scored) / max(1, len(scored)))
+    return out
+
+
+@pytest.mark.parametrize("cells", [2, 64, 1 << 20])
+def test_models_by_definition(monkeypatch, cells):
+    monkeypatch.setattr(langid, "CELLS", cells)
+    learned = {"a": ["the cat sat on the mat", "a cat and a dog", "the the the"], "b": ["le chat et le chien", "un chat sur le lit", "ça"], "c": ["zz"]}
+    rows = []
+    for lang, texts in learned.items():
+        for t in texts:
+            codes, _ = langid._symbols([t])
+            rows += [(lang, "".join(map(chr, codes[i : i + langid.ORDER]))) for i in range(len(codes) - langid.ORDER + 1)]
+    counts = pd.DataFrame(rows, columns=["lang", "gram"]).groupby(["lang", "gram"]).size().reset_index(name="n")
+    model = langid.learn(counts)
+    texts = ["the dog sat", "", "le chat", "Ünknown sïgns", "zz", "a " * 50]
+    entropy, n = model.cross_entropy(texts)
+    for text, own, count in zip(texts, entropy, n):
+        if count:
+            assert own.tolist() == pytest.approx(by_definition(learned, text), rel=1e-5), text
+    assert n[1] == 0 and entropy[1].tolist() == [0, 0, 0]
+
+
 def test_labels_of_held_out_documents_are_not_used(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     spoiled = docs.selectExpr("doc_id", "text", "if(crc32(cast(cast(doc_id as string) as binary)) % 4 = 2, 'zz', lang) as lang")
