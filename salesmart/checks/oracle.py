@@ -263,6 +263,51 @@ FRAGMENTS = {
 }
 
 # the same over all dates
+
+
+# K-means as one statement: ten starts drawn by hashes, rounds by recursion until no customer moves.
+_SCORED = ("transactions", "total_revenue", "avg_order_value", "total_quantity")
+
+
+def _away(point: str, centre: str) -> str:
+    return " + ".join(f"({point}[{i}] - {centre}[{i}]) * ({point}[{i}] - {centre}[{i}])" for i in range(1, 5))
+
+
+def _distances(centres: str) -> str:
+    return f"list_transform({centres}, lambda c: {_away('z', 'c')})"
+
+
+def _nearest(centres: str) -> str:
+    return f"list_position({_distances(centres)}, list_min({_distances(centres)}))"
+
+
+def _wait(turn: int) -> str:
+    return f"-ln((CAST('0x' || substr(md5('42:' || s || ':{turn}:' || customer_id), 1, 13) AS UBIGINT) + 1) / CAST(4503599627370496 AS DOUBLE))"
+
+
+FRAGMENTS["scores"] = f"""
+    SELECT *, [{", ".join(f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0)" for c in _SCORED)}] AS z FROM features"""
+FRAGMENTS["seeds_0"] = f"SELECT s, [arg_min(z, {_wait(0)})] AS centres FROM scores, range(10) AS r(s) GROUP BY s"
+for _turn in (1, 2, 3):
+    FRAGMENTS[f"seeds_{_turn}"] = f"""
+        SELECT s, list_append(centres, arg_min(z, {_wait(_turn)} / nullif(list_min({_distances("centres")}), 0))) AS centres
+        FROM scores, seeds_{_turn - 1} GROUP BY s, centres"""
+FRAGMENTS["lloyd"] = f"""
+    SELECT 0 AS turn, s, CAST(NULL AS DOUBLE[][]) AS before, centres AS now, 1 AS moved FROM seeds_3
+    UNION ALL
+    SELECT turn + 1, s, now, list(centre ORDER BY place), CAST(sum(moved) AS INTEGER) FROM (
+        SELECT turn, s, now, place, [{", ".join(f"avg(z[{i}])" for i in range(1, 5))}] AS centre, count(*) FILTER (WHERE gone) AS moved FROM (
+            SELECT turn, s, now, z, {_nearest("now")} AS place, before IS NULL OR {_nearest("before")} <> {_nearest("now")} AS gone
+            FROM lloyd, scores WHERE moved > 0 AND turn < 300)
+        GROUP BY turn, s, now, place)
+    GROUP BY turn, s, now"""
+FRAGMENTS["best_centres"] = f"""
+    SELECT arg_min(centres, cost) AS centres FROM (
+        SELECT s, before AS centres, sum(list_min({_distances("before")})) AS cost FROM lloyd, scores WHERE moved = 0 GROUP BY s, before)"""
+FRAGMENTS["placed"] = f"SELECT scores.*, {_nearest('centres')} AS place FROM scores, best_centres"
+FRAGMENTS["segmented"] = """
+    SELECT placed.*, CAST(segment AS INTEGER) AS segment
+    FROM placed JOIN (SELECT place, row_number() OVER (ORDER BY avg(total_revenue)) - 1 AS segment FROM placed GROUP BY place) USING (place)"""
 for _name in ("by_store", "store_fit", "features"):
     FRAGMENTS[f"{_name}_ever"] = re.sub(r"\b(facts|by_store)\b", lambda m: {"facts": "fact", "by_store": "by_store_ever"}[m[1]], FRAGMENTS[_name])
 
@@ -277,7 +322,8 @@ def _sql(statement: str) -> str:
             needed.add(name)
             pending.append(FRAGMENTS[name])
     parts = [f"{name} AS ({FRAGMENTS[name]})" for name in FRAGMENTS if name in needed]
-    return (f"WITH {', '.join(parts)} " if parts else "") + statement
+    recursive = "RECURSIVE " if "lloyd" in needed else ""
+    return (f"WITH {recursive}{', '.join(parts)} " if parts else "") + statement
 
 
 def _kpis(source: str, where: str = "true") -> str:
@@ -601,7 +647,15 @@ ORACLE_BODIES = {
     "segment_totals": """SELECT count(*) AS customers, round(CAST(sum(transactions) AS DOUBLE), 2) AS transactions,
         round(sum(total_revenue), 2) AS total_revenue, round(sum(avg_order_value), 2) AS avg_order_value,
         round(CAST(sum(total_quantity) AS DOUBLE), 2) AS total_quantity FROM features""",
-    "segment_nearest": "SELECT count(*) AS customers, 0 AS misplaced FROM features",
+    "customer_segments": "SELECT customer_id, age_group, gender, segment FROM segmented",
+    "segment_summary": """SELECT segment, count(*) AS customers_count, round(avg(transactions), 4) AS avg_transactions,
+        round(avg(total_revenue), 4) AS avg_revenue, round(avg(avg_order_value), 4) AS avg_order_value, round(avg(total_quantity), 4) AS avg_quantity
+        FROM segmented GROUP BY segment""",
+    "segment_nearest": f"""SELECT count(*) AS customers, count(*) FILTER (WHERE own > nearest + 1e-6) AS misplaced FROM (
+            SELECT customer_id, min(away) FILTER (WHERE here) AS own, min(away) AS nearest FROM (
+                SELECT customer_id, segment = other AS here, {_away("z", "centre")} AS away
+                FROM segmented, (SELECT segment AS other, [{", ".join(f"avg(z[{i}])" for i in range(1, 5))}] AS centre FROM segmented GROUP BY segment))
+            GROUP BY customer_id)""",
     "notification_feed_admin": """SELECT notification_id, type, title, message, severity, is_read,
         strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, store_name
         FROM notes LEFT JOIN stores_raw USING (store_id) WHERE user_id IS NULL OR user_id = 8

@@ -585,7 +585,8 @@ def customer_segments(spark, sf_dir):
 
 @query
 def segment_summary(spark, sf_dir):
-    return segments.segment_summary(_segmented(spark, sf_dir))
+    means = ("avg_transactions", "avg_revenue", "avg_order_value", "avg_quantity")
+    return plain(segments.segment_summary(_segmented(spark, sf_dir)), **dict.fromkeys(means, 4))
 
 
 @query

@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from math import sqrt
-
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from salesmart.functions.columns import ratio
 from salesmart.model import SalesFilter, Scope, Star
+from salesmart.operators.kmeans import first_centres, lloyd, nearest_centre
 from salesmart.operators.sales import select_sales, transactions
 from salesmart.sources.shared import settle
 
-# The stopping rule. The tolerance is for the squared movement of all
-# centres together; Spark's is for the distance each one moves.
+# Fixed value: the most rounds of a start.
 MOST_ITERATIONS = 300
-TOLERANCE = 1e-4
-SIDE_BY_SIDE = 5
-CUSTOMERS_A_PART = 200_000
 FEATURES = ["transactions", "total_revenue", "avg_order_value", "total_quantity"]
 
 
@@ -65,37 +56,19 @@ def segment_customers(
 ) -> DataFrame:
     """Features with a ``segment``; no rows when there are fewer customers than clusters.
 
-    The best of several seeded starts of distributed k-means. The features are
-    stored first; a few starts run side by side over the same cached vectors, which
-    lost executors can rebuild from that table. The vectors are dealt by customer and sorted,
-    so that seeds choose the same ones however the features came; segments are numbered by
-    mean revenue.
+    The best of several starts of k-means on the standardised features, which are stored
+    once; all starts advance in one scan a round until no customer changes its segment.
+    Draws follow hashes of the customers' numbers, so the same seed gives the same segments
+    however the features came; segments are numbered by mean revenue.
     """
-    table = settle(features, "customer_features")
-    if table.limit(clusters).count() < clusters:
+    scores = [f"{c}_z" for c in FEATURES]
+    points = settle(standardise(settle(features, "customer_features")), "customer_scores")
+    if points.limit(clusters).count() < clusters:
         return features.withColumn("segment", F.lit(None).cast("int")).where(F.lit(False))
-    vectors = VectorAssembler(inputCols=[f"{c}_z" for c in FEATURES], outputCol="_vector")
-    prepared = vectors.transform(standardise(table))
-    parts = 1 + table.count() // CUSTOMERS_A_PART
-    points = prepared.repartition(parts, "customer_id").sortWithinPartitions("customer_id").select("_vector").persist()
-
-    def start(offset: int):
-        return KMeans(
-            k=clusters,
-            seed=seed + offset,
-            maxIter=MOST_ITERATIONS,
-            tol=sqrt(TOLERANCE / clusters),
-            featuresCol="_vector",
-            predictionCol="segment",
-        ).fit(points)
-
-    try:
-        with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
-            models = list(pool.map(inheritable_thread_target(points.sparkSession)(start), range(restarts)))
-    finally:
-        points.unpersist()
-    best = min(models, key=lambda model: model.summary.trainingCost)
-    placed = best.transform(prepared).select(*features.columns, F.col("segment").alias("_found"))
+    centres = first_centres(points, "customer_id", scores, clusters, seed, restarts)
+    found, cost, _ = lloyd(points, "customer_id", scores, centres, MOST_ITERATIONS)
+    best = found[int(cost.argmin())]
+    placed = points.withColumn("_found", nearest_centre(scores, best)).select(*features.columns, "_found")
     means = placed.groupBy("_found").agg(F.avg("total_revenue").alias("_mean"))  # one row a segment
     numbered = means.select("_found", (F.row_number().over(W.orderBy("_mean", "_found")) - 1).alias("segment"))
     return placed.join(F.broadcast(numbered), "_found").drop("_found")
