@@ -1,7 +1,7 @@
 """K-means with many starts that advance together.
 
 Each round reads the points once for all starts: every task adds its points up by start and
-centre, and a few hundred sums reach the driver. A start has ended when no point changes
+centre, and only such sums reach the driver. A start has ended when no point changes
 its centre any more, which is a fixpoint, not a tolerance. The points are never held anywhere.
 """
 
@@ -12,11 +12,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 14  # points whose distances are held at once
+DIRECT = 10_000  # most rows of sums that the driver adds up itself
 
 
 def squared_distance(columns: Sequence[str], centre: Sequence[float]) -> Column:
@@ -38,20 +40,41 @@ def first_centres(points: DataFrame, key: str, columns: Sequence[str], clusters:
     A point is drawn with a chance that grows with its squared distance from the centres
     before: the least of -ln(u) / distance wins, u from a hash of the point's key, so the
     draw is one aggregate over all points and doesn't depend on how they are dealt. One
-    scan per centre serves all starts. Points of equal keys are one draw.
+    scan per centre serves all starts. No points give no centres.
     """
-    chosen: list[list[list[float]]] = [[] for _ in range(starts)]
-    point = F.struct(*(F.col(c).cast("double") for c in columns))
+    chosen: list[list[np.ndarray]] = [[] for _ in range(starts)]
+    width = len(columns)
+    names = ["start", "last", "wait", "place", *(f"x{i}" for i in range(width))]
+    kind = points.schema[key].dataType.simpleString()
+    schema = f"start int, last boolean, wait double, place {kind}, " + ", ".join(f"x{i} double" for i in range(width))
+    numbers = points.select(key, *(F.col(c).cast("double") for c in columns))
     for turn in range(clusters):
-        draws = []
-        for start in range(starts):
-            wait = -F.ln(_chance(key, seed, start, turn))
-            if chosen[start]:
-                nearest = F.array_min(F.array(*(squared_distance(columns, c) for c in chosen[start])))
-                wait = F.when(nearest > 0, wait / nearest)  # what lies on a centre is drawn last
-            draws.append(F.min(F.struct(wait.isNull().alias("last"), wait.alias("wait"), F.col(key).alias("key"), point.alias("point"))).alias(f"s{start}"))
-        for start, found in enumerate(points.agg(*draws).first()):
-            chosen[start].append([float(x) for x in found["point"]])
+        chances = [_chance(key, seed, start, turn).alias(f"u{start}") for start in range(starts)]
+
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The best point of each batch for each start."""
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                some = np.column_stack([batch.column(1 + c).to_numpy(zero_copy_only=False) for c in range(width)])
+                rows = []
+                for start in range(starts):
+                    wait = -np.log(batch.column(1 + width + start).to_numpy(zero_copy_only=False))
+                    last = np.zeros(len(some), bool)
+                    if chosen[start]:
+                        nearest = _assign(some, np.array(chosen[start]))[1]
+                        last = nearest <= 0  # what lies on a centre is drawn last
+                        wait = np.where(last, 0.0, wait / np.where(last, 1.0, nearest))
+                    ties = pa.table({"last": last, "wait": wait, "place": batch.column(0)})
+                    best = pc.sort_indices(ties, [("last", "ascending"), ("wait", "ascending"), ("place", "ascending")])[0].as_py()
+                    rows.append((start, bool(last[best]), float(wait[best]), batch.column(0)[best].as_py(), *some[best].tolist()))
+                types = [pa.int32(), pa.bool_(), pa.float64(), batch.column(0).type, *[pa.float64()] * width]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+        drawn = numbers.select(key, *columns, *chances).mapInArrow(draw, schema)
+        first = drawn.groupBy("start").agg(F.min(F.struct(*names[1:])).alias("best"))
+        for row in first.collect():
+            chosen[row["start"]].append(np.array([row["best"][f"x{i}"] for i in range(width)]))
     return np.array(chosen)
 
 
@@ -64,7 +87,7 @@ def _assign(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nda
     return nearest, distance[np.arange(len(points)), nearest]
 
 
-def _round(points: DataFrame, columns: Sequence[str], before: dict[int, np.ndarray | None], now: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float, int]]:
+def _round(points: DataFrame, columns: Sequence[str], before: dict[int, np.ndarray | None], now: dict[int, np.ndarray], tasks: int) -> dict[int, tuple[np.ndarray, np.ndarray, float, int]]:
     """Per start: sums and counts by centre, cost, and how many points changed their centre since ``before``."""
     width = len(columns)
     names = ["start", "centre", "n", "cost", "moved", *(f"s{i}" for i in range(width))]
@@ -84,12 +107,14 @@ def _round(points: DataFrame, columns: Sequence[str], before: dict[int, np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i < 2 else pa.float64()) for i in range(len(names))], names)
 
     schema = "start int, centre int, " + ", ".join(f"{n} double" for n in names[2:])
-    sums = points.select(*columns).mapInArrow(run, schema).groupBy("start", "centre").agg(*(F.sum(n).alias(n) for n in names[2:]))
+    sums = points.select(*columns).mapInArrow(run, schema)
+    if tasks * sum(map(len, now.values())) > DIRECT:
+        sums = sums.groupBy("start", "centre").agg(*(F.sum(n).alias(n) for n in names[2:]))
     out = {s: (np.zeros((len(c), width)), np.zeros(len(c)), 0.0, 0) for s, c in now.items()}
-    for row in sums.collect():  # starts x clusters rows
+    for row in sums.collect():
         total, n, cost, moved = out[row["start"]]
-        total[row["centre"]] = [row[f"s{i}"] for i in range(width)]
-        n[row["centre"]] = row["n"]
+        total[row["centre"]] += [row[f"s{i}"] for i in range(width)]
+        n[row["centre"]] += row["n"]
         out[row["start"]] = (total, n, cost + row["cost"], moved + int(row["moved"]))
     return out
 
@@ -113,8 +138,9 @@ def lloyd(points: DataFrame, key: str, columns: Sequence[str], centres: np.ndarr
     before: dict[int, np.ndarray | None] = dict.fromkeys(now)
     cost, settled = np.full(len(centres), np.inf), [False] * len(centres)
     final = centres.copy()
+    tasks = points.rdd.getNumPartitions()
     for _ in range(most_rounds):
-        for s, (total, n, own, moved) in _round(points, columns, {s: before[s] for s in now}, now).items():
+        for s, (total, n, own, moved) in _round(points, columns, {s: before[s] for s in now}, now, tasks).items():
             final[s], cost[s] = now[s], own
             if not moved:
                 settled[s] = True
