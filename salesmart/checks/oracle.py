@@ -594,6 +594,11 @@ ORACLE_BODIES = {
             ('no_such_table.current_quantity')) v(probe)""",
     "alerts_appended": f"""SELECT store_id, type, title, message, severity, is_read, CAST({AS_OF} AS TIMESTAMP) AS created_at,
         count(*) AS ids, count(*) AS copies FROM (SELECT * FROM low_alerts UNION ALL SELECT * FROM order_alerts) GROUP BY ALL""",
+    "stream_alerts": f"""SELECT store_id, type, title, message, severity, is_read, CAST({AS_OF} AS TIMESTAMP) AS created_at,
+        count(*) AS ids, count(*) AS copies FROM (SELECT * FROM low_alerts UNION ALL SELECT * FROM order_alerts) GROUP BY ALL""",
+    "stream_daily_sales": f"""SELECT date, {dbl("sum(revenue)")} AS daily_revenue, {big("sum(quantity)")} AS daily_quantity,
+        count(DISTINCT sale_id) AS daily_transactions FROM fact GROUP BY date
+        HAVING date + INTERVAL 3 DAY <= (SELECT max(date + to_seconds(sale_id % 86400)) FROM fact)""",
     "low_stock_alerts": "SELECT * FROM low_alerts",
     "auto_order_alerts": "SELECT * FROM order_alerts",
     "inventory_cards": """SELECT CAST(floor((SELECT avg(eoq) FROM optimised) + 0.5) AS BIGINT) AS avg_eoq,

@@ -8,7 +8,7 @@ statistics whose last digits depend on the order of summation are rounded.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +22,12 @@ from salesmart.operators.dedupe import keep_first
 from salesmart.operators.sales import star_rows, trailing_days
 from salesmart.plans import anomaly, forecast, inventory, notifications, reports, segments
 from salesmart.sources import sinks
-from salesmart.sources.schemas import FACT_COLUMNS
+from salesmart.sources.schemas import FACT_COLUMNS, INVENTORY_LEVELS
 from salesmart.sources.shared import settle, shared_folder
 from salesmart.sources.tables import optional_table, run_query
+from salesmart.streaming import alerts as stream_alerts_job
+from salesmart.streaming import daily as stream_daily
+from salesmart.streaming import runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -459,6 +462,44 @@ def alerts_appended(spark, sf_dir):
     return told.agg(F.count_distinct("notification_id").alias("ids"), F.count("*").alias("copies"))
 
 
+@query
+def stream_alerts(spark, sf_dir):
+    """The same alerts from streams of levels and orders; then all batches once more, dealt otherwise, which add nothing."""
+    held, base = t.stored(spark, sf_dir), f"{shared_folder(spark)}/alert-streams-{uuid4().hex}"
+    deal = F.pmod(F.xxhash64("store_id", "product_id"), F.lit(3))
+    for part in range(3):
+        held.levels.where(deal == part).write.mode("append").parquet(f"{base}/levels")
+        auto_orders(spark, sf_dir).where(deal == part).coalesce(1).write.mode("append").parquet(f"{base}/orders")
+    orders = spark.read.parquet(f"{base}/orders").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+    now = datetime.combine(t.AS_OF, datetime.min.time())
+    for turn, files in enumerate((2, None)):
+        levels = runs.file_stream(spark, f"{base}/levels", INVENTORY_LEVELS, files)
+        stream_alerts_job.watch_levels(levels, held.star, ADMIN, f"{base}/alerts", f"{base}/checkpoint-levels-{turn}", now)
+        ordered = runs.file_stream(spark, f"{base}/orders", orders, files)
+        stream_alerts_job.watch_orders(ordered, f"{base}/alerts", f"{base}/checkpoint-orders-{turn}", now)
+    told = stream_alerts_job.read_alerts(spark, f"{base}/alerts").groupBy("store_id", "type", "title", "message", "severity", "is_read", "created_at")
+    return told.agg(F.count_distinct("notification_id").alias("ids"), F.count("*").alias("copies"))
+
+
+@query
+def stream_daily_sales(spark, sf_dir):
+    """Two deliveries with late and repeated sales, each taken by a run of its own."""
+    base = f"{shared_folder(spark)}/daily-stream-{uuid4().hex}"
+    fact = t.stored(spark, sf_dir).star.fact
+    moment = F.timestamp_seconds(F.unix_timestamp(F.col("date").cast("timestamp")) + F.col("sale_id") % 86400)
+    sales = fact.select("sale_id", moment.alias("sale_date"), "quantity", "revenue", "date")
+    late = F.expr("date = date'1996-12-31' and sale_id % 10 = 0")
+    early = sales.where("date < date'1997-01-01'")
+    again = early.where("date = date'1996-12-31' and sale_id % 7 = 0")
+    first = early.where(~late).unionAll(again.where(~late))
+    rest = sales.where("date >= date'1997-01-01'").unionAll(early.where(late)).unionAll(again)
+    for delivery in (first, rest):
+        delivery.drop("date").write.mode("append").parquet(f"{base}/sales")
+        stream = runs.file_stream(spark, f"{base}/sales", "sale_id bigint, sale_date timestamp, quantity int, revenue decimal(12,2)")
+        stream_daily.write_closed_days(stream, f"{base}/days", f"{base}/checkpoint")
+    return plain(stream_daily.read_closed_days(spark, f"{base}/days"))
+
+
 @query
 def inventory_cards(spark, sf_dir):
     held = t.stored(spark, sf_dir)

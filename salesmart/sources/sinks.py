@@ -52,18 +52,23 @@ def write_report(export: DataFrame, path: str, rows: int | None = None) -> None:
     _write(lines.select("line"), lambda text: text.write.mode("overwrite").text(path))
 
 
-def append_alerts(alerts: DataFrame, existing: DataFrame | None, path: str, now: Column) -> None:
-    """Append alerts to the stored notifications.
+def numbered_alerts(alerts: DataFrame, now: Column) -> DataFrame:
+    """Alerts with ``notification_id`` and ``created_at``.
 
     An alert's number is a hash of what it says, where, and of the day, with a count where
     several say the same: two runs that append side by side can't take one number for
-    different alerts, and a second run of one day adds nothing that is there already.
+    different alerts.
     """
     moment = now.cast("timestamp_ntz")
     said = ["type", "store_id", "title", "message"]
     nth = F.row_number().over(W.partitionBy(*said).orderBy("severity"))
     number = F.xxhash64(*said, moment.cast("date"), nth).bitwiseAND(F.lit(2**63 - 1))
-    numbered = alerts.withColumn("notification_id", number)
+    return alerts.withColumn("notification_id", number).withColumn("created_at", moment).select(*NOTIFICATION_COLUMNS)
+
+
+def append_alerts(alerts: DataFrame, existing: DataFrame | None, path: str, now: Column) -> None:
+    """Append alerts to the stored notifications; a second run of one day adds nothing that is there already."""
+    numbered = numbered_alerts(alerts, now)
     if existing is not None:
         numbered = numbered.join(existing.select("notification_id"), "notification_id", "left_anti")
-    numbered.withColumn("created_at", moment).select(*NOTIFICATION_COLUMNS).write.mode("append").parquet(path)
+    numbered.select(*NOTIFICATION_COLUMNS).write.mode("append").parquet(path)
