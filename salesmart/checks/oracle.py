@@ -36,6 +36,14 @@ def big(expression: str) -> str:
     return f"CAST({expression} AS BIGINT)"
 
 
+def _likeliest(m: str) -> str:
+    """Where the likelihood of a first-order autoregression is largest, by halving: its slope has one root in (-1, 1)."""
+    middle = "((b[1] + b[2]) / 2)"
+    slope = f"n * ({m}b - {m}c * {middle}) * (1 - {middle} * {middle}) - {middle} * ({m}a - 2 * {m}b * {middle} + {m}c * {middle} * {middle})"
+    halves = f"CASE WHEN {slope} > 0 THEN [{middle}, b[2]] ELSE [b[1], {middle}] END"
+    return f"list_reduce([[CAST(-1 AS DOUBLE), CAST(1 AS DOUBLE)]] || list_transform(range(80), lambda k: [CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)]), lambda b, x: {halves})[1]"
+
+
 FRAGMENTS = {
     "stores_raw": """
         SELECT s_suppkey AS store_id, s_name AS store_name, n_name AS city, r_name AS region,
@@ -220,6 +228,17 @@ FRAGMENTS = {
             r + dr * list_sum([fr ** k FOR k IN range(1, step + 1)]) AS r,
             p + dp * list_sum([fp ** k FOR k IN range(1, step + 1)]) AS p
         FROM ar_pairs JOIN ar_slopes USING (store_id, period), generate_series(1, 6) AS g(step)""",
+    "ml_sums": """
+        SELECT store_id, max(period) AS period, count(dr) AS n,
+            sum(dr * dr) AS ra, sum(dr * lr) AS rb, sum(lr * lr) - arg_min(dr, period) ** 2 AS rc,
+            sum(dp * dp) AS pa, sum(dp * lp) AS pb, sum(lp * lp) - arg_min(dp, period) ** 2 AS pc
+        FROM ar_pairs GROUP BY store_id HAVING count(*) >= 4""",
+    "ml_slopes": f"SELECT store_id, period, {_likeliest('r')} AS fr, {_likeliest('p')} AS fp FROM ml_sums",
+    "ml_ahead": """
+        SELECT store_id, CAST(month_start + to_months(CAST(step AS INTEGER)) AS DATE) AS d,
+            r + dr * list_sum([fr ** k FOR k IN range(1, step + 1)]) AS r,
+            p + dp * list_sum([fp ** k FOR k IN range(1, step + 1)]) AS p
+        FROM ar_pairs JOIN ml_slopes USING (store_id, period), generate_series(1, 6) AS g(step)""",
     "calendar_lines": f"""
         SELECT store_id, regr_slope({dbl("revenue")}, m) AS rs, regr_intercept({dbl("revenue")}, m) AS ri,
             regr_slope({dbl("profit")}, m) AS ps, regr_intercept({dbl("profit")}, m) AS pi, max(m) AS m
@@ -641,6 +660,9 @@ ORACLE_BODIES = {
     "forecast_autoregressive_by_store": """SELECT store_id, CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month,
         round(r, 2) AS revenue, round(p, 2) AS profit, monthname(d) AS month_name, true AS is_forecast, 'arima(1,1,0)' AS fitted
         FROM ar_ahead""",
+    "forecast_likelihood_by_store": """SELECT store_id, CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month,
+        round(r, 1) AS revenue, round(p, 1) AS profit, monthname(d) AS month_name, true AS is_forecast, 'arima(1,1,0)' AS fitted
+        FROM ml_ahead""",
     "forecast_calendar_trend_by_store": """SELECT store_id, CAST((m + step) // 12 AS INTEGER) AS year,
         CAST((m + step) % 12 + 1 AS INTEGER) AS month,
         round(ri + rs * (m + step), 2) AS revenue, round(pi + ps * (m + step), 2) AS profit,
@@ -732,4 +754,6 @@ def _cards(where: str) -> str:
 ORACLE_BODIES["insight_cards"] = _cards("true")
 ORACLE_BODIES["insight_cards_store"] = _cards("store_id = 3")
 
+ORACLE_BODIES["forecast_unbent_trend_by_store"] = ORACLE_BODIES["forecast_calendar_trend_by_store"]
+
 ORACLE = {name: _sql(body) for name, body in ORACLE_BODIES.items()}

@@ -582,7 +582,14 @@ def forecast_arima_by_store(spark, sf_dir):
 def forecast_autoregressive_by_store(spark, sf_dir):
     """Order 1,1,0: differences regressed on those before, through the origin."""
     history = _history(spark, sf_dir, ("store_id",))
-    return plain(forecast.forecast(history, "arima", arima_order="1,1,0", by=("store_id",)), **AMOUNTS)
+    return plain(forecast.arima_forecast(history, (1, 1, 0), by=("store_id",), method="conditional"), **AMOUNTS)
+
+
+@query
+def forecast_likelihood_by_store(spark, sf_dir):
+    """The order whose likelihood has one maximum, at the root of a cubic."""
+    history = _history(spark, sf_dir, ("store_id",))
+    return plain(forecast.forecast(history, "arima", arima_order="1,1,0", by=("store_id",)), revenue=1, profit=1)
 
 
 @query
@@ -596,7 +603,14 @@ def forecast_last_value_by_store(spark, sf_dir):
 def forecast_calendar_trend_by_store(spark, sf_dir):
     """The seasonal model without waves: a line over the calendar's months."""
     history = _history(spark, sf_dir, ("store_id",))
-    return plain(forecast.seasonal_forecast(history, by=("store_id",), harmonics=0), **AMOUNTS)
+    return plain(forecast.seasonal_forecast(history, by=("store_id",), harmonics=0, changepoints=0), **AMOUNTS)
+
+
+@query
+def forecast_unbent_trend_by_store(spark, sf_dir):
+    """All bends penalised away: the same line."""
+    history = _history(spark, sf_dir, ("store_id",))
+    return plain(forecast.seasonal_forecast(history, by=("store_id",), harmonics=0, prior=1e-12), **AMOUNTS)
 
 
 @query

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from salesmart.functions import series
+from salesmart.functions import likelihood, series, trend
 from salesmart.functions.columns import month_name, period_label
 from salesmart.functions.series import months_needed
 from salesmart.model import SalesFilter, Scope, Star
@@ -26,7 +26,8 @@ from salesmart.sources.shared import settle
 LEAST_MONTHS = 3
 
 # the fits travel to the workers with the task, installed there or not
-cloudpickle.register_pickle_by_value(series)
+for _fits in (series, likelihood, trend):
+    cloudpickle.register_pickle_by_value(_fits)
 
 
 def monthly_history(
@@ -174,17 +175,26 @@ def arima_forecast(
     ahead: int = 6,
     by: Sequence[str] = (),
     language: str = "en",
+    method: str = "likelihood",
 ) -> DataFrame:
-    path = series.arima_path
+    """By exact likelihood, or with ``method="conditional"`` by the least sum of squared one-step errors."""
+    path = {"likelihood": likelihood.likelihood_path, "conditional": series.arima_path}[method]
     least = max(LEAST_MONTHS, months_needed(order))
     return _forecast_by_fit(history, ahead, by, language, lambda _, y: path(y, order, ahead), least)
 
 
 def seasonal_forecast(
-    history: DataFrame, ahead: int = 6, by: Sequence[str] = (), language: str = "en", harmonics: int = 3
+    history: DataFrame,
+    ahead: int = 6,
+    by: Sequence[str] = (),
+    language: str = "en",
+    harmonics: int = 3,
+    changepoints: int = trend.PLACES,
+    prior: float = trend.PRIOR,
 ) -> DataFrame:
-    path = series.seasonal_path
-    return _forecast_by_fit(history, ahead, by, language, lambda m, y: path(m, y, ahead, harmonics))
+    """A line that may bend at up to ``changepoints`` months, with yearly waves; the smaller ``prior``, the fewer bends."""
+    path = trend.trend_path
+    return _forecast_by_fit(history, ahead, by, language, lambda m, y: path(m, y, ahead, harmonics, changepoints, prior))
 
 
 def parse_order(text: str) -> tuple[int, int, int]:
