@@ -19,7 +19,7 @@ ROUNDS = 100
 STEP = 1e-30  # of the imaginary axis: derivatives without cancellation
 REST, ROUGH = 1e-10, 0.1  # largest derivative of a search at rest, and of one that only compares hills
 GRID = (-0.95, -0.4, 0.4, 0.95)  # partial autocorrelations to begin with, beside the conditional fit
-HILLS = 2  # beginnings, the likeliest of all, that are searched from
+HILLS = 3  # beginnings, the likeliest of all, that are searched from
 EXACT = 1e-20  # share of a series' squares below which errors count as none
 
 
