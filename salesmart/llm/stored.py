@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from contextvars import ContextVar
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,7 @@ def folder(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
 
 
+_on_the_way: ContextVar[list[str] | None] = ContextVar("_on_the_way", default=None)  # what settle_alone will delete
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -30,6 +33,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid4().hex}"
+    if (noted := _on_the_way.get()) is not None:
+        noted.append(path)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -39,15 +44,34 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_alone(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Settle what ``build`` returns, and delete the tables that it settled on the way.
+
+    Only tables settled by the calling thread inside ``build`` go.
+    """
+    token = _on_the_way.set([])
+    try:
+        df = build()
+        passed = list(_on_the_way.get() or [])
+    finally:
+        _on_the_way.reset(token)
+    stored = settle(df, name)
+    for path in passed:
+        _delete(df.sparkSession, path)
+    return stored
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a settled table that has no readers left."""
-    spark = df.sparkSession
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, file)
 
 
 def release(spark: SparkSession) -> None:
     """Delete all tables that this application has settled; for when all results are read."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, folder(spark))

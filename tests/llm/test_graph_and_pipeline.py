@@ -15,7 +15,7 @@ from salesmart.llm import langid
 from salesmart.llm.components import components
 from salesmart.llm.oracle import ORACLE
 from salesmart.llm.queries import QUERIES
-from salesmart.llm.stored import drop, folder, settle
+from salesmart.llm.stored import drop, folder, settle, settle_alone
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,6 +45,26 @@ def test_stored_tables(spark):
         spark.read.parquet(stored.inputFiles()[0]).count()
 
 
+def test_tables_on_the_way_are_deleted(spark):
+    outside, on_the_way = settle(spark.range(3), "outside"), []
+
+    def build():
+        on_the_way.append(settle(spark.range(4), "inner"))
+        return on_the_way[0].unionAll(outside)
+
+    assert settle_alone(build, "all").count() == 7 and outside.count() == 3
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        spark.read.parquet(on_the_way[0].inputFiles()[0]).count()
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = documents(spark, [])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == documents(spark, []).columns and docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, name):
     assert differences(QUERIES[name](spark, SF), connect(SF), ORACLE[name]) == []
