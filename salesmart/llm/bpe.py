@@ -12,6 +12,7 @@ however long a word is.
 from __future__ import annotations
 
 import codecs
+import ctypes
 import heapq
 import json
 import re
@@ -408,6 +409,15 @@ def slices(batches: Iterator[pa.RecordBatch], at: int, size: int = SLICE) -> Ite
             end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + size, side="right")))
             yield batch.slice(start, end - start)
             start = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system: workers live on, and what they hold counts beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
