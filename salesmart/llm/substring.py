@@ -158,7 +158,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     docs = docs.select(*names)
     numbered = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = repeated(numbered, KIND, search).withColumnRenamed("doc_id", "_number")
-    joined = docs.join(found, docs[key].cast("long") == found["_number"], "left").select(*names, "runs")
+    joined = docs.join(found.hint("merge"), docs[key].cast("long") == found["_number"], "left").select(*names, "runs")
     schema = T.StructType([*docs.schema.fields]).add("n_words", "long").add("n_removed", "long").add("kept", "string")
     at = names.index(text)
 
