@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from salesmart.llm import langid, minhash, packing, substring
 from salesmart.llm.queries import TOKENIZER, table
-from salesmart.llm.stored import settle
+from salesmart.llm.stored import settle, settle_alone
 
 #: SQL can't express language models, tokens or packing; tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -22,7 +22,9 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without letters or unlike all learned languages go.
 
-    Where nothing could be learned, all documents stay.
+    Where nothing could be learned, all documents stay, as an empty table does. Repeated rows are
+    judged alike; a null text has no letters. Very long texts are scored block by block; other
+    columns, whatever their names, pass.
     """
     model = langid.fit(docs)
     if model is None:
@@ -34,16 +36,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest number.
 
-    Of rows with one number one stays; rows without a number can't be compared and stay.
+    Of rows with one number one stays; rows without a number can't be compared and stay. Null and
+    empty texts resemble nothing and stay. The tables of the comparison are deleted before texts
+    are shuffled. An empty table gives an empty one.
     """
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = settle_alone(lambda: minhash.near_duplicates(docs).where("kept").select("doc_id").distinct(), "kept")
     first = F.row_number().over(W.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text"))))
     left = docs.join(kept, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1").select(*docs.columns)
     return left.unionAll(docs.where(F.col("doc_id").isNull()))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 50 words and more that start in an earlier document; those left empty go."""
+    """Texts without the passages of 50 words and more that start in an earlier document; those left empty go.
+
+    Texts without such passages stay as they are, null and empty ones too, whatever their length. An
+    empty table gives an empty one; other columns pass.
+    """
     left = substring.remove_repeats(docs, spaced=True)
     left = left.where("n_removed = 0 or n_removed < n_words").withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
@@ -51,7 +59,11 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
+    """The pieces of all documents in sequences of 2048 tokens.
+
+    A null text counts as empty; each repeated row has pieces of its own; long texts are cut. An
+    empty table has no pieces.
+    """
     return packing.pack(packing.cut(docs, TOKENIZER))
 
 
