@@ -431,6 +431,10 @@ ORACLE_BODIES = {
         date, year, month FROM fact""",
     "export_sales": _EXPORT_OUT,
     "export_csv_roundtrip": _EXPORT_OUT,
+    "export_workbook_roundtrip": _EXPORT_OUT,
+    "workbook_customers": "SELECT * FROM customers_raw",
+    "workbook_sales_scan": f"SELECT {_SALE} FROM sales_raw",
+    "workbook_fact_sales": f"SELECT sale_id, date_id, store_id, product_id, customer_id, quantity, {_MONEY} FROM fact",
     "report_lines": f"""SELECT CAST(date AS VARCHAR) || ' | ' || store_name || ' | ' || product_name || ' | ' || quantity
         || ' | ₪' || {_MONEY_TEXT.format("revenue")} AS line
         FROM ({_EXPORT}) """,

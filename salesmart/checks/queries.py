@@ -16,15 +16,16 @@ from pyspark.sql import functions as F
 
 from salesmart.checks import retail_tables as t
 from salesmart.functions import columns as c
-from salesmart.model import ADMIN, SalesFilter, Scope
+from salesmart.model import ADMIN, RawTables, SalesFilter, Scope
 from salesmart.operators import quality
 from salesmart.operators.dedupe import keep_first
 from salesmart.operators.sales import star_rows, trailing_days
 from salesmart.plans import anomaly, forecast, inventory, notifications, reports, segments
-from salesmart.sources import sinks
+from salesmart.plans.etl import conform
+from salesmart.sources import sinks, workbooks
 from salesmart.sources.schemas import FACT_COLUMNS, INVENTORY_LEVELS
 from salesmart.sources.shared import settle, shared_folder
-from salesmart.sources.tables import optional_table, run_query
+from salesmart.sources.tables import optional_table, read_raw, run_query
 from salesmart.streaming import alerts as stream_alerts_job
 from salesmart.streaming import daily as stream_daily
 from salesmart.streaming import runs
@@ -93,6 +94,43 @@ def export_csv_roundtrip(spark, sf_dir):
     return plain(spark.read.schema(rows.schema).option("header", True).csv(path))
 
 
+@query
+def export_workbook_roundtrip(spark, sf_dir):
+    """The whole export as spreadsheets, read back."""
+    rows = _export(spark, sf_dir)
+    path = f"{shared_folder(spark)}/workbooks-{uuid4().hex}"
+    sinks.write_workbooks(rows, path)
+    return plain(spark.read.format(workbooks.FORMAT).schema(rows.schema).load(path))
+
+
+def _extract_of_workbooks(spark, sf_dir, *tables):
+    """The named tables as spreadsheets, sales in as many files as tasks run side by side, and read as an extract."""
+    folder = f"{shared_folder(spark)}/extract-{uuid4().hex}"
+    for name, _, table in t.raw_tables(spark, sf_dir).items():
+        if name in tables:
+            dealt = table.repartition(spark.sparkContext.defaultParallelism) if name == "sales" else table
+            sinks.write_workbooks(dealt, f"{folder}/{name}", sheet=name)
+    return read_raw(spark, folder, workbooks.FORMAT)
+
+
+@query
+def workbook_customers(spark, sf_dir):
+    return _extract_of_workbooks(spark, sf_dir, "customers").customers
+
+
+@query
+def workbook_sales_scan(spark, sf_dir):
+    """Sales from spreadsheets, with their dates as the text that the cleaning step takes."""
+    return plain(_extract_of_workbooks(spark, sf_dir, "sales").sales.withColumn("sale_date", F.to_date("sale_date")))
+
+
+@query
+def workbook_fact_sales(spark, sf_dir):
+    """An extract of spreadsheets through the whole load."""
+    cleaned = quality.clean(_extract_of_workbooks(spark, sf_dir, *(name for name, _ in RawTables.KEYS)), t.SALES_ORDER)
+    return plain(conform(cleaned, unique_sales=True).fact.select(*FACT_COLUMNS))
+
+
 @query
 def report_lines(spark, sf_dir):
     return sinks.report_lines(_export(spark, sf_dir)).select("line")

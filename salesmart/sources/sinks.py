@@ -9,6 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from salesmart.functions.columns import money_text
+from salesmart.sources import workbooks
+
+REPORT_SHEET = "Sales Report"
 
 NOTIFICATION_COLUMNS = [
     "notification_id", "user_id", "store_id", "type", "title", "message", "severity", "is_read", "created_at",
@@ -28,6 +31,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     _write(df, lambda rows: rows.write.mode("overwrite").option("header", True).csv(path))
 
 
+def write_workbooks(df: DataFrame, path: str, sheet: str = REPORT_SHEET) -> None:
+    """Spreadsheet workbooks with a header, in the order of the rows. An empty result is an error."""
+    workbooks.register(df.sparkSession)
+    _write(df, lambda rows: rows.write.format(workbooks.FORMAT).mode("overwrite").option("sheet", sheet).save(path))
+
+
 def report_lines(export: DataFrame, rows: int | None = None) -> DataFrame:
     """The printed report: one text line for each row of the export, or for its first ``rows``."""
     if rows is not None:

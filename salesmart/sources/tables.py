@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from salesmart.model import RawTables
+from salesmart.sources import workbooks
 from salesmart.sources.schemas import RAW
 
 
 def read_raw(spark: SparkSession, folder: str, fmt: str = "parquet", **options) -> RawTables:
     """Read ``stores``, ``products``, ``customers`` and ``sales`` from ``folder``.
 
-    From text formats ``sale_date`` is read as text, so that a bad date reaches
-    the cleaning step instead of being lost in the reader.
+    From text formats and workbooks ``sale_date`` is read as text, so that a bad date reaches
+    the cleaning step instead of being lost in the reader. Each table of an extract of workbooks
+    (``fmt="workbooks"``) is a folder of them or one file, ``stores.xlsx`` and so on.
     """
-    text = fmt in ("csv", "json")
+    text = fmt in ("csv", "json", workbooks.FORMAT)
     if fmt == "csv":
         options.setdefault("header", True)
+    if fmt == workbooks.FORMAT:
+        workbooks.register(spark)
 
     def table(name: str) -> DataFrame:
         schema = RAW[name]
