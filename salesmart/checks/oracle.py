@@ -425,6 +425,14 @@ _REPORT = f"""
     UNION ALL SELECT 'business_rules', 'sales', item, CAST(value AS DOUBLE)
         FROM (UNPIVOT (SELECT * EXCLUDE (rows_kept) FROM ({_RULES})) ON COLUMNS(*) INTO NAME item VALUE value)"""
 
+_UPDATED_LEVELS = f"""SELECT store_id, product_id, coalesce(l.current_quantity, o.current_stock) AS current_quantity,
+    coalesce(o.min_level, l.min_quantity) AS min_quantity, coalesce(o.max_level, l.max_quantity) AS max_quantity,
+    coalesce(o.reorder_point, l.reorder_point) AS reorder_point,
+    CASE WHEN l.current_quantity IS NULL OR (o.eoq IS NOT NULL AND
+        (o.min_level, o.max_level, o.reorder_point) IS DISTINCT FROM (l.min_quantity, l.max_quantity, l.reorder_point))
+        THEN CAST({AS_OF} AS TIMESTAMP) ELSE l.last_updated END AS last_updated
+    FROM levels l FULL JOIN optimised o USING (store_id, product_id)"""
+
 ORACLE_BODIES = {
     "raw_sales_scan": f"SELECT {_SALE} FROM sales_raw",
     "warehouse_roundtrip": f"""SELECT sale_id, date_id, store_id, product_id, customer_id, quantity, {_MONEY},
@@ -594,13 +602,8 @@ ORACLE_BODIES = {
     "demand_no_stock": f"""SELECT store_id, product_id, total_qty, sales_days, 0 AS current_stock, 0 AS stored_reorder,
         0 AS stored_max, store_name, product_name, {dbl("unit_cost")} AS unit_cost FROM sold""",
     "inventory_optimization": "SELECT * FROM optimised",
-    "inventory_upsert": f"""SELECT store_id, product_id, coalesce(l.current_quantity, o.current_stock) AS current_quantity,
-        coalesce(o.min_level, l.min_quantity) AS min_quantity, coalesce(o.max_level, l.max_quantity) AS max_quantity,
-        coalesce(o.reorder_point, l.reorder_point) AS reorder_point,
-        CASE WHEN l.current_quantity IS NULL OR (o.eoq IS NOT NULL AND
-            (o.min_level, o.max_level, o.reorder_point) IS DISTINCT FROM (l.min_quantity, l.max_quantity, l.reorder_point))
-            THEN CAST({AS_OF} AS TIMESTAMP) ELSE l.last_updated END AS last_updated
-        FROM levels l FULL JOIN optimised o USING (store_id, product_id)""",
+    "inventory_upsert": _UPDATED_LEVELS,
+    "inventory_upsert_stored": _UPDATED_LEVELS,
     "reorder_suggestions": "SELECT * FROM suggestions",
     "inventory_scoped": "SELECT * FROM suggestions WHERE store_id = 3",
     "auto_orders": "SELECT * FROM orders_due",

@@ -430,6 +430,18 @@ def inventory_upsert(spark, sf_dir):
     return inventory.updated_levels(held.levels, inventory.optimise(_demand(spark, sf_dir)), now)
 
 
+@query
+def inventory_upsert_stored(spark, sf_dir):
+    """The same update of the stored table, in two runs of some stores each."""
+    now = F.lit(t.AS_OF).cast("timestamp_ntz")
+    levels = inventory.stored_levels(spark, f"{shared_folder(spark)}/levels-{uuid4().hex}", buckets=16)
+    levels.replace(t.stored(spark, sf_dir).levels)
+    optimised = settle(inventory.optimise(_demand(spark, sf_dir)), "optimised")
+    for some in ("store_id % 4 = 1", "store_id % 4 <> 1"):
+        inventory.update_stored_levels(levels, optimised.where(some), now)
+    return levels.read()
+
+
 @query
 def reorder_suggestions(spark, sf_dir):
     held = t.stored(spark, sf_dir)

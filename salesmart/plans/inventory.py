@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesmart.functions.columns import truncated
@@ -18,6 +18,8 @@ from salesmart.operators.sales import (
     trailing_days,
 )
 from salesmart.operators.upsert import upsert
+from salesmart.sources.keyed import BUCKETS, KeyedTable
+from salesmart.sources.schemas import INVENTORY_LEVELS
 
 
 @dataclass(frozen=True)
@@ -101,23 +103,33 @@ def optimise(wanted: DataFrame, policy: StockPolicy = StockPolicy()) -> DataFram
     )
 
 
-def updated_levels(levels: DataFrame, optimised: DataFrame, now: Column) -> DataFrame:
-    """Levels after an update: thresholds replaced, stock on hand kept, new pairs added."""
-    source = optimised.select(
-        "store_id",
-        "product_id",
+KEPT_KEYS = ["store_id", "product_id"]
+THRESHOLDS = ["min_quantity", "max_quantity", "reorder_point"]
+
+
+def _level_changes(optimised: DataFrame) -> DataFrame:
+    return optimised.select(
+        *KEPT_KEYS,
         F.col("current_stock").alias("current_quantity"),
         F.col("min_level").alias("min_quantity"),
         F.col("max_level").alias("max_quantity"),
         "reorder_point",
     )
-    return upsert(
-        levels,
-        source,
-        ["store_id", "product_id"],
-        ["min_quantity", "max_quantity", "reorder_point"],
-        touched=("last_updated", now),
-    )
+
+
+def updated_levels(levels: DataFrame, optimised: DataFrame, now: Column) -> DataFrame:
+    """Levels after an update: thresholds replaced, stock on hand kept, new pairs added."""
+    return upsert(levels, _level_changes(optimised), KEPT_KEYS, THRESHOLDS, touched=("last_updated", now))
+
+
+def stored_levels(spark: SparkSession, folder: str, buckets: int = BUCKETS) -> KeyedTable:
+    """The table of levels, dealt by store."""
+    return KeyedTable(spark, folder, INVENTORY_LEVELS, tuple(KEPT_KEYS), ("store_id",), buckets)
+
+
+def update_stored_levels(levels: KeyedTable, optimised: DataFrame, now: Column) -> int:
+    """The same update of the stored table, which writes only the buckets of the stores it touches."""
+    return levels.merge(_level_changes(optimised), THRESHOLDS, touched=("last_updated", now))
 
 
 def reorder_suggestions(star: Star, scope: Scope, levels: DataFrame) -> DataFrame:
