@@ -10,22 +10,42 @@ from pyspark.sql import functions as F
 
 FEW = 100_000  # values that one task may put in order
 ACCURACY = 10_000  # of the sketch that proposes brackets
+BRACKET = 8  # ranks in ACCURACY that a bracket spans at most: two on each side, and the sketch's error
+
+
+def _ranked(values: DataFrame, brackets: list[tuple[float, float]], ranks: set[int]) -> dict[int, float]:
+    """The values of those ``ranks`` that lie in a bracket, by one scan.
+
+    Values inside a bracket are counted one by one, others by the gap between brackets that they are in.
+    """
+    value = F.col("v")
+    within, gap = F.lit(False), F.lit(0)
+    for low, high in brackets:
+        within = within | value.between(low, high)
+        gap = gap + (value > high).cast("int")
+    counted = values.groupBy(gap.alias("gap"), F.when(within, value).alias("exact")).agg(F.count("*").alias("n"), F.min("v").alias("first"))
+    placed = counted.withColumn("end", F.sum("n").over(W.orderBy("first")))  # the brackets' values and a row for each gap
+    wanted = F.array(*(F.lit(r).cast("long") for r in sorted(ranks)))
+    hit = placed.where("exact is not null").withColumn("rank", F.explode(F.filter(wanted, lambda r: (r < F.col("end")) & (r >= F.col("end") - F.col("n")))))
+    return {r.rank: r.exact for r in hit.select("rank", "exact").collect()}
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: dict[str, float]) -> DataFrame:
     """One row of linearly interpolated quantiles; nulls and NaN are left out.
 
     The built-in exact ``percentile`` gathers every distinct value in one task. Here each
-    wanted rank is bracketed: a sketch proposes two values around it, one count tells how
-    many values lie below, at and between them, and the rank's part is looked at again,
-    until it is one value or holds at most ``FEW`` values. Brackets follow ranks, not the
-    range of the values, so outliers don't widen them. Only counts and the proposed values
-    reach the driver.
+    wanted rank is bracketed: a sketch, which also counts all values, proposes two values around
+    it. Where the brackets can be told to hold ``FEW`` values at most, a second scan counts each
+    value inside them and all values between them, which tells every rank: two scans in all. In
+    larger tables a count first tells where each rank lies, and its part is bracketed again until
+    it is one value or that small. Brackets follow ranks, not the range of the values, so outliers
+    don't widen them. Only counts and the proposed values reach the driver.
     """
     spark = df.sparkSession
     value = F.col("v")
     values = df.select(F.col(column).cast("double").alias("v")).where(value.isNotNull() & ~F.isnan(value))
-    n = values.count()
+    ends = [F.lit(min(1.0, max(0.0, p + d / ACCURACY))) for p in probabilities.values() for d in (-2, 2)]
+    n, proposed = values.agg(F.count("*"), F.percentile_approx(value, F.array(*ends), F.lit(ACCURACY))).first() if ends else (0, [])
     position = {name: p * (n - 1) for name, p in probabilities.items()}
     if n == 0:
         return spark.range(1).select(*(F.lit(None).cast("double").alias(name) for name in probabilities))
@@ -33,6 +53,11 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: dict[str, float])
     # rank -> open interval that holds it, values before the interval, values in it
     todo = {r: (None, None, 0, n) for at in position.values() for r in (floor(at), ceil(at))}
 
+    if BRACKET * n <= FEW * ACCURACY:
+        brackets = [tuple(proposed[i : i + 2]) for i in range(0, len(proposed), 2)]
+        found = _ranked(values, brackets, {r for at in position.values() for r in (floor(at), ceil(at))})
+        todo = {r: whole for r, whole in todo.items() if r not in found}
+
     def inside(rank: int) -> Column:
         low, high = todo[rank][:2]
         return (F.lit(True) if low is None else value > low) & (F.lit(True) if high is None else value < high)

@@ -174,3 +174,15 @@ def test_release_deletes_only_what_was_settled(spark, monkeypatch, tmp_path):
     assert stored.count() == 5 and mine.exists() and "numbers-" in stored.inputFiles()[0]
     shared.release(spark)
     assert not mine.exists() and other.exists()
+
+
+def test_quantiles_take_two_scans(spark, monkeypatch):
+    """The sketch with the count of values, then the counts around the wanted ranks."""
+    df = spark.range(300_000, numPartitions=4).selectExpr("cast((id * 7919) % 300000 as double) as v")
+    scans = []
+    real = quantile._ranked
+    monkeypatch.setattr(quantile, "_ranked", lambda *a: scans.append(a) or real(*a))
+    monkeypatch.setattr(quantile.W, "orderBy", lambda *a, of=quantile.W.orderBy: scans.append(a) or of(*a))
+    (row,) = quantile.exact_quantiles(df, "v", {"q1": 0.25, "q3": 0.75}).collect()
+    assert (row.q1, row.q3) == (74_999.75, 224_999.25)
+    assert len(scans) == 2  # one call, whose window is the only one: no rank was looked for again
