@@ -47,7 +47,7 @@ def refine(rank: np.ndarray, reach: int, left: np.ndarray) -> np.ndarray:
     while len(live):
         follow = np.where(left[live] > reach, rank[np.minimum(live + reach, n - 1)] + 1, 0)
         key = rank[live] * (n + 1) + follow
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         live, key = live[order], key[order]
         own = rank[live]
         group = np.maximum.accumulate(np.where(np.r_[True, own[1:] != own[:-1]], np.arange(len(live)), 0))
@@ -60,7 +60,7 @@ def refine(rank: np.ndarray, reach: int, left: np.ndarray) -> np.ndarray:
 
 
 def _first_ranks(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     found = key[order]
     first = np.maximum.accumulate(np.where(np.r_[True, found[1:] != found[:-1]], np.arange(len(key)), 0))
     rank = np.empty(len(key), "i8")
@@ -97,7 +97,7 @@ def corpus_order(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, places:
     after = np.where(last, 0, np.r_[follow[1:], 0] + 1)
     of = np.searchsorted(start, places, side="right") - 1
     own = suffix[at[phrase[of]] + places - start[of]]
-    return np.argsort(own * (len(start) + 2) + after[of], kind="stable")
+    return np.argsort(own * (len(start) + 2) + after[of])
 
 
 def _ahead(last: np.ndarray) -> np.ndarray:
@@ -141,8 +141,11 @@ def _contents(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
     return [text[start : start + size] for start, size in spans]
 
 
+_HASHES = mix(np.arange(1, 257, dtype="u8"))
+
+
 def _byte_hashes(data: np.ndarray) -> np.ndarray:
-    return mix(data.astype("u8") + np.uint64(1))
+    return _HASHES[data]
 
 
 KIND = Kind(WINDOW, GRAM, True, SHARD, _symbols, _rolling, _byte_hashes, _contents)
