@@ -34,6 +34,18 @@ def _rolling(data: np.ndarray, size: int, sums: np.ndarray | None = None) -> np.
     return mix((sums[size : size + n] - sums[:n]) * powers(len(data) + 1)[1][:n])
 
 
+def _parted(rank: np.ndarray, live: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Ranks the ``live`` ones anew by ``key``, which sorts by rank first; those that are still alike come back."""
+    order = np.argsort(key)
+    live, key = live[order], key[order]
+    own = rank[live]
+    group = np.maximum.accumulate(np.where(np.r_[True, own[1:] != own[:-1]], np.arange(len(live)), 0))
+    new = np.r_[True, key[1:] != key[:-1]]
+    equal = np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))
+    rank[live] = own + equal - group
+    return live[~(new & np.r_[new[1:], True])]
+
+
 def refine(rank: np.ndarray, reach: int, left: np.ndarray) -> np.ndarray:
     """Ranks of suffixes of strings from the ranks of their first ``reach`` symbols.
 
@@ -46,16 +58,9 @@ def refine(rank: np.ndarray, reach: int, left: np.ndarray) -> np.ndarray:
     live = np.flatnonzero((np.bincount(rank, minlength=n)[rank] > 1) & (left >= reach))
     while len(live):
         follow = np.where(left[live] > reach, rank[np.minimum(live + reach, n - 1)] + 1, 0)
-        key = rank[live] * (n + 1) + follow
-        order = np.argsort(key)
-        live, key = live[order], key[order]
-        own = rank[live]
-        group = np.maximum.accumulate(np.where(np.r_[True, own[1:] != own[:-1]], np.arange(len(live)), 0))
-        equal = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(len(live)), 0))
-        rank[live] = own + equal - group
+        live = _parted(rank, live, rank[live] * (n + 1) + follow)
         reach *= 2
-        size = np.bincount(equal, minlength=len(live))[equal]
-        live = live[(size > 1) & (left[live] >= reach)]
+        live = live[left[live] >= reach]
     return rank
 
 
@@ -68,6 +73,50 @@ def _first_ranks(key: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _suffix_ranks(data: np.ndarray, left: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Ranks of the ``wanted`` suffixes among themselves; each ends ``left`` symbols on, and ends sort first.
+
+    As many symbols as a number holds are compared at once; only suffixes that are still alike and
+    long enough go on, by their next symbols, so that no other suffix needs a rank.
+    """
+    used = np.bincount(data, minlength=256) > 0
+    base = max(2, int(np.count_nonzero(used)) + 1)
+    symbol = np.cumsum(used)[data]
+
+    def fitting(bound: int) -> int:
+        """How many symbols fit beside numbers below the bound."""
+        count = 1
+        while bound * base ** (count + 1) < 1 << 63:
+            count += 1
+        return count
+
+    packed = fitting(1)
+    ahead = np.zeros(len(data), "i8")
+    for k in range(packed):
+        ahead *= base
+        ahead[: len(data) - k] += np.where(left[: len(data) - k] > k, symbol[k:], 0)
+    rank = _first_ranks(ahead[wanted])
+    step = min(packed, fitting(len(wanted)))
+    unit, reach = base ** (packed - step), packed
+    live = np.flatnonzero((np.bincount(rank, minlength=len(rank))[rank] > 1) & (left[wanted] >= reach))
+    while len(live):
+        place = wanted[live]
+        follow = np.where(left[place] > reach, ahead[np.minimum(place + reach, len(data) - 1)] // unit, 0)
+        live = _parted(rank, live, rank[live] * base**step + follow)
+        reach += step
+        live = live[left[wanted[live]] >= reach]
+    return rank
+
+
+def _numbered(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different name, and the number of each name."""
+    order = np.argsort(names)
+    new = np.r_[True, names[order[1:]] != names[order[:-1]]]
+    number = np.empty(len(names), "i8")
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
 def corpus_order(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, places: np.ndarray) -> np.ndarray:
     """``places`` in the order of the suffixes of their texts, by prefix-free parsing of all texts."""
     owner = np.repeat(np.arange(len(begins)), ends - begins)
@@ -80,24 +129,22 @@ def corpus_order(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, places:
     stop = np.where(last, ends[text], np.r_[start[1:], 0] + TRIGGER)
     # The dictionary: one place of each different phrase; a text's last phrase ends differently from others.
     name = mix((sums[stop] - sums[start]) * powers(len(data) + 1)[1][start] + (stop - start).astype("u8") * np.uint64(2) + last.astype("u8"))
-    _, example, phrase = np.unique(name, return_index=True, return_inverse=True)
+    example, phrase = _numbered(name)
     size = (stop - start)[example]
     at = np.cumsum(size) - size
     left = np.repeat(at + size, size) - np.arange(int(size.sum()))
     source = np.repeat(start[example], size) + np.arange(len(left)) - np.repeat(at, size)
-    symbol = data[source].astype("i8") + 1
-    key, packed = np.zeros(len(left), "i8"), 6
-    for k in range(packed):
-        key *= 257
-        key[: len(key) - k] += np.where(left[: len(key) - k] > k, symbol[k:], 0)
-    suffix = refine(_first_ranks(key), packed, left)
+    of = np.searchsorted(start, places, side="right") - 1
+    asked = at[phrase[of]] + places - start[of]
+    wanted = np.zeros(len(left), bool)
+    wanted[asked] = wanted[at] = True
+    suffix = np.zeros(len(left), "i8")
+    suffix[wanted] = _suffix_ranks(data[source], left, np.flatnonzero(wanted))
     # The parse: phrase ranks, then ranks of its suffixes.
     rank = suffix[at][phrase]
     follow = refine(_first_ranks(rank), 1, _ahead(last))
     after = np.where(last, 0, np.r_[follow[1:], 0] + 1)
-    of = np.searchsorted(start, places, side="right") - 1
-    own = suffix[at[phrase[of]] + places - start[of]]
-    return np.argsort(own * (len(start) + 2) + after[of])
+    return np.argsort(suffix[asked] * (len(start) + 2) + after[of])
 
 
 def _ahead(last: np.ndarray) -> np.ndarray:

@@ -105,6 +105,22 @@ def test_parsing_gives_the_order_of_suffixes():
     assert suffixes == sorted(suffixes)
 
 
+@pytest.mark.parametrize("symbols", [1, 2, 40, 256])
+def test_parsing_orders_some_places_alike(symbols):
+    """Only asked places are ranked; how many symbols a number holds follows from the alphabet."""
+    rng = np.random.default_rng(symbols)
+    texts = [bytes(rng.integers(0, symbols, n).astype("u1")) for n in (400, 150, 260, 101)]
+    texts += [texts[0][100:300] + texts[2][:120], texts[1], texts[0][:180]]
+    data = np.frombuffer(b"".join(texts), "u1")
+    ends = np.cumsum([len(t) for t in texts])
+    begins = ends - [len(t) for t in texts]
+    places = np.sort(rng.choice(len(data), len(data) // 3, replace=False))
+    owner = np.repeat(np.arange(len(texts)), ends - begins)
+    order = places[pfp.corpus_order(data, begins, ends, places)]
+    suffixes = [bytes(data[p : ends[owner[p]]]) for p in order]
+    assert sorted(order) == places.tolist() and suffixes == sorted(suffixes)
+
+
 def test_equal_windows_have_equal_keys():
     rng = np.random.default_rng(8)
     lengths = np.array([0, 49, 50, 400, 90, 300])
