@@ -345,6 +345,12 @@ def _sql(statement: str) -> str:
     return (f"WITH {recursive}{', '.join(parts)} " if parts else "") + statement
 
 
+def _customers(rows: str, where: str = "true") -> str:
+    return f"""SELECT age_group, gender, count(DISTINCT customer_id) AS customer_count, {dbl("sum(revenue)")} AS revenue,
+        {ratio("sum(revenue)", "count(revenue)")} AS avg_revenue_per_customer
+        FROM {rows} JOIN customers_raw USING (customer_id) WHERE {where} GROUP BY age_group, gender"""
+
+
 def _kpis(source: str, where: str = "true") -> str:
     return f"""
         SELECT count(DISTINCT sale_id) AS total_transactions, {dbl("sum(revenue)")} AS total_revenue,
@@ -537,6 +543,14 @@ ORACLE_BODIES = {
         FROM by_category""",
     "customer_insights": f"""SELECT age_group, gender, customer_count, {dbl("revenue")} AS revenue,
         avg_revenue AS avg_revenue_per_customer FROM insights""",
+    "customer_insights_ever": _customers("fact"),
+    "customer_insights_filtered": _customers(
+        "fact JOIN products_raw USING (product_id) JOIN stores_raw USING (store_id)",
+        """date BETWEEN DATE '1996-01-17' AND DATE '1997-06-09' AND category IN ('PROMO', 'ECONOMY', 'STANDARD')
+        AND region IN ('ASIA', 'EUROPE', 'AFRICA')""",
+    ),
+    "customer_insights_days": _customers("fact", "date BETWEEN DATE '1996-05-03' AND DATE '1996-05-30' AND store_id < 5"),
+    "customer_insights_store": _customers("fact", "store_id = 3"),
     "insight_top_store": f"""SELECT store_name, {dbl("sum(revenue)")} AS revenue, {dbl("sum(profit)")} AS profit
         FROM facts JOIN stores_raw USING (store_id) GROUP BY store_id, store_name
         ORDER BY sum(revenue) DESC, store_id LIMIT 1""",

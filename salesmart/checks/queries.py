@@ -347,6 +347,14 @@ report("product_performance", reports.product_performance)
 report("top_products", reports.top_products)
 report("category_revenue", reports.category_revenue)
 report("customer_insights", reports.customer_insights)
+report("customer_insights_ever", reports.customer_insights, EVER)
+report(
+    "customer_insights_filtered",
+    reports.customer_insights,
+    SalesFilter(date(1996, 1, 17), date(1997, 6, 9), categories="PROMO,ECONOMY,STANDARD", regions="ASIA,EUROPE,AFRICA"),
+)
+report("customer_insights_days", reports.customer_insights, SalesFilter(date(1996, 5, 3), date(1996, 5, 30), stores="0,1,2,3,4"))
+report("customer_insights_store", reports.customer_insights, EVER, MANAGER)
 report("insight_top_store", reports.top_store)
 report("insight_top_category", reports.top_category)
 report("insight_cards", reports.insight_cards)

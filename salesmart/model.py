@@ -39,7 +39,8 @@ class Star:
     says so, and counting sales needs no ids. The load then also keeps two small tables:
     ``daily`` has the sums of each date, store and product, which reports over those read
     instead of the sales, and ``sold`` the categories that each store has sold. Otherwise transactions are counted with
-    an exact distinct count (one more shuffle of the ids).
+    an exact distinct count (one more shuffle of the ids). ``audience_daily`` and ``audience_monthly``
+    hold who bought: customers as bits of 64 to a word (``operators.audience``).
     """
 
     fact: DataFrame
@@ -50,6 +51,8 @@ class Star:
     unique_sales: bool = False
     daily: DataFrame | None = None
     sold: DataFrame | None = None
+    audience_daily: DataFrame | None = None
+    audience_monthly: DataFrame | None = None
 
 
 @dataclass(frozen=True)

@@ -24,12 +24,16 @@ def restrict(df: DataFrame, condition: Column | None) -> DataFrame:
     return df if condition is None else df.where(condition)
 
 
+def bounds(flt: SalesFilter) -> tuple[Column, Column]:
+    """First and last day of the range."""
+    return F.lit(flt.date_start), F.current_date() if flt.date_end is None else F.lit(flt.date_end)
+
+
 def date_condition(flt: SalesFilter) -> Column | None:
     """The date range, and the same range on the partition columns to prune by."""
     if flt.all_dates:
         return None
-    start = F.lit(flt.date_start)
-    end = F.current_date() if flt.date_end is None else F.lit(flt.date_end)
+    start, end = bounds(flt)
 
     def months(year: Column, month: Column) -> Column:
         return year * 12 + month

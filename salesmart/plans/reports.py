@@ -23,6 +23,7 @@ from salesmart.functions.columns import (
     shekels,
 )
 from salesmart.model import ADMIN, SalesFilter, Scope, Star
+from salesmart.operators.audience import audience_by_word
 from salesmart.operators.sales import (
     attach_to_page,
     restrict,
@@ -133,20 +134,23 @@ def category_revenue(star: Star, flt: SalesFilter, scope: Scope) -> DataFrame:
 def customer_insights(star: Star, flt: SalesFilter, scope: Scope) -> DataFrame:
     """Revenue by age group and gender.
 
-    After the first step there is one row per customer, so counting customers needs
-    no distinct. ``avg_revenue_per_customer`` is the average per sale; the name is
-    the report's.
+    After the first step there is one row per customer, or one per 64 of them where the load has
+    kept who bought, so counting customers needs no distinct. ``avg_revenue_per_customer`` is the
+    average per sale; the name is the report's.
     """
-    by_customer = (
-        select_sales(star, flt, scope)
-        .groupBy("customer_id")
-        .agg(_total("revenue"), F.count("revenue").alias("sales"))
-    )
+    if star.audience_daily is not None:
+        rows = audience_by_word(star, flt, scope)
+    else:
+        by_customer = (
+            select_sales(star, flt, scope)
+            .groupBy("customer_id")
+            .agg(_total("revenue"), F.count("revenue").alias("sales"), F.lit(1).alias("customers"))
+        )
+        rows = by_customer.join(star.dim_customer.select("customer_id", "age_group", "gender"), "customer_id")
     return (
-        by_customer.join(star.dim_customer.select("customer_id", "age_group", "gender"), "customer_id")
-        .groupBy("age_group", "gender")
+        rows.groupBy("age_group", "gender")
         .agg(
-            F.count("customer_id").alias("customer_count"),
+            F.sum("customers").alias("customer_count"),
             _total("revenue"),
             ratio(F.sum("revenue"), F.sum("sales")).alias("avg_revenue_per_customer"),
         )

@@ -34,6 +34,14 @@ DAILY = (
     "profit decimal(22,2), sales bigint, priced bigint, year int, month int"
 )
 SOLD = "store_id bigint, category string"
+AUDIENCE_DAILY = (
+    "date date, store_id bigint, category string, age_group string, gender string, word bigint, members bigint, "
+    "revenue decimal(22,2), priced bigint, year int, month int"
+)
+AUDIENCE_MONTHLY = (
+    "store_id bigint, category string, age_group string, gender string, word bigint, members bigint, "
+    "revenue decimal(32,2), priced bigint, year int, month int"
+)
 WAREHOUSE = {
     "dim_date": DIM_DATE,
     "dim_store": DIM_STORE,
@@ -42,6 +50,8 @@ WAREHOUSE = {
     "fact": FACT,
     "daily": DAILY,
     "sold": SOLD,
+    "audience_daily": AUDIENCE_DAILY,
+    "audience_monthly": AUDIENCE_MONTHLY,
 }
 
 INVENTORY_LEVELS = (

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesmart.model import Star
+from salesmart.operators.audience import daily_audience, monthly_audience, numbered_customers
 from salesmart.operators.sales import daily_totals, sold_categories
 from salesmart.sources.schemas import WAREHOUSE
 
 
-def write_fact(fact: DataFrame, path: str) -> None:
-    """Write the fact by month.
+def write_fact(fact: DataFrame, path: str, *order: str) -> None:
+    """Write the fact, or totals of it, by month.
 
     REBALANCE groups rows by month and lets the adaptive planner split a month
     that is too big for one task and merge those that are small, so neither a hot
@@ -20,7 +21,7 @@ def write_fact(fact: DataFrame, path: str) -> None:
     """
     (
         fact.hint("rebalance", F.col("year"), F.col("month"))
-        .sortWithinPartitions("year", "month", "store_id", "date")
+        .sortWithinPartitions("year", "month", *(order or ("store_id", "date")))
         .write.mode("overwrite")
         .partitionBy("year", "month")
         .parquet(path)
@@ -38,7 +39,7 @@ def _published(spark: SparkSession, folder: str) -> tuple:
 def write_star(star: Star, folder: str) -> int:
     """Full refresh into a new version, which is published when all of it is written.
 
-    Beside the star it writes its daily totals and the categories sold, from the stored fact.
+    Beside the star it writes its daily totals, the categories sold and who bought, from the stored fact.
     Readers see the old version or the new one, never a mixture; a load that fails
     publishes nothing. The version's number is returned; ``drop_versions`` deletes old ones.
     """
@@ -46,12 +47,19 @@ def write_star(star: Star, folder: str) -> int:
     files, markers, found = _published(spark, folder)
     version = max(found, default=0) + 1
     path = f"{folder}/version-{version}"
+
+    def written(name: str) -> DataFrame:
+        return spark.read.schema(WAREHOUSE[name]).parquet(f"{path}/{name}")
+
     for name in ("dim_date", "dim_store", "dim_product", "dim_customer"):
         getattr(star, name).write.mode("overwrite").parquet(f"{path}/{name}")
     write_fact(star.fact, f"{path}/fact")
-    write_fact(daily_totals(spark.read.schema(WAREHOUSE["fact"]).parquet(f"{path}/fact")), f"{path}/daily")
-    daily = spark.read.schema(WAREHOUSE["daily"]).parquet(f"{path}/daily")
-    sold_categories(daily, star.dim_product).write.mode("overwrite").parquet(f"{path}/sold")
+    write_fact(daily_totals(written("fact")), f"{path}/daily")
+    sold_categories(written("daily"), written("dim_product")).write.mode("overwrite").parquet(f"{path}/sold")
+    numbered_customers(written("dim_customer")).write.mode("overwrite").parquet(f"{path}/customer_numbers")
+    numbers = spark.read.parquet(f"{path}/customer_numbers")
+    write_fact(daily_audience(written("fact"), written("dim_product"), numbers), f"{path}/audience_daily")
+    write_fact(monthly_audience(written("audience_daily")), f"{path}/audience_monthly", "store_id", "word")
     spark.range(1).select(F.lit(star.unique_sales).alias("unique_sales")).write.mode("overwrite").parquet(f"{path}/load")
     files.mkdirs(markers)
     if not files.createNewFile(spark._jvm.org.apache.hadoop.fs.Path(markers, str(version))):
