@@ -12,6 +12,10 @@ def _quoted(text: str) -> str:
 _NOTICES = ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in TEMPLATES)
 
 
+def _tidy(text: str) -> str:
+    return f"regexp_replace({text}, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')"
+
+
 def _bigrams(words: str) -> str:
     return f"list_distinct(list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]))"
 
@@ -83,20 +87,29 @@ ORACLE: dict[str, str] = {
         WITH t AS (
             SELECT license, string_split(trim(regexp_replace(lower(notice), '[^a-z0-9]+', ' ', 'g')), ' ') AS words
             FROM (VALUES {_NOTICES}) v(license, notice)
-        ), l AS (
-            SELECT doc_id, row_number() OVER () AS id, unnest(string_split(text, chr(10))) AS found,
-                unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line
-            FROM documents
+        ), r AS (SELECT doc_id, text, row_number() OVER () AS id FROM documents), l AS (
+            SELECT doc_id, id, unnest(string_split(text, chr(10))) AS found, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM r
+        ), larger AS (
+            SELECT DISTINCT id, doc_id, 2 AS size, {_tidy('found')} AS found FROM (SELECT id, doc_id, unnest(string_split_regex(
+                regexp_replace(text, '([.!?:])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), '\\x01|\\n[ \\t\\r]*\\n')) AS found FROM r)
+            UNION SELECT id, doc_id, 3, {_tidy('found')} FROM (SELECT id, doc_id, unnest(string_split_regex(text, '\\n[ \\t\\r]*\\n')) AS found FROM r)
+            UNION SELECT id, doc_id, 4, {_tidy('text')} FROM r
+            UNION SELECT id, doc_id, 1, {_tidy('found')} FROM l
+        ), passages AS (
+            SELECT id, doc_id, 'line' AS unit, line, found FROM l
+            UNION ALL SELECT id, any_value(doc_id), ['sentence', 'paragraph', 'text'][min(size) - 1], 0, found FROM larger
+            GROUP BY id, found HAVING min(size) > 1
         ), p AS (
-            SELECT *, string_split(trim(regexp_replace(lower(found), '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM l
+            SELECT *, string_split(trim(regexp_replace(lower(found), '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM passages
         ), b AS (
-            SELECT id, line, doc_id, found, {_bigrams('words')} AS pairs FROM p
+            SELECT id, unit, line, doc_id, found, {_bigrams('words')} AS pairs FROM p
         ), d AS (
             SELECT b.*, license, 2.0::DOUBLE * len(list_intersect(b.pairs, u.pairs)) / (len(b.pairs) + len(u.pairs)) AS dice
-            FROM b JOIN (SELECT license, {_bigrams('words')} AS pairs FROM t) u ON len(list_intersect(b.pairs, u.pairs)) > 0
+            FROM b JOIN (SELECT license, {_bigrams('words')} AS pairs FROM t) u
+            ON len(b.pairs) BETWEEN len(u.pairs) * 0.59 AND len(u.pairs) / 0.59 AND len(list_intersect(b.pairs, u.pairs)) > 0
         )
-        SELECT doc_id, line::INTEGER AS line, license, dice, found FROM d WHERE dice >= {THRESHOLD}
-        QUALIFY row_number() OVER (PARTITION BY id, line ORDER BY dice DESC, license) = 1""",
+        SELECT doc_id, unit, line::INTEGER AS line, license, dice, found FROM d WHERE dice >= {THRESHOLD}
+        QUALIFY row_number() OVER (PARTITION BY id, unit, line, found ORDER BY dice DESC, license) = 1""",
     "op9_projections": """
         WITH RECURSIVE e AS (
             SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
