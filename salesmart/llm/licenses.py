@@ -9,6 +9,8 @@ headers, the telling sentences of licence texts, and short licence texts as a wh
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,21 +129,38 @@ def bigrams(line: Column) -> Column:
 def telltales(templates: list[set[str]], threshold: float) -> str:
     """A pattern that the lower-cased text of every passage holds that reaches the threshold with some template.
 
-    A passage shares at least ``t / (2 - t)`` of a template's bigrams. So for each template
-    words, or bigrams of short words, are chosen that occur in more bigrams than it may lack.
+    A passage shares at least ``t / (2 - t)`` of a template's bigrams. So for each template words, or
+    bigrams of short words, are chosen that occur in more bigrams than it may lack; words that serve
+    many templates go first, as each text is searched for all of them.
     """
-    words: list[str] = []
-    bigram: list[str] = []
-    for pairs in sorted(templates, key=lambda p: (len(p), sorted(p))):
-        may_lack = len(pairs) - math.ceil(len(pairs) * threshold / (2 - threshold) - 1e-9)
-        left = {p for p in pairs if p not in bigram and not set(p.split(" ")) & set(words)}
-        for word in sorted({w for p in left for w in p.split(" ") if len(w) >= TELLING}, key=lambda w: (-len(w), w)):
-            if len(pairs) - len(left) <= may_lack and any(word in p.split(" ") for p in left):
-                words.append(word)
-                left = {p for p in left if word not in p.split(" ")}
-        for pair in sorted(left, key=lambda p: (-len(p), p))[: max(0, len(left) - len(pairs) + may_lack + 1)]:
-            bigram.append(pair)
-    return "(?<![a-z0-9])(?:" + "|".join([*words, *(p.replace(" ", "[^a-z0-9]+") for p in bigram)]) + ")(?![a-z0-9])"
+    left = [set(pairs) for pairs in sorted(templates, key=lambda p: (len(p), sorted(p)))]
+    needs = [len(pairs) - math.ceil(len(pairs) * threshold / (2 - threshold) - 1e-9) + 1 for pairs in left]
+
+    def take(found: Callable[[str], bool]) -> None:
+        for i, pairs in enumerate(left):
+            gone = {p for p in pairs if found(p)}
+            left[i], needs[i] = pairs - gone, needs[i] - len(gone)
+
+    chosen: list[str] = []
+    while True:
+        gains: Counter[str] = Counter()
+        for pairs, need in zip(left, needs):
+            if need > 0:
+                held = Counter(w for p in pairs for w in set(p.split(" ")) if len(w) >= TELLING)
+                gains.update({w: min(times, need) * len(w) for w, times in held.items()})
+        if not gains:
+            break
+        word = max(gains, key=lambda w: (gains[w], w))
+        chosen.append(word)
+        take(lambda p: word in p.split(" "))
+    for i in range(len(left)):
+        while needs[i] > 0:
+            pair = max(left[i], key=lambda p: (len(p), p))
+            chosen.append(pair.replace(" ", "[^a-z0-9]+"))
+            take(lambda p: p == pair)
+    initials = sorted({c[0] for c in chosen})
+    grouped = (f"{i}(?:{'|'.join(sorted(c[1:] for c in chosen if c[0] == i))})" for i in initials)
+    return f"(?<![a-z0-9])(?:{'|'.join(grouped)})(?![a-z0-9])"
 
 
 def _tidy(passage: Column) -> Column:
@@ -206,8 +225,10 @@ def scan(
     normal = F.col("normal")
     words = F.length(normal) - F.length(F.translate(normal, " ", "")) + 1
     # A passage of w words has w - 1 bigrams at most, and half as many words as characters.
-    lines = lines.where(F.length("found") >= 2 * least).withColumn("normal", normalised(F.col("found"))).where(words - 1 >= least)
-    lines = lines.withColumn("pairs", bigrams(normal)).where(F.size("pairs").between(least, most))
+    # Generated columns are computed once; the planner would repeat plain ones in each filter that follows.
+    lines = lines.where(F.length("found") >= 2 * least).select("*", F.explode(F.array(normalised(F.col("found")))).alias("normal"))
+    lines = lines.where(words - 1 >= least).select("*", F.explode(F.array(bigrams(normal))).alias("pairs"))
+    lines = lines.where(F.size("pairs").between(least, most))
     rows = [
         F.struct(F.lit(-i).alias("order"), F.lit(r.license).alias("license"), F.lit(len(r.pairs)).alias("size"), F.array(*map(F.lit, r.pairs)).alias("pairs"))
         for i, r in enumerate(known)
@@ -218,5 +239,5 @@ def scan(
         fitting,
         lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(F.col("pairs"), t["pairs"])) / (size + t["size"])).alias("dice"), t["order"].alias("order"), t["license"].alias("license")),
     )
-    lines = lines.withColumn("best", F.array_max(scored)).where(F.col("best.dice") >= threshold)
-    return lines.select("doc_id", "unit", "line", F.col("best.license").alias("license"), F.col("best.dice").alias("dice"), "found")
+    best = F.filter(F.array(F.array_max(scored)), lambda b: b["dice"] >= threshold)
+    return lines.select("doc_id", "unit", "line", "found", F.inline(best)).select("doc_id", "unit", "line", "license", "dice", "found")
