@@ -84,3 +84,34 @@ def test_orders_of_the_stream_are_not_made_in_one_task(spark, monkeypatch):
     monkeypatch.setattr(type(spark.range(1)), "coalesce", refused)
     assert isinstance(found := QUERIES["stream_alerts"](spark, SF), DataFrame)
     assert found.where(F.col("copies") != F.col("ids")).count() == 0
+
+
+def test_columns_of_cells_are_read_and_written_as_cell_by_cell():
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from salesmart.sources import cells
+
+    def slowly(kind, raw):
+        try:
+            return cells.reader_of(kind, False)("n", raw, False)
+        except cells.UNREADABLE:
+            return None
+
+    odd = ["0x1F", "1e3", " 5", "NaN", "-0", "1.", ".5", "--1", "1-", "12345678901.5", "0.125", "99999999999", "", "٣"]
+    for kind in (T.LongType(), T.IntegerType(), T.DecimalType(12, 2)):
+        for raw in odd:
+            plain = cells.read_plain(kind, [("n", raw, False), None])
+            assert plain is None or plain.to_pylist() == [slowly(kind, raw), None], (kind, raw)
+        assert cells.read_plain(kind, [("n", "7", False), None]).to_pylist() == [7, None]
+    assert cells.read_plain(T.DecimalType(12, 2), [("n", "-7.5", False)]).to_pylist() == [Decimal("-7.50")]
+    for kind, values in (
+        (T.DecimalType(12, 2), [Decimal("0.00"), Decimal("-9999999999.99"), None]),
+        (T.DecimalType(38, 20), [Decimal("1E-20"), Decimal("5")]),
+        (T.LongType(), [5, -(10**15), None]),
+        (T.LongType(), [10**15 - 1, 0]),
+        (T.IntegerType(), [None]),
+    ):
+        column = pa.array(values, {"bigint": pa.int64(), "int": pa.int32()}.get(kind.simpleString()) or pa.decimal128(kind.precision, kind.scale))
+        write = cells.writer_of(kind)
+        assert cells.write_column(kind, write, column) == [None if v is None else write(v) for v in column.to_pylist()]
