@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 from html import unescape
 
@@ -104,3 +105,96 @@ def test_marks_around_the_article_do_not_drop_it(around):
     source = f'<body><{around}><nav>Menu</nav><article><p>text</p><div class="share">no</div></article><aside><article>teaser</article></aside></{close}><footer>f</footer></body>'
     assert html.main_text(source, "article", frozenset()) == "text"
     assert html.main_text("<aside><article>a</article></aside><form><article>b</article></form>", "", frozenset()) == "a\nb"
+
+
+def host(spark, sources: list[str]):
+    (told,) = html.templates(spark.createDataFrame([(i, "h", s) for i, s in enumerate(sources)], "page_id bigint, host string, html string")).collect()
+    return told
+
+
+def numbered(source: str) -> list[int]:
+    return [n for token in html.tokens(source) if (n := html._number(*token)) is not None]
+
+
+def test_classes_are_checked_for_order(spark):
+    a, b = '<div class="a">A</div>', '<div class="b">B</div>'
+    told = host(spark, [f"<html><body>{a + b if i % 2 else b + a}<p>{i}</p></body></html>" for i in range(6)])
+    kept = [{m for m in c["marks"] if m[-2:] in (".a", ".b")} for c in html.json.loads(told.template) if c["nested"]]
+    both = {"</html/body/div.a", ">/html/body/div.a"}, {"</html/body/div.b", ">/html/body/div.b"}
+    assert all(some in kept for some in both) and all(some in (set(), *both) for some in kept)
+
+
+def test_of_classes_that_straddle_the_one_on_more_pages_is_kept(spark):
+    a, b, c, d = (f'<div class="{x}"></div>' for x in "abcd")
+    told = host(spark, [f"<body>{a}{b}{c}{d}</body>"] * 3 + [f"<body>{a}{c}</body>"])
+    classes = {c["marks"][0]: c["nested"] for c in html.json.loads(told.template)}
+    assert classes["</body"] and not classes["</body/div.b"]
+
+
+def test_roles_are_told_apart_by_the_classes_around_them(spark):
+    rows = [(i, "http://r/", f"<body><div>Home</div><hr><div>{'Home' if i % 3 else 'Away'}</div><div>Story {i}</div></body>", None, None) for i in range(12)]
+    assert texts(spark, rows) == {i: f"{'Home' if i % 3 else 'Away'}\nStory {i}" for i in range(12)}
+
+
+def test_slots_of_the_article_are_told_from_lists_of_articles(spark):
+    def source(i: int) -> str:
+        more = "".join(f"<article><p>Reply {i} {j}</p></article>" for j in range(i % 4))
+        return f'<body><div class="story"><article><h1>Title of {i}</h1><p>page {i} says more than its replies {i}</p></article></div><div class="responses">{more}</div></body>'
+
+    rows = [(i, "http://s/", source(i), None, None) for i in range(6)]
+    rows.append((6, "http://s/", "<body><div class='responses'><article>alone</article></div></body>", None, None))
+    rows += [(7, "http://s/", "", None, None), (8, "http://s/", None, None, None)]
+    found = texts(spark, rows)
+    assert found == {i: f"Title of {i}\npage {i} says more than its replies {i}" for i in range(6)} | {6: "alone", 7: "", 8: ""}
+
+
+def test_an_article_that_all_pages_have_does_not_drop_their_stories(spark):
+    def source(i: int) -> str:
+        posts = "".join(f"<article><p>Post {i} {j}</p></article>" for j in range(1 + i % 3))
+        return f'<body><div class="posts">{posts}</div><div class="about"><article>About us</article></div><div id="p{i}"><article>own {i}</article></div></body>'
+
+    found = texts(spark, [(i, "http://s/", source(i), None, None) for i in range(12)])
+    assert found == {i: "\n".join([*(f"Post {i} {j}" for j in range(1 + i % 3)), "About us", f"own {i}"]) for i in range(12)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_templates_are_ordered_and_nested_on_all_pages(spark, seed):
+    """By brute force over all pairs of spans; no role of the template stands in two of its slots."""
+    rng = random.Random(seed)
+
+    def some(depth: int) -> str:
+        inner = [f'<div class="{rng.choice("abcd")}">{some(depth - 1)}</div>' if depth and rng.random() < 0.6 else f"<p>{rng.choice('uvw')}</p>" for _ in range(rng.randint(1, 3))]
+        return "".join(inner)
+
+    fixed = ['<div class="x"><p>u</p></div>', '<div class="y">', "</div>", '<ul><li>u<li>v</ul>']
+    pages = [f"<html><body>{fixed[0]}{some(2)}{fixed[1]}{some(1)}<p>u</p>{fixed[2]}{fixed[3]}{some(1)}</body></html>" for _ in range(8)]
+    told = host(spark, pages)
+    classes = [c["roles"] for c in html.json.loads(told.template) if c["nested"]]
+    assert any("</html/body/div.y" in c["marks"] for c in html.json.loads(told.template) if c["nested"])
+    slots: dict[int, set] = {}
+    for source in pages:
+        roles = html.roles_of(numbered(source), told.rounds)
+        at = {r: [i for i, x in enumerate(roles) if x == r] for c in classes for r in c}
+        spans = []  # places of each time that a class's tokens take their turn
+        for c in classes:
+            turns = list(zip(*(at[r] for r in c), strict=True))
+            flat = [i for turn in turns for i in turn]
+            assert flat == sorted(flat)
+            spans += [(c[0], turn) for turn in turns]
+        for first, turn in spans:
+            for other, inner in spans:
+                within = [{sum(i > j for j in one) for i in two} for one, two in ((turn, inner), (inner, turn))]
+                assert first == other or min(map(len, within)) == 1  # all in one gap of the other, or beside it
+            around = [(turn2[0] - turn2[-1], c2, sum(turn[0] > j for j in turn2)) for c2, turn2 in spans if turn2[0] < turn[0] and turn[-1] < turn2[-1]]
+            slots.setdefault(first, set()).add(max(around)[1:] if around else None)
+    assert all(len(s) == 1 for s in slots.values())
+
+
+def test_cuts_make_classes_take_turns():
+    template = [{"roles": [1, 2, 3, 4], "marks": ["<a", "<b", ">b", ">a"], "mains": [""] * 4, "pages": 2, "times": 2, "nested": True}]
+    read = html.read_round(html.json.dumps(template))
+    assert not list(html._disorders([1, 2, None, 3, 4, 9, 1, 2, 3, 4], read))
+    cuts = [{"a": a, "b": b} for a, b in html._disorders([2, 1, 4, 3], read)]
+    assert [c["roles"] for c in html.ordered(template, cuts)] == [[1], [2, 3], [4]]
+    assert [c["roles"] for c in html.ordered(template, cuts, together=True)] == [[1, 4], [2, 3]]
+    assert html._turns([0, 1, 0, 2, 1, 2], 3) and html._turns([0, 1, 2, 2], 3)
