@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from salesmart.functions import likelihood, series, trend
+from salesmart.functions import likelihood, likelihood_many, series, trend
 from salesmart.functions.columns import month_name, period_label
 from salesmart.functions.series import months_needed
 from salesmart.model import SalesFilter, Scope, Star
@@ -24,9 +25,10 @@ from salesmart.operators.sales import select_sales, select_totals
 from salesmart.sources.shared import settle
 
 LEAST_MONTHS = 3
+TASKS_PER_CORE = 4
 
 # the fits travel to the workers with the task, installed there or not
-for _fits in (series, likelihood, trend):
+for _fits in (series, likelihood, likelihood_many, trend):
     cloudpickle.register_pickle_by_value(_fits)
 
 
@@ -125,48 +127,71 @@ def linear_forecast(
     return _labelled(values, language)
 
 
+Paths = list[tuple[np.ndarray, str]]  # of each series its path and what was fitted
+
+
+def _one_by_one(fit: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, str]]) -> Callable[[np.ndarray, np.ndarray], Paths]:
+    return lambda months, values: [fit(m, y) for m, y in zip(months, values)]
+
+
 def _forecast_by_fit(
     history: DataFrame,
     ahead: int,
     by: Sequence[str],
     language: str,
-    fit: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, str]],
+    fit: Callable[[np.ndarray, np.ndarray], Paths],
     least: int = LEAST_MONTHS,
 ) -> DataFrame:
-    """Run ``fit(months, values)`` on every series, one series per group.
+    """Run ``fit(months, values)`` on series of one length, a series in each row of its two arrays.
 
     ``fitted`` tells what was fitted to revenue and to profit. Series of fewer than
     ``least`` months have no rows; ``skipped_series`` lists them.
     """
     by = list(by)
 
-    def one_series(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["year", "month"])
-        months = (rows["year"] * 12 + rows["month"] - 1).to_numpy()
-        steps = ahead if len(rows) >= least else 0
-        at = months[-1] + np.arange(1, steps + 1)
-        out = pd.DataFrame({"year": at // 12, "month": at % 12 + 1})
-        for c in by:
-            out[c] = rows[c].iloc[0]
-        fitted = []
-        for measure in ("revenue", "profit"):
-            out[measure], told = fit(months, rows[measure].to_numpy()) if steps else (np.empty(0), "")
-            fitted.append(told)
-        out["fitted"] = fitted[0] if fitted[0] == fitted[1] else "; ".join(fitted)
-        return out[by + ["year", "month", "revenue", "profit", "fitted"]]
-
-    rows = history.select(
-        *by, "year", "month", *(F.col(m).cast("double").alias(m) for m in ("revenue", "profit"))
-    )
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in rows.columns) + ", fitted string"
+    def series_of(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        at, revenue, profit = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("_at", "_revenue", "_profit"))
+        lengths = pc.list_value_length(batch.column("_at")).to_numpy(zero_copy_only=False)
+        begin = np.cumsum(lengths) - lengths
+        rows, years, paths, told = [], [], ([], []), []
+        for n in sorted(set(lengths[lengths >= least])):
+            chosen = np.flatnonzero(lengths == n)
+            places = begin[chosen][:, None] + np.arange(n)
+            months = at[places]
+            found = fit(np.vstack([months, months]), np.vstack([revenue[places], profit[places]]))
+            for k, row in enumerate(chosen):
+                both = found[k], found[k + len(chosen)]
+                rows.append(row)
+                years.append(months[k, -1] + np.arange(1, ahead + 1))
+                told.append(both[0][1] if both[0][1] == both[1][1] else "; ".join(t for _, t in both))
+                for path, (values, _) in zip(paths, both):
+                    path.append(values)
+        if not rows or not ahead:
+            return None
+        month = np.concatenate(years)
+        columns = [batch.column(c).take(pa.array(np.repeat(rows, ahead))) for c in by]
+        columns += [pa.array(x, pa.int64()) for x in (month // 12, month % 12 + 1)]
+        columns += [pa.array(np.concatenate(path), pa.float64()) for path in paths]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(told, ahead).tolist(), pa.string())], names)
+
+    kinds = dict(history.dtypes)
+    names = [*by, "year", "month", "revenue", "profit", "fitted"]
+    made = dict.fromkeys(("year", "month"), "bigint") | dict.fromkeys(("revenue", "profit"), "double") | {"fitted": "string"}
+    at = (F.col("year") * 12 + F.col("month") - 1).cast("bigint")
+    rows = history.select(*by, F.struct(at.alias("at"), *(F.col(m).cast("double").alias(m) for m in ("revenue", "profit"))).alias("_month"))
     if by:
-        # a fixed number of tasks: the rows are few, but each series takes time to fit
-        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        groups = rows.repartition(tasks, *by).groupBy(*by)
-    else:
-        groups = rows.groupBy()
-    return _labelled(groups.applyInPandas(one_series, schema), language)
+        # a fixed number of tasks: the rows are few, but each series takes time to fit, less beside many others
+        spark = rows.sparkSession
+        tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+        rows = rows.repartition(tasks, *by)
+    # one row per series, so that a task has many to fit at once
+    series_rows = rows.groupBy(*by).agg(F.sort_array(F.collect_list("_month")).alias("_months")).select(
+        *by, *(F.col(f"_months.{m}").alias(f"_{m}") for m in ("at", "revenue", "profit"))
+    )
+    found = series_rows.mapInArrow(
+        lambda batches: filter(None.__ne__, map(series_of, batches)), ", ".join(f"{c} {made.get(c) or kinds[c]}" for c in names)
+    )
+    return _labelled(found.withColumns({c: F.col(c).cast(kinds[c]) for c in ("year", "month")}), language)
 
 
 def arima_forecast(
@@ -178,9 +203,11 @@ def arima_forecast(
     method: str = "likelihood",
 ) -> DataFrame:
     """By exact likelihood, or with ``method="conditional"`` by the least sum of squared one-step errors."""
-    path = {"likelihood": likelihood.likelihood_path, "conditional": series.arima_path}[method]
-    least = max(LEAST_MONTHS, months_needed(order))
-    return _forecast_by_fit(history, ahead, by, language, lambda _, y: path(y, order, ahead), least)
+    fits = {
+        "likelihood": lambda _, y: likelihood_many.likelihood_paths(y, order, ahead),
+        "conditional": _one_by_one(lambda _, y: series.arima_path(y, order, ahead)),
+    }
+    return _forecast_by_fit(history, ahead, by, language, fits[method], max(LEAST_MONTHS, months_needed(order)))
 
 
 def seasonal_forecast(
@@ -194,7 +221,7 @@ def seasonal_forecast(
 ) -> DataFrame:
     """A line that may bend at up to ``changepoints`` months, with yearly waves; the smaller ``prior``, the fewer bends."""
     path = trend.trend_path
-    return _forecast_by_fit(history, ahead, by, language, lambda m, y: path(m, y, ahead, harmonics, changepoints, prior))
+    return _forecast_by_fit(history, ahead, by, language, _one_by_one(lambda m, y: path(m, y, ahead, harmonics, changepoints, prior)))
 
 
 def parse_order(text: str) -> tuple[int, int, int]:
